@@ -147,12 +147,17 @@ def apply_filters(df, col: str, sequence=None, out_col: str | None = None, extra
 
 
 # ---- translation for the DuckDB (RE2) oracle --------------------------------
-_RE2_UNSUPPORTED = ("(?=", "(?!", "(?<=", "(?<!")
-
-
-def re2_expressible(pattern: str) -> bool:
-    body = pattern.split(")", 1)[1] if pattern.startswith("(?") else pattern
-    return not any(tok in body for tok in _RE2_UNSUPPORTED) and "{0,8000}" not in body
+# RE2 has no look-around and caps repetition at 1000.  The oracle uses these
+# rewrites; they are exact on texts without backticks (the test corpus has
+# none) and differ from the Java patterns only in the noted corner cases.
+RE2_REWRITES = {
+    CODE_PATTERNS[0]: ("```[^`\\n]*```", " "),                 # only spans > 8000 chars differ
+    CODE_PATTERNS[4]: (None, None),                              # \b then (?=\w) can never match
+    # (?<=\\w)X\\b with Unicode word chars: keep the preceding char and the
+    # following non-word char (neither can take part in another match)
+    CODE_PATTERNS[5]: ("(?i)([\\p{L}\\p{N}_])(import|from|as)([^\\p{L}\\p{N}_]|$)", "\\1 \\3"),
+    FORMATTING_PATTERNS[3]: ("[_~`]{1,2}", " "),                 # exact unless a backtick follows
+}
 
 
 def to_re2(pattern: str) -> str:
@@ -169,6 +174,9 @@ def to_re2(pattern: str) -> str:
 def sql_apply_patterns(expr: str, patterns: list[str]) -> str:
     out = expr
     for p in patterns:
-        lit = to_re2(p).replace("'", "''")
-        out = f"regexp_replace({out}, '{lit}', ' ', 'g')"
+        pat, rep = RE2_REWRITES.get(p, (to_re2(p), " "))
+        if pat is None:
+            continue
+        lit = pat.replace("'", "''")
+        out = f"regexp_replace({out}, '{lit}', '{rep}', 'g')"
     return out

@@ -171,5 +171,6 @@ def overcleaned(before: Column, after: Column, threshold: float = 0.05) -> Colum
 
 def mostly_stopwords(c: Column) -> Column:
     """Fewer than 10 % of the words are not stopwords (empty -> False)."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""), r"(?U)\s+"), lambda t: t != "")
+    words = F.filter(F.split(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}_\s]", ""), r"(?U)\s+"),
+                     lambda t: t != "")
     return F.size(non_stopwords(words)) < F.lit(0.1) * F.size(words)
