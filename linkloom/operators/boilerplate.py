@@ -78,24 +78,31 @@ def common_line_edges(texts: DataFrame, freq: float = 0.75, min_len: int = 2) ->
 def ngrams_upto_chars(words: Column, n_lo: int, n_hi: int, max_chars: int) -> Column:
     """All word n-grams (n_lo <= n < n_hi) no longer than ``max_chars``.
 
-    n words need at least 2n-1 characters, so sizes above (max_chars+1)//2
-    can never pass the length test and are not generated at all.
+    Built by ``zip_with`` over shifted copies of the word array: the (n)-gram
+    at i extends the (n-1)-gram at i by word i+n-1, one linear pass per size.
+    An over-long gram is nulled and never extended, and sizes above
+    (max_chars+1)//2 are not generated at all (n words need 2n-1 chars).
     """
     top = min(n_hi - 1, (max_chars + 1) // 2)
-    per_n = []
-    for n in range(n_lo, top + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(0)))
-        grams = F.transform(F.filter(starts, lambda i: i >= 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-        per_n.append(F.filter(grams, lambda g: F.length(g) <= max_chars))
-    return F.flatten(F.array(*per_n)) if per_n else F.array().cast("array<string>")
+    out = []
+    grams = words
+    for n in range(2, top + 1):
+        nxt = F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
+        grams = F.zip_with(grams, nxt, lambda g, w: F.when(
+            g.isNotNull() & w.isNotNull() & (F.length(g) + F.length(w) + 1 <= max_chars),
+            F.concat(g, F.lit(" "), w)))
+        if n >= n_lo:
+            out.append(F.filter(grams, lambda g: g.isNotNull()))
+    return F.flatten(F.array(*out)) if out else F.array().cast("array<string>")
 
 
 def common_ngrams(texts: DataFrame, freq: float = 0.75, ngram_range=(2, 10)) -> DataFrame:
     """A5: lower-cased words, n = lo..hi-1, joined; frequent, not mostly
     stopwords, 2-10 characters (length filter applied before the shuffle)."""
     lo, hi = ngram_range
-    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD), 0)
-    grams = texts.select("domain", "n_docs", F.explode(ngrams_upto_chars(words, lo, hi, hi)).alias("phrase")) \
+    words = texts.select("domain", "n_docs",
+                         F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD), 0).alias("words"))
+    grams = words.select("domain", "n_docs", F.explode(ngrams_upto_chars(F.col("words"), lo, hi, hi)).alias("phrase")) \
         .filter(F.length("phrase") >= lo)
     counts = grams.groupBy("domain", "n_docs", "phrase").agg(F.count(F.lit(1)).alias("n"))
     return _frequent(counts, freq, True, lo, hi).select("domain", "phrase", F.lit("ngram").alias("kind"), "n")
