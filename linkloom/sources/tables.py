@@ -17,8 +17,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 
+ID_COLUMNS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "conversations": "conv_id",
+              "labels": "doc_id", "benchmark": "item_id", "events": "event_id"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one table.  A scan that yields fewer splits than the cluster has
+    cores (a small file with a single row group) is hash-partitioned on the
+    table id so the CPU-heavy text work after it runs in parallel; on a
+    large input with thousands of splits this is a no-op."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance(df, ID_COLUMNS.get(name))
+
+
+def balance(df: DataFrame, key: str | None = None) -> DataFrame:
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if target > 1 and df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key) if key else df.repartition(target)
+    return df
 
 
 _TITLE_RE = r"(?s)<title[^>]*>(.*?)</title>"
