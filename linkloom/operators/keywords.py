@@ -171,11 +171,12 @@ def ctfidf(df: DataFrame, class_col: str, text_col: str, top_n: int = 10, ngram=
     number of candidate terms per class, f(t) = frequency of t over all
     classes.  Returns (class, word, score, rank) for the top ``top_n``."""
     tc = term_counts(df, class_col, text_col, ngram).withColumnRenamed("id", "cls")
-    size = tc.groupBy("cls").agg(F.sum("tf").alias("n_c"))
+    # one row per class: the mean class size is a window over this tiny table
+    size = tc.groupBy("cls").agg(F.sum("tf").alias("n_c")) \
+        .withColumn("a", F.avg("n_c").over(Window.partitionBy()))
     freq = tc.groupBy("gram").agg(F.sum("tf").alias("f_t"))
-    avg = size.agg(F.avg("n_c")).collect()[0][0] or 0.0
     s = tc.join(size, "cls").join(freq, "gram").withColumn(
-        "score", F.col("tf") / F.col("n_c") * F.log(F.lit(1.0) + F.lit(float(avg)) / F.col("f_t")))
+        "score", F.col("tf") / F.col("n_c") * F.log(F.lit(1.0) + F.col("a") / F.col("f_t")))
     w = Window.partitionBy("cls").orderBy(F.desc("score"), F.asc("gram"))
     top = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
     return top.select(F.col("cls").alias(class_col), F.col("gram").alias("word"), "score", "rank")
