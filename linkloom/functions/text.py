@@ -147,16 +147,18 @@ def stopword_array() -> Column:
     return F.array(*[F.lit(w) for w in ENGLISH_STOPWORDS])
 
 
+def is_stopword(t: Column) -> Column:
+    """Hashed set membership (``IN`` with many literals is planned as InSet)."""
+    return t.isin(*ENGLISH_STOPWORDS)
+
+
 def valid_tokens(arr: Column) -> Column:
     """Length > 1, not all digits, not a stopword (case-insensitive)."""
-    stop = stopword_array()
-    return F.filter(arr, lambda t: (F.length(t) > 1) & ~t.rlike(r"^(?U)\d+$")
-                    & ~F.array_contains(stop, F.lower(t)))
+    return F.filter(arr, lambda t: (F.length(t) > 1) & ~t.rlike(r"^(?U)\d+$") & ~is_stopword(F.lower(t)))
 
 
 def non_stopwords(arr: Column) -> Column:
-    stop = stopword_array()
-    return F.filter(arr, lambda t: ~F.array_contains(stop, F.lower(t)))
+    return F.filter(arr, lambda t: ~is_stopword(F.lower(t)))
 
 
 def limit_tokens(arr: Column, max_tokens: int, min_words: int = 3) -> Column:

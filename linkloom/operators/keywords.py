@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import stopword_array
+from linkloom.functions.text import is_stopword
 from linkloom.operators import vectors as V
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"   # words of two or more word characters
@@ -19,9 +19,8 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"   # words of two or more word characters
 
 def candidate_tokens(text):
     """Lower-cased words (>= 2 chars) with English stopwords removed."""
-    stop = stopword_array()
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0),
-                    lambda t: ~F.array_contains(stop, t))
+                    lambda t: ~is_stopword(t))
 
 
 def candidate_grams(text, ngram=(1, 2)):
@@ -48,17 +47,20 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, ngram=(1, 2), seeds:
     return g.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_scores(df: DataFrame, id_col: str, text_col: str, ngram=(1, 2), seeds=None) -> DataFrame:
+def tfidf_scores(df: DataFrame, id_col: str, text_col: str, ngram=(1, 2), seeds=None,
+                 normalize: bool = True) -> DataFrame:
     """(id, gram, score): tf * (ln((1+N)/(1+df)) + 1), divided by the
-    document's best score.  The df join is skewed for common grams; AQE
-    splits the hot partitions."""
+    document's best score when ``normalize``.  The df join is skewed for
+    common grams; AQE splits the hot partitions."""
     tc = term_counts(df, id_col, text_col, ngram, seeds)
     dfreq = tc.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     n_docs = df.select(id_col).distinct().count()
     s = tc.join(dfreq, "gram").withColumn(
-        "raw", F.col("tf") * (F.log((F.lit(1.0 + n_docs)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
-    best = Window.partitionBy("id")
-    return s.select("id", "gram", (F.col("raw") / F.max("raw").over(best)).alias("score"))
+        "score", F.col("tf") * (F.log((F.lit(1.0 + n_docs)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
+    s = s.select("id", "gram", "score")
+    if normalize:
+        s = s.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("id")))
+    return s
 
 
 def embedding_scores(df: DataFrame, id_col: str, text_col: str, ngram=(1, 2), dim: int = 384,
@@ -91,7 +93,12 @@ def keywords(df: DataFrame, id_col: str = "pos", text_col: str = "text", top_k:
     if callable(scorer):
         scores = scorer(df, id_col, text_col, ngram)
     elif scorer == "tfidf":
-        scores = tfidf_scores(df, id_col, text_col, ngram, seeds)
+        # rank on the raw score (same order as the normalised one), then divide
+        # the k survivors by their best: one window over all grams, not two
+        raw = tfidf_scores(df, id_col, text_col, ngram, seeds, normalize=False)
+        top = top_keywords(raw, top_k)
+        top = top.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("id")))
+        return top.select(F.col("id").alias(id_col), F.col("gram").alias("keyword"), "score", "rank")
     elif scorer == "embedding":
         scores = embedding_scores(df, id_col, text_col, ngram, dim, seeds)
     else:

@@ -12,6 +12,7 @@ from linkloom.operators import clean as C
 from linkloom.operators import entries as E
 from linkloom.operators import html as H
 from linkloom.operators import keywords as K
+from linkloom.session import cut_lineage
 from linkloom.sources.tables import entries_dup, load
 
 
@@ -22,9 +23,11 @@ def flagship(spark: SparkSession, sf_dir: str, top_n: int = 5, max_tokens: int =
     # pages are keyed by page_id = the first occurrence's pos, so the page text joins on pos
     with_text = ents.join(text.withColumnRenamed("visible_text", "scraped"), "pos", "left")
     cleaned = C.clean_entries(with_text, None, max_tokens=max_tokens)
-    docs = cleaned.select("pos", "domain",
-                          T.title_plus_text(U.base_title(F.col("title"), F.col("domain")), F.col("clean_text"))
-                          .alias("text"))
+    # stage boundary: the HTML scan and cleaning run once, not again for the
+    # keyword scorer's document count (reliable checkpoint, survives executor loss)
+    docs = cut_lineage(cleaned.select(
+        "pos", "domain",
+        T.title_plus_text(U.base_title(F.col("title"), F.col("domain")), F.col("clean_text")).alias("text")))
     kw = K.keywords(docs, "pos", "text", 10)
     per_domain = (kw.join(docs.select("pos", "domain"), "pos")
                   .groupBy("domain", "keyword").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_docs")))

@@ -19,6 +19,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # sort-merge -> shuffled hash join at runtime, only when every measured
+    # build-side partition is below this size (skips both sorts)
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
@@ -26,9 +29,13 @@ SCALE_CONF = {
 
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "linkloom",
-              extra: dict | None = None) -> SparkSession:
+              extra: dict | None = None, driver_memory: str | None = None) -> SparkSession:
+    """Local/test session.  In local mode the driver JVM is the executor, so
+    its heap is the whole engine's memory (Spark's default is 1 GB)."""
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(SCALE_CONF)
+    if master.startswith("local"):
+        conf["spark.driver.memory"] = driver_memory or os.environ.get("LINKLOOM_DRIVER_MEMORY", "12g")
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.ui.enabled"] = "false"
     conf.update(extra or {})
