@@ -23,5 +23,5 @@ def register(name: str, sql: str | None = None):
 def load_all():
     # importing the modules fills the registry
     from linkloom.plans import (  # noqa: F401
-        q_entries, q_text, q_html, q_boilerplate, q_keywords, q_vectors, q_cluster, q_pipeline)
+        q_entries, q_text, q_html, q_boilerplate, q_keywords, q_vectors, q_cluster, q_pipeline, q_streaming)
     return QUERIES, ORACLES

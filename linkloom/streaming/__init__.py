@@ -1 +1 @@
-"""linkloom.streaming."""
+"""Structured Streaming forms of the incremental steps."""
