@@ -13,13 +13,31 @@ from linkloom.functions import patterns as PT
 from linkloom.functions import text as T
 
 
+CONTENT_TAGS = ("NN", "JJ", "VB", "RB")
+
+
+def content_words(tokens: Column, tagger=None) -> Column:
+    """Keep valid tokens tagged noun/adjective/verb/adverb.
+
+    ``tagger`` is a user-supplied vectorised function ``array<string> ->
+    array<string>`` of tags (e.g. an Arrow pandas UDF around any tagger);
+    without one, the valid-token filter (T12) is used, as the original does
+    when no tagger can be loaded.
+    """
+    if tagger is None:
+        return T.valid_tokens(tokens)
+    tags = tagger(tokens)
+    pairs = F.arrays_zip(tokens.alias("t"), tags.alias("g"))
+    kept = F.filter(pairs, lambda p: F.substring(p["g"], 1, 2).isin(*CONTENT_TAGS))
+    return T.valid_tokens(F.transform(kept, lambda p: p["t"]))
+
+
 def clean_column(c: Column, max_tokens: int = 400, sequence=None, extra_patterns=None,
                  tagger=None, min_words: int = 3, fold_ascii: bool = True) -> Column:
     """Cleaning filter for one text column: T9 -> T10 -> T11 -> T12/T13 -> T14."""
     text = PT.apply_patterns(c, PT.resolve_sequence(sequence, extra_patterns))
     text = T.normalize_text(text, fold_ascii=fold_ascii)
-    toks = T.tokenize(text)
-    toks = T.valid_tokens(tagger(toks) if tagger is not None else toks)
+    toks = content_words(T.tokenize(text), tagger)
     out = T.limit_tokens(toks, max_tokens, min_words)
     return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(out)
 

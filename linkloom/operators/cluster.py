@@ -420,6 +420,20 @@ def cluster_and_label(df: DataFrame, algorithm: str = "kmeans", vec_col: str = "
                       n_clusters: int = 10, eps: float = 1.0, min_samples: int = 2, min_cluster_size: int = 5,
                       seed: int = 42, top_k: int = 5, zero_shot: bool = False, candidate_labels=None):
     """Fit -> keyword labels (A11) -> optional zero-shot labels (J5 + J2)."""
+    if not isinstance(algorithm, str):
+        # Any pyspark.ml Estimator whose model writes ``predictionCol``
+        from pyspark.ml.functions import array_to_vector
+        est = algorithm
+        data = df.withColumn("_v", array_to_vector(F.col(vec_col).cast("array<double>")))
+        est = est.copy({est.featuresCol: "_v", est.predictionCol: "cluster_id"})
+        out = est.fit(data).transform(data).drop("_v").withColumn("cluster_id", F.col("cluster_id").cast("long")) \
+            .withColumn("cluster_conf", F.lit(None).cast("double"))
+        out = cluster_keyword_labels(out, top_k)
+        if zero_shot:
+            from linkloom.operators.joins import attach_cluster_label
+            z = score_labels(out, candidate_labels)
+            out = attach_cluster_label(out, z.select("cluster_id", "zero_shot_label"), label_col="zero_shot_label")
+        return out
     algo = algorithm.lower()
     if algo == "kmeans":
         out, _ = kmeans(df, vec_col, n_clusters, seed)

@@ -140,3 +140,13 @@ def t19_mostly_stopwords(spark, sf):
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", (F.col("line_no") + 1).alias("line_no"),
                         T.mostly_stopwords(F.col("line")).alias("mostly_stopwords"))
+
+
+@register("t13_content_words", f"""SELECT doc_id, array_to_string({sql_valid(sql_tokens(sql_normalize(PT.sql_apply_patterns('text', _SEQ))))}, ' ')
+  AS content_words FROM documents""")
+def t13_content_words(spark, sf):
+    # no tagger supplied -> the original's own fallback: valid tokens
+    from linkloom.operators.clean import content_words
+    d = load(spark, sf, "documents")
+    toks = T.tokenize(T.normalize_text(PT.apply_patterns(F.col("text"), _SEQ)))
+    return d.select("doc_id", F.array_join(content_words(toks, None), " ").alias("content_words"))
