@@ -13,19 +13,20 @@ def dedup_entries(df: DataFrame, max_length: int = 200, order_by_first_seen: boo
     """A1: one row per URL - the first occurrence (smallest ``pos``) with the
     union of all group ids.  URLs longer than ``max_length`` are kept as is.
 
-    One shuffle on ``url``; ``min_by`` and ``collect_set`` are combined
-    map-side, so a URL repeated millions of times ships one partial row per
-    task, and the set holds distinct group ids only.
+    One scan and one shuffle: the grouping key is (url, pos) for long URLs
+    (every row its own group) and (url, null) otherwise.  ``min_by`` and
+    ``collect_set`` are combined map-side, so a URL repeated millions of
+    times ships one partial row per task, and the set holds distinct group
+    ids only.
     """
     cols = [c for c in df.columns if c not in ("url", "group_ids")]
-    short = df.filter(F.length("url") <= max_length)
-    long_ = df.filter(F.length("url") > max_length)
-    merged = (short
-              .select("url", "pos", F.struct(*cols).alias("_first"), F.explode_outer("group_ids").alias("_gid"))
-              .groupBy("url")
+    keep_key = F.when(F.length("url") > max_length, F.col("pos"))
+    merged = (df.select("url", keep_key.alias("_long"), "pos", F.struct(*cols).alias("_first"),
+                        F.explode_outer("group_ids").alias("_gid"))
+              .groupBy("url", "_long")
               .agg(F.min_by("_first", "pos").alias("_first"), F.collect_set("_gid").alias("group_ids"))
               .select("url", "_first.*", F.array_sort("group_ids").alias("group_ids")))
-    out = merged.select(*df.columns).unionByName(long_.select(*df.columns))
+    out = merged.select(*df.columns)
     if order_by_first_seen:
         first = out.groupBy("domain").agg(F.min("pos").alias("_domain_first"))
         out = out.join(first, "domain").orderBy("_domain_first", "pos").drop("_domain_first").select(*df.columns)

@@ -234,13 +234,18 @@ def a15_seed_labels(spark, sf):
     return seed_labels(_folder_labels(spark, sf), _SEEDS)
 
 
-@register("j9_drop_labels", f"""SELECT label FROM (SELECT unnest({_LABELS_SQL}) AS label)
-WHERE lower(label) NOT IN (SELECT lower(source) FROM documents UNION SELECT 'misc' UNION SELECT 'nsfw')""")
+_J9_SQL = """WITH cand AS (SELECT DISTINCT lower(regexp_extract(text, '^[\\p{L}\\p{N}_]+', 0)) AS label FROM documents),
+drops AS (SELECT DISTINCT lower(lang) AS d FROM documents UNION SELECT 'misc')
+SELECT label FROM cand WHERE label <> '' AND lower(label) NOT IN (SELECT d FROM drops)"""
+
+
+@register("j9_drop_labels", _J9_SQL)
 def j9_drop_labels(spark, sf):
-    labs = spark.createDataFrame([(x,) for x in dict.fromkeys(CL.DEFAULT_ZERO_SHOT_LABELS)], "label string")
-    drops = load(spark, sf, "documents").select(F.col("source").alias("d")).unionByName(
-        spark.createDataFrame([("MISC",), ("Nsfw",)], "d string"))
-    return J.drop_labels(labs, drops, "label")
+    d = load(spark, sf, "documents")
+    cand = d.select(F.lower(F.regexp_extract("text", r"^[\p{L}\p{N}_]+", 0)).alias("label")).distinct() \
+        .filter(F.col("label") != "")
+    drops = d.select(F.upper("lang").alias("d")).unionByName(spark.createDataFrame([("MISC",)], "d string"))
+    return J.drop_labels(cand, drops, "label")
 
 
 # --- boilerplate map sink/source, refit of unlocked domains --------------------------------
