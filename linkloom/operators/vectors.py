@@ -52,12 +52,26 @@ def encode_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 384) ->
     return sums.join(norms, "id").select(F.col("id").alias(id_col), "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _scatter(idx, val, dim):
+    """(indices, values) -> dense vector; one NumPy scatter per row of an Arrow batch."""
+    import pandas as pd
+    out = []
+    for i, v, d in zip(idx, val, dim):
+        x = np.zeros(int(d))
+        if i is not None and len(i):
+            x[np.asarray(i, dtype=np.int64)] = np.asarray(v, dtype=float)
+        out.append(x)
+    return pd.Series(out)
+
+
 def to_dense(sparse: DataFrame, id_col: str, dim: int, out_col: str = "vector") -> DataFrame:
     """(id, bucket, value) -> (id, array<double>[dim]); ids without features
-    are absent (join back with ``fill_zero_vectors``)."""
-    m = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))
-    return m.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias(out_col))
+    are absent (``encode`` fills zero vectors).  Per-id lists are bounded by
+    ``dim``; Spark has no scatter expression, so the scatter is an Arrow
+    pandas UDF (linear in dim + nnz)."""
+    m = sparse.groupBy(id_col).agg(F.collect_list("bucket").alias("_i"), F.collect_list("value").alias("_v"))
+    return m.select(id_col, _scatter(F.col("_i"), F.col("_v"), F.lit(dim)).alias(out_col))
 
 
 def zero_vector(dim: int) -> Column:
@@ -127,16 +141,20 @@ def hybrid_embedding(df: DataFrame, id_col: str = "pos", dim: int = 384, seed: i
 
 
 def combine_numeric(df: DataFrame, emb_col: str = "embedding", out_col: str = "features",
-                    numeric=("path_depth", "days_since_epoch"), categorical=("is_subdomain",)) -> DataFrame:
+                    numeric=("path_depth", "days_since_epoch"), categorical=("is_subdomain",),
+                    stats_from: DataFrame | None = None) -> DataFrame:
     """M4: standardise numeric columns (population std; constant -> 0; null ->
     mean, i.e. 0), append categorical as is, concatenate to the embedding.
-    The statistics are one global aggregate (two numbers per column)."""
+    The statistics are one global aggregate (two numbers per column), taken
+    from ``stats_from`` when given - a lighter DataFrame with the same
+    numeric columns, so the embedding lineage is not computed twice."""
     numeric = [c for c in numeric if c in df.columns]
     categorical = [c for c in categorical if c in df.columns]
     if not numeric and not categorical:
         return df.withColumn(out_col, F.col(emb_col))
-    stats = df.agg(*[F.avg(c).alias(f"{c}__m") for c in numeric],
-                   *[F.stddev_pop(c).alias(f"{c}__s") for c in numeric]).collect()[0] if numeric else None
+    src = (stats_from if stats_from is not None else df).select(*numeric) if numeric else None
+    stats = src.agg(*[F.avg(c).alias(f"{c}__m") for c in numeric],
+                    *[F.stddev_pop(c).alias(f"{c}__s") for c in numeric]).collect()[0] if numeric else None
     parts = []
     for c in numeric:
         m, s = stats[f"{c}__m"], stats[f"{c}__s"]
@@ -187,4 +205,4 @@ def build_features(df: DataFrame, include=("keyword", "path", "subdomain", "date
         base = base.withColumn("keywords_text", F.lit("")).withColumn("raw_keywords", F.lit("{}"))
     feats = with_features(base, include)
     emb = hybrid_embedding(feats, id_col=id_col, dim=dim, seed=seed)
-    return combine_numeric(emb)
+    return combine_numeric(emb, stats_from=feats)

@@ -75,10 +75,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
+def cut_lineage(df: DataFrame, rebalance: bool = True) -> DataFrame:
+    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss.
+
+    AQE may have coalesced a small but CPU-heavy table (e.g. page texts) into
+    one partition; when the checkpointed result has fewer partitions than the
+    cluster has cores it is spread out again (never the case on large data).
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if rebalance:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if target > 1 and out.rdd.getNumPartitions() < target:
+            out = out.repartition(target)
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
