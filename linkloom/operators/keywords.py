@@ -38,8 +38,15 @@ def candidate_grams(text, ngram=(1, 2)):
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, ngram=(1, 2), seeds: DataFrame | None = None) -> DataFrame:
-    """(id, gram, tf): one shuffle on (id, gram), combined map-side."""
-    g = df.select(F.col(id_col).alias("id"), F.explode(candidate_grams(F.col(text_col), ngram)).alias("gram"))
+    """(id, gram, tf): one shuffle on (id, gram), combined map-side.
+
+    Null keys are filtered explicitly: every consumer of this table (tf,
+    df, class sizes) then has an identical plan below its join, so AQE
+    reuses one exchange instead of tokenising the corpus once per branch.
+    """
+    g = df.filter(F.col(id_col).isNotNull()) \
+        .select(F.col(id_col).alias("id"), F.explode(candidate_grams(F.col(text_col), ngram)).alias("gram")) \
+        .filter(F.col("gram").isNotNull())
     if seeds is not None:
         from linkloom.operators.joins import broadcast_if_small
         s = seeds.select(F.lower(F.col(seeds.columns[0])).alias("gram")).distinct()
