@@ -226,15 +226,15 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
     """
     e = edges.select(F.col("i").alias("src"), F.col("j").alias("dst"))
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    e = cut_lineage(e)
-    labels = cut_lineage(vertices.select(F.col("id"), F.col("id").alias("label")))
+    e = cut_lineage(e, rebalance=False)
+    labels = cut_lineage(vertices.select(F.col("id"), F.col("id").alias("label")), rebalance=False)
     for it in range(max_iter):
         prop = e.join(labels.withColumnRenamed("id", "src"), "src") \
             .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("cand"))
         new = labels.join(prop, "id", "left").select(
             "id", F.least("label", F.coalesce("cand", "label")).alias("label"))
         if (it + 1) % checkpoint_every == 0:
-            new = cut_lineage(new)
+            new = cut_lineage(new, rebalance=False)
         changed = new.join(labels.withColumnRenamed("label", "old"), "id").filter("label <> old").limit(1).count()
         labels = new
         if changed == 0:
@@ -257,7 +257,7 @@ def density_cluster(df: DataFrame, eps: float, min_samples: int = 2, min_cluster
     if pairs is None:
         pairs = range_pairs(df, eps, id_col, vec_col, block_size) if method == "exact" else \
             range_pairs_lsh(df, eps, id_col, vec_col)
-    pairs = cut_lineage(pairs)
+    pairs = cut_lineage(pairs, rebalance=False)
     ids = df.select(F.col(id_col).cast("long").alias("id"))
     sym = pairs.select("i", "j", "d").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
     core = ids.select("id", F.lit(None).cast("double").alias("core_dist"))
@@ -300,7 +300,7 @@ def density_hierarchy(df: DataFrame, levels: list[float], min_samples: int = 2,
     Exact HDBSCAN* selection as the grid approaches all edge weights.
     """
     levels = sorted(set(levels), reverse=True)
-    pairs = cut_lineage(range_pairs(df, levels[0], id_col, vec_col, block_size))
+    pairs = cut_lineage(range_pairs(df, levels[0], id_col, vec_col, block_size), rebalance=False)
     per = []
     for li, eps in enumerate(levels):
         lab = density_cluster(df, eps, min_samples, min_cluster_size, id_col, vec_col,
@@ -311,7 +311,7 @@ def density_hierarchy(df: DataFrame, levels: list[float], min_samples: int = 2,
     allv = per[0]
     for p in per[1:]:
         allv = allv.unionByName(p)
-    allv = cut_lineage(allv)
+    allv = cut_lineage(allv, rebalance=False)
     lam_of = F.element_at(F.lit([1.0 / e for e in levels]), F.col("lvl") + 1)
     # parent of a cluster: the cluster of its points one level up (larger eps)
     up = allv.select("id", (F.col("lvl") + 1).alias("lvl"), F.col("cid").alias("child"))
@@ -325,7 +325,7 @@ def density_hierarchy(df: DataFrame, levels: list[float], min_samples: int = 2,
         .groupBy("cid").agg(F.sum(F.col("lam_leave") - F.col("lam_birth")).alias("stability"))
     tree = stab.join(links.withColumnRenamed("child", "cid"), "cid", "left").withColumn(
         "lvl", F.split("cid", ":")[0].cast("int"))
-    tree = cut_lineage(tree)
+    tree = cut_lineage(tree, rebalance=False)
     # bottom-up selection, one pass per level (deepest level first)
     best = tree.select("cid", "parent", "lvl", "stability", F.col("stability").alias("best"),
                        F.lit(True).alias("selected"))
@@ -336,7 +336,7 @@ def density_hierarchy(df: DataFrame, levels: list[float], min_samples: int = 2,
                                F.col("stability") >= F.coalesce("kid_best", F.lit(-1.0))).otherwise(F.col("selected"))
         ).withColumn("best", F.when((F.col("lvl") == li - 1) & F.col("kid_best").isNotNull(),
                                     F.greatest("stability", "kid_best")).otherwise(F.col("best"))).drop("kid_best")
-        best = cut_lineage(best)
+        best = cut_lineage(best, rebalance=False)
     # a point takes its shallowest selected cluster whose ancestors are not selected
     sel = best.filter("selected").select("cid", "lvl")
     pts = member.join(sel, ["cid", "lvl"])
