@@ -29,8 +29,13 @@ def sample_valid_texts(df: DataFrame, text_col: str = "scraped", min_domain_size
     sizes = df.groupBy("domain").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") >= min_domain_size)
     if locked is not None:
         sizes = sizes.join(locked.select("domain").distinct(), "domain", "left_anti")
-    picked = first_per_group(df.select("domain", "pos", F.col(text_col).alias("text")), "domain", "pos", samples)
-    picked = picked.join(sizes.select("domain"), "domain", "left_semi")
+    # rank on the narrow (domain, pos) projection only - texts never enter the
+    # window sort - then keep rows up to each domain's cut-off position (one
+    # row per domain: AQE broadcasts it when small, else a skew-split join)
+    keys = first_per_group(df.select("domain", "pos"), "domain", "pos", samples)
+    cut = keys.groupBy("domain").agg(F.max("pos").alias("_cut")).join(sizes.select("domain"), "domain", "left_semi")
+    picked = df.select("domain", "pos", F.col(text_col).alias("text")).join(cut, "domain") \
+        .filter(F.col("pos") <= F.col("_cut")).drop("_cut")
     valid = picked.filter(F.col("text").isNotNull() & (F.length("text") > min_text_length))
     n_docs = valid.groupBy("domain").agg(F.count(F.lit(1)).alias("n_docs"))
     return valid.join(n_docs, "domain").select("domain", "pos", "text", "n_docs")
