@@ -21,7 +21,9 @@ def flagship(spark: SparkSession, sf_dir: str, top_n: int = 5, max_tokens: int =
     ents = E.dedup_entries(entries_dup(entries_from(pages)))
     text = H.visible_text(pages, 1000).withColumnRenamed("page_id", "pos")
     # pages are keyed by page_id = the first occurrence's pos, so the page text joins on pos
-    with_text = ents.join(text.withColumnRenamed("visible_text", "scraped"), "pos", "left")
+    # stage boundary after the HTML scan: a reliable checkpoint, spread over
+    # the cluster again if AQE collapsed the small join output
+    with_text = cut_lineage(ents.join(text.withColumnRenamed("visible_text", "scraped"), "pos", "left"))
     cleaned = C.clean_entries(with_text, None, max_tokens=max_tokens)
     # stage boundary: the HTML scan and cleaning run once, not again for the
     # keyword scorer's document count (reliable checkpoint, survives executor loss)
