@@ -131,17 +131,34 @@ def _is_container(node):
     return bool(classes & CONTAINER_CLASSES)
 
 
-def main_elements(root):
-    """H2 scan: one record per element of interest outside the dropped
-    subtrees: (seq, tag, text, container ancestors, is_container, blocky,
-    meta name, meta content)."""
+def _joined_text(node):
+    """Whitespace-normalised text with one space between text nodes (the
+    ``text()`` of DOM libraries), used by the page summary (H4)."""
+    parts = []
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            parts.append(n)
+            continue
+        if n.tag == "br":
+            parts.append(" ")
+        stack.extend(reversed(n.children))
+    return " ".join(" ".join(parts).split())
+
+
+def main_elements(root, keep_all: bool = False):
+    """Element scan: one record per element of interest: (seq, tag, text,
+    container ancestors, is_container, blocky, meta name, meta content, meta
+    property, joined text).  H2 skips the dropped subtrees; ``keep_all``
+    (H4) keeps every element."""
     out = []
     first_title = True
 
     def walk(n, containers):
         nonlocal first_title
         for c in n.children:
-            if isinstance(c, str) or c.dropped_main:
+            if isinstance(c, str) or (c.dropped_main and not keep_all):
                 continue
             is_c = _is_container(c)
             if c.tag in INTEREST or is_c:
@@ -155,7 +172,8 @@ def main_elements(root):
                     first_title = False
                 out.append((c.seq, tag, text, list(containers), is_c,
                             _has_blocky_descendant(c) if c.tag in ("div", "section", "span") else False,
-                            meta_name, meta_content))
+                            meta_name, meta_content, c.attrs.get("property") if c.tag == "meta" else None,
+                            _joined_text(c) if keep_all and c.tag in ("title", "p") else None))
             walk(c, containers + [c.seq] if is_c else containers)
     walk(root, [])
     return out
