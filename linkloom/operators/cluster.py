@@ -233,9 +233,19 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
             .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("cand"))
         new = labels.join(prop, "id", "left").select(
             "id", F.least("label", F.coalesce("cand", "label")).alias("label"))
+        # pointer jumping: a vertex adopts its label's label (same component,
+        # never larger), so long chains collapse in logarithmically many rounds
+        jump = new.select(F.col("id").alias("label"), F.col("label").alias("_ll"))
+        new = new.join(jump, "label", "left").select("id", F.least("label", F.coalesce("_ll", "label")).alias("label"))
         if (it + 1) % checkpoint_every == 0:
             new = cut_lineage(new, rebalance=False)
+        else:
+            # a round reads the previous labels several times: materialise it
+            # once (cache; the reliable checkpoints bound what a lost executor replays)
+            new = new.persist()
         changed = new.join(labels.withColumnRenamed("label", "old"), "id").filter("label <> old").limit(1).count()
+        if labels.is_cached:
+            labels.unpersist()
         labels = new
         if changed == 0:
             break

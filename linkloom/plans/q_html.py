@@ -165,7 +165,7 @@ def h6_to_ascii(spark, sf):
     return d.select("doc_id", T.to_ascii(F.col("text")).alias("ascii_text"))
 
 
-@register("s6_read_pages")
+@register("s6_read_pages", "SELECT page_id, url, 'html' AS kind, length(html) AS n_chars FROM pages")
 def s6_read_pages(spark, sf):
     from linkloom.sources.pages import read_pages
     return read_pages(spark, f"{sf.rstrip('/')}/pages.parquet").select("page_id", "url", "kind",
