@@ -298,7 +298,8 @@ def density_confidence(clustered: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def density_hierarchy(df: DataFrame, levels: list[float], min_samples: int = 2, min_cluster_size: int = 5,
-                      id_col: str = "id", vec_col: str = "vector", block_size: int = 512) -> DataFrame:
+                      id_col: str = "id", vec_col: str = "vector", block_size: int = 512,
+                      method: str = "exact") -> DataFrame:
     """M9: clusters chosen across scales by stability (excess of mass).
 
     DBSCAN* is run at each eps level (largest first) over one pair table;
@@ -310,7 +311,9 @@ def density_hierarchy(df: DataFrame, levels: list[float], min_samples: int = 2,
     Exact HDBSCAN* selection as the grid approaches all edge weights.
     """
     levels = sorted(set(levels), reverse=True)
-    pairs = cut_lineage(range_pairs(df, levels[0], id_col, vec_col, block_size), rebalance=False)
+    pairs = range_pairs(df, levels[0], id_col, vec_col, block_size) if method == "exact" else \
+        range_pairs_lsh(df, levels[0], id_col, vec_col)
+    pairs = cut_lineage(pairs, rebalance=False)
     per = []
     for li, eps in enumerate(levels):
         lab = density_cluster(df, eps, min_samples, min_cluster_size, id_col, vec_col,

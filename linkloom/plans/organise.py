@@ -43,7 +43,11 @@ def _stage(df: DataFrame, name: str, cache_root: str | None, fp: str | None) ->
 
 
 def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None, algorithm: str = "hdbscan",
-             zero_shot: bool = False, candidate_labels=None, cache_root: str | None = None) -> DataFrame:
+             zero_shot: bool = False, candidate_labels=None, cache_root: str | None = None,
+             neighbor_method: str = "exact") -> DataFrame:
+    """``neighbor_method="lsh"`` switches density clustering to MLlib LSH
+    candidate pairs (approximate recall) for inputs too large for the exact
+    blocked pair search."""
     cfg = cfg or Settings()
     fp = None
     if cache_root:
@@ -64,7 +68,7 @@ def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None,
         out = CL.cluster_and_label(feats, "kmeans", "features", "pos", n_clusters=cfg.n_clusters, seed=cfg.seed,
                                    zero_shot=zero_shot, candidate_labels=candidate_labels)
     elif algorithm in ("hdbscan", "density"):
-        out = _density_pipeline(feats, cfg, zero_shot, candidate_labels)
+        out = _density_pipeline(feats, cfg, zero_shot, candidate_labels, neighbor_method)
     else:
         raise ValueError(f"Unsupported clustering algorithm: {algorithm}")
     keep = [c for c in ("pos", "url", "title", "domain", "date", "group_ids", "folder", "clean_text",
@@ -73,17 +77,22 @@ def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None,
     return out.select(*keep)
 
 
-def _density_pipeline(feats: DataFrame, cfg: Settings, zero_shot: bool, candidate_labels) -> DataFrame:
+def _density_pipeline(feats: DataFrame, cfg: Settings, zero_shot: bool, candidate_labels,
+                      method: str = "exact") -> DataFrame:
     """HDBSCAN-like default: scales from quantiles of the core distance
     (distributed approxQuantile), clusters chosen by stability (M9)."""
     ms = cfg.effective_min_samples
-    k = CL.knn(feats, max(ms - 1, 1), "pos", "features")
-    core = k.filter(F.col("rank") == max(ms - 1, 1))
-    qs = [q for q in core.approxQuantile("dist", [0.2, 0.4, 0.6, 0.8, 0.95], 0.01) if q is not None]
+    if method == "exact":
+        k = CL.knn(feats, max(ms - 1, 1), "pos", "features")
+        core = k.filter(F.col("rank") == max(ms - 1, 1)).select(F.col("dist").alias("d"))
+    else:
+        # scale grid from the distances of LSH candidate pairs under a generous radius
+        core = CL.range_pairs_lsh(feats, 2.0, "pos", "features").select("d")
+    qs = [q for q in core.approxQuantile("d", [0.2, 0.4, 0.6, 0.8, 0.95], 0.01) if q is not None]
     levels = sorted({round(q, 6) for q in qs if q > 0}, reverse=True) or [1.0]
-    lab = CL.density_hierarchy(feats, levels, ms, cfg.min_cluster_size, "pos", "features")
+    lab = CL.density_hierarchy(feats, levels, ms, cfg.min_cluster_size, "pos", "features", method=method)
     out = feats.join(lab, "pos")
-    best = CL.density_cluster(feats, levels[0], ms, cfg.min_cluster_size, "pos", "features") \
+    best = CL.density_cluster(feats, levels[0], ms, cfg.min_cluster_size, "pos", "features", method=method) \
         .select("pos", "core_dist")
     conf = out.join(best, "pos", "left")
     conf = CL.density_confidence(conf, "pos")

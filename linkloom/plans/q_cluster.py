@@ -281,12 +281,15 @@ def s8_clusters_csv(spark, sf):
 
 @register("s9_stage_checkpoint", "SELECT doc_id, md5(text) AS fingerprint FROM documents")
 def s9_stage_checkpoint(spark, sf):
+    """Write the stage once, then read it back through a cache hit whose
+    compute function would return nothing - the result proves reuse."""
+    from linkloom.session import scratch_path
     from linkloom.sources.sinks import StageCheckpoint, corpus_fingerprint
     d = load(spark, sf, "documents").select("doc_id", F.md5("text").alias("fingerprint"))
     fp = corpus_fingerprint(d, "doc_id", "fingerprint")
-    ck = StageCheckpoint(root=f"{__import__('linkloom.session', fromlist=['x']).scratch_path(spark, 'stages')}")
-    first = ck.run("fingerprints", fp, lambda: d)
-    return ck.run("fingerprints", fp, lambda: d.limit(0)) if first is not None else first
+    ck = StageCheckpoint(root=scratch_path(spark, f"stages-{uuid.uuid4().hex}"))
+    ck.run("fingerprints", fp, lambda: d)
+    return ck.run("fingerprints", fp, lambda: d.limit(0))
 
 
 @register("a16_corpus_fingerprint")
