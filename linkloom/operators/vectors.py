@@ -29,13 +29,14 @@ def hash_features(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def bucket_of(feature: Column, dim: int) -> Column:
-    h = F.md5(feature)
+def bucket_of(feature: Column, dim: int, hashed: bool = False) -> Column:
+    """md5 bucket of a feature (``hashed``: the column already holds md5 hex)."""
+    h = feature if hashed else F.md5(feature)
     return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int")
 
 
-def sign_of(feature: Column) -> Column:
-    h = F.md5(feature)
+def sign_of(feature: Column, hashed: bool = False) -> Column:
+    h = feature if hashed else F.md5(feature)
     return F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
@@ -45,8 +46,11 @@ def encode_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 384) ->
     Two aggregations: per (id, bucket) sums (combined map-side), then the
     per-id norm via a window bounded by ``dim`` rows per id.
     """
-    feats = df.select(F.col(id_col).alias("id"), F.explode(hash_features(F.col(text_col))).alias("f"))
-    sums = feats.groupBy("id", bucket_of(F.col("f"), dim).alias("bucket")).agg(F.sum(sign_of(F.col("f"))).alias("v"))
+    # one md5 per feature, projected before the aggregation
+    feats = df.select(F.col(id_col).alias("id"), F.explode(hash_features(F.col(text_col))).alias("f")) \
+        .select("id", F.md5("f").alias("h"))
+    sums = feats.select("id", bucket_of(F.col("h"), dim, True).alias("bucket"), sign_of(F.col("h"), True).alias("s")) \
+        .groupBy("id", "bucket").agg(F.sum("s").alias("v"))
     sums = sums.filter(F.col("v") != 0)
     norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return sums.join(norms, "id").select(F.col("id").alias(id_col), "bucket", (F.col("v") / F.col("norm")).alias("value"))
