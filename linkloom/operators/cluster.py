@@ -20,7 +20,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import stopword_array  # noqa: F401  (re-exported helper)
 from linkloom.session import cut_lineage
 
 # Candidate labels for zero-shot cluster naming (the original

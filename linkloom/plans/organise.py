@@ -28,7 +28,8 @@ from linkloom.session import cut_lineage
 def page_texts(pages: DataFrame, max_strings: int = 1000) -> DataFrame:
     """(url, scraped): visible text folded to ASCII; challenge pages and
     failed pages give ''; one text per url (lowest page_id)."""
-    good, _ = __import__("linkloom.sources.pages", fromlist=["x"]).split_challenge_pages(pages)
+    from linkloom.sources.pages import split_challenge_pages
+    good, _ = split_challenge_pages(pages)
     vis = H.visible_text(good, max_strings)
     t = good.select("page_id", "url").join(vis, "page_id")
     t = t.withColumn("scraped", T.to_ascii(F.col("visible_text")))

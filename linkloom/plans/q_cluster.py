@@ -13,6 +13,7 @@ from linkloom.operators import entries as E
 from linkloom.operators import joins as J
 from linkloom.operators import keywords as K
 from linkloom.plans.q_boilerplate import FREQ, fit_sql
+from linkloom.plans.q_entries import _P13_SQL
 from linkloom.plans.q_keywords import TFIDF_SQL, _md5_bucket, _md5_sign, encode_sql, hash_feats_sql
 from linkloom.plans.registry import register
 from linkloom.sources.tables import docs_as_entries, load
@@ -222,7 +223,7 @@ def _folder_labels(spark, sf):
     return _folder_paths(entries(spark, sf)).select(folder_label(F.col("path")).alias("label"))
 
 
-_FOLDER_LABEL_SQL = __import__("linkloom.plans.q_entries", fromlist=["_P13_SQL"])._P13_SQL
+_FOLDER_LABEL_SQL = _P13_SQL
 _SEEDS = ["coding", "News", "travel"]
 
 
