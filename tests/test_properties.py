@@ -131,3 +131,22 @@ def test_any_mllib_estimator_clusters(spark, sf):
     out = CL.cluster_and_label(e, BisectingKMeans(k=3, seed=1), "v", "vec_id")
     assert out.select("cluster_id").distinct().count() == 3
     assert out.filter("cluster_label = 'alpha | beta'").count() == out.count()
+
+
+def test_hot_domain_is_split_and_ranked_exactly(spark, sf):
+    """Two thirds of the entries moved into one domain: the skew-safe rank
+    spreads that domain over several range partitions and still equals
+    row_number; dedup and sampling stay exact."""
+    from pyspark.sql import Window
+    from linkloom.operators.ranking import rank_within_group
+    e = entries_dup(entries(spark, sf)).withColumn(
+        "domain", F.when(F.col("pos") % 3 != 0, F.lit("hot.example.com")).otherwise(F.col("domain")))
+    parts = e.repartitionByRange(8, "domain", "pos").withColumn("p", F.spark_partition_id()) \
+        .filter(F.col("domain") == "hot.example.com").select("p").distinct().count()
+    assert parts > 1
+    got = rows(rank_within_group(e, "domain", ["pos"], "rn", 8), "pos", "rn")
+    exp = rows(e.withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy("pos"))), "pos", "rn")
+    assert got == exp
+    assert E.dedup_entries(e).count() == e.select("url").distinct().count()
+    s = E.sample_per_domain(e, 8)
+    assert s.filter(F.col("domain") == "hot.example.com").count() == 8
