@@ -1,5 +1,5 @@
 """Clustering (M6-M10, M12), neighbours (J7, J8) and cluster labels
-(A9-A13, J2, J3, J5).
+(A9-A13, J5); J2, J3 live in joins.py.
 
 * k-means is MLlib's (k-means||); centroids (k rows, size-checked) become a
   literal array so assignment and confidence need no join.

@@ -52,9 +52,10 @@ def sample_per_domain(df: DataFrame, n: int = 8) -> DataFrame:
 def interleave_by_domain(df: DataFrame) -> DataFrame:
     """Round-robin order over domains taken in first-seen order.
 
-    Adds ``turn`` (1-based position within the domain) and ``domain_first``;
-    the interleaved order is ``orderBy(turn, domain_first)``, exposed as the
-    dense ``visit_order`` computed by a range-partitioned global sort.
+    Adds ``turn`` (1-based position within the domain, skew-safe rank) and
+    ``domain_first``; the interleaved order is ``orderBy("turn",
+    "domain_first")`` - a range-partitioned sort, never a single-task
+    global row number.
     """
     ranked = rank_within_group(df, "domain", ["pos"], out_col="turn")
     first = df.groupBy("domain").agg(F.min("pos").alias("domain_first"))
