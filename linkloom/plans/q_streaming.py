@@ -108,3 +108,24 @@ def r4_stream_dedup(spark, sf):
         .option("checkpointLocation", base + "/ck").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("pos long, url string, date timestamp_ntz").parquet(base + "/out").select("url", "pos")
+
+
+def _r1f_sql():
+    from linkloom.plans.q_boilerplate import fit_sql
+    from linkloom.sources.tables import ENTRIES_SQL
+    cte = ENTRIES_SQL + ", ent AS (SELECT e.domain, e.pos, p.html AS scraped FROM entries e JOIN pages p ON p.page_id = e.pos)"
+    return "WITH " + fit_sql(0.75, "ent", "scraped", cte) + " SELECT domain, phrase, kind, n FROM boilerplate"
+
+
+@register("r1_stream_boilerplate_finalized", _r1f_sql())
+def r1_stream_boilerplate_finalized(spark, sf):
+    """Page stream (availableNow) + end-of-input flush of the leftover state:
+    equals the batch fit for every domain, small ones included."""
+    from linkloom.streaming.operators import finalize_boilerplate, stream_boilerplate
+    pages = load(spark, sf, "pages").select(F.col("page_id").alias("pos"), "html")
+    e = entries(spark, sf).join(pages, "pos").select("domain", "pos", F.col("html").alias("scraped"))
+    s, base = _stream(spark, e, "pos")
+    q = stream_boilerplate(s, base + "/out", base + "/ck")
+    q.awaitTermination()
+    finalize_boilerplate(spark, base + "/ck", base + "/out")
+    return spark.read.schema("domain string, phrase string, kind string, n long").parquet(base + "/out")

@@ -74,7 +74,6 @@ def stream_boilerplate(stream: DataFrame, output_path: str, checkpoint_path: str
     domains buffered in state.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
-    from linkloom.operators import boilerplate as B
     trigger = trigger or {"availableNow": True}
     continuous = "processingTime" in trigger
     fn, tm = _sampler(samples, min_domain_size)
@@ -88,24 +87,43 @@ def stream_boilerplate(stream: DataFrame, output_path: str, checkpoint_path: str
     def fit(batch: DataFrame, batch_id: int):
         # the batch feeds three branches: materialise the stateful step once
         batch = batch.persist()
-        if batch.limit(1).count() == 0:
-            batch.unpersist()
-            return
-        valid = batch.filter(F.col("text").isNotNull() & (F.length("text") > 3))
-        n_docs = valid.groupBy("domain").agg(F.count(F.lit(1)).alias("n_docs"))
-        texts = valid.join(n_docs, "domain")
-        parts = B.common_sentences(texts, freq, ngram_range).unionByName(B.common_line_edges(texts, freq)) \
-            .unionByName(B.common_ngrams(texts, freq, ngram_range))
-        order = F.when(F.col("kind") == "sentence", 0).when(F.col("kind") == "prefix", 1) \
-            .when(F.col("kind") == "suffix", 2).otherwise(3)
-        out = parts.withColumn("_o", order).groupBy("domain", "phrase") \
-            .agg(F.min_by("kind", "_o").alias("kind"), F.max("n").alias("n"))
-        out.write.mode("append").parquet(output_path)
+        if batch.limit(1).count() > 0:
+            _fit_samples(batch, output_path, freq, ngram_range)
         batch.unpersist()
     w = sampled.writeStream.foreachBatch(fit).option("checkpointLocation", checkpoint_path)
     return w.trigger(**trigger).start()
 
 
+def _fit_samples(samples: DataFrame, output_path: str, freq: float, ngram_range) -> None:
+    """Phrases of complete per-domain samples (domain, pos, text) -> append.
+    The same Spark operators as batch A7."""
+    from linkloom.operators import boilerplate as B
+    valid = samples.filter(F.col("text").isNotNull() & (F.length("text") > 3))
+    n_docs = valid.groupBy("domain").agg(F.count(F.lit(1)).alias("n_docs"))
+    texts = valid.join(n_docs, "domain")
+    parts = B.common_sentences(texts, freq, ngram_range).unionByName(B.common_line_edges(texts, freq)) \
+        .unionByName(B.common_ngrams(texts, freq, ngram_range))
+    order = F.when(F.col("kind") == "sentence", 0).when(F.col("kind") == "prefix", 1) \
+        .when(F.col("kind") == "suffix", 2).otherwise(3)
+    out = parts.withColumn("_o", order).groupBy("domain", "phrase") \
+        .agg(F.min_by("kind", "_o").alias("kind"), F.max("n").alias("n"))
+    out.write.mode("append").parquet(output_path)
+
+
+def finalize_boilerplate(spark, checkpoint_path: str, output_path: str, min_domain_size: int = 3,
+                         freq: float = 0.75, ngram_range=(2, 10)) -> None:
+    """End-of-input flush for R1 (the original's final "finalize all" step):
+    read the stream's leftover per-domain state with the state data source
+    and fit every domain that never reached the full sample but has at least
+    ``min_domain_size`` entries.  Run after an availableNow stream stops."""
+    st = spark.read.format("statestore").load(checkpoint_path)
+    g = F.col("value.groupState")
+    left = st.filter(~g["done"] & (g["n"] >= min_domain_size)).select(
+        F.col("key.domain").alias("domain"), F.explode(F.arrays_zip(g["poss"], g["texts"])).alias("e"))
+    samples = left.select("domain", F.col("e.poss").alias("pos"), F.col("e.texts").alias("text"))
+    _fit_samples(samples, output_path, freq, ngram_range)
+
+
 def stream_keywords(stream: DataFrame, doc_freq: DataFrame, n_docs: int, output_path: str, checkpoint_path: str,
                     id_col: str = "pos", text_col: str = "text", top_k: int = 10, trigger: dict | None = None):
     """R2: tf-idf keywords per entry against frozen (gram, df) statistics."""

@@ -77,3 +77,23 @@ def test_r4_stream_dedup_first_url_wins(spark, sf, tmp_path):
     got = sorted((r.url, r.pos) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     exp = sorted((r.url, r.pos) for r in e.groupBy("url").agg(F.min("pos").alias("pos")).collect())
     assert got == exp
+
+
+def test_r1_stream_plus_finalize_equals_batch_for_all_domains(spark, sf, tmp_path):
+    """availableNow stream, then the end-of-input flush of leftover state:
+    every domain with >= 3 entries is fitted exactly as in batch."""
+    from linkloom.operators import boilerplate as B
+    from linkloom.sources.tables import entries
+    from linkloom.streaming.operators import finalize_boilerplate, stream_boilerplate
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("pos"), "html")
+    e = entries(spark, sf).join(pages, "pos").select("domain", "pos", F.col("html").alias("scraped"))
+    src = str(tmp_path / "src")
+    schema = _write_parts(e, src, "pos", 4)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = stream_boilerplate(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(300)
+    finalize_boilerplate(spark, str(tmp_path / "ck"), str(tmp_path / "out"))
+    got = spark.read.schema("domain string, phrase string, kind string, n long").parquet(str(tmp_path / "out"))
+    a = sorted((r.domain, r.phrase, r.kind, r.n) for r in got.collect())
+    b = sorted((r.domain, r.phrase, r.kind, r.n) for r in B.fit_boilerplate(e, "scraped").collect())
+    assert a == b and len(b) > 0
