@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("q_redirects", "q_toolcalls", "q_license", "q_warc", "q_packing")
+MODULES = ("q_redirects", "q_toolcalls", "q_license", "q_warc", "q_packing", "q_ann")
 
 
 def register(name: str, sql: str | None = None):
