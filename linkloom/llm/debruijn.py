@@ -265,11 +265,15 @@ def covered_words(words: list[bytes], paths, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_paths(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id", text_col: str = "text"):
-    """(all_rows, paths).  all_rows: doc_id, text, t (text hash), copy (whole text is in a smaller
-    document), aside (takes no part).  paths: doc, array of {start, odoc, cuts, digests}: where the
-    edges of a document run along a source, cut at the source's branch points."""
-    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+def path_pieces(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id", text_col: str = "text"):
+    """(rows, live, pieces).  rows: doc_id, text, t (text hash), copy (the whole text is in a smaller
+    document), aside (takes no part); live: rows that are neither.  pieces: doc, start, len, odoc,
+    ostart: len edges of doc from start on run along the source odoc from ostart on.
+
+    All tables are parts of one plan, so the exchange of the texts by doc_id is made once."""
+    # no alias where none is needed: a redundant one keeps the optimizer from reusing the exchange of the texts
+    ident = F.col("doc_id") if (id_col, dict(docs.dtypes)[id_col]) == ("doc_id", "bigint") else F.col(id_col).cast("long").alias("doc_id")
+    x = docs.select(ident, F.coalesce(text_col, F.lit("")).alias("text"))
     x = x.where("doc_id is not null").withColumn("t", F.xxhash64("text"))
     h = x.select("doc_id", "t", F.sha2("text", 256).alias("sha"))
     first = h.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -298,15 +302,13 @@ def repeated_paths(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_
 def drop_repeats(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id", text_col: str = "text",
                  keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row."""
-    from linkloom.llm.common import stage
-    x, live, pieces = repeated_paths(docs, k, s, id_col, text_col)
-    pieces = stage(pieces, "pieces")
+    x, live, pieces = path_pieces(docs, k, s, id_col, text_col)
     cuts = pieces.select(F.col("odoc").alias("doc_id"), F.explode(F.array(F.col("ostart"), F.col("ostart") + F.col("len"))).alias("c"))
     cuts = cuts.groupBy("doc_id").agg(F.sort_array(F.collect_set("c")).alias("cuts"))
     run, schema = _path_digests(k)
     sources = live.join(cuts.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cuts").mapInArrow(run, schema)
     at, to = F.array_position("cuts", F.col("ostart")), F.array_position("cuts", F.col("ostart") + F.col("len"))
-    paths = pieces.join(stage(sources, "sources"), "odoc").select(
+    paths = pieces.join(sources, "odoc").select(
         "doc", "start", F.slice("cuts", at, (to - at + 1).cast("int")).alias("cuts"),
         F.slice("digests", at, (to - at).cast("int")).alias("digests"))
     paths = paths.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "cuts", "digests")).alias("paths"))
