@@ -10,8 +10,8 @@ files of Spark's text writer in the shared folder.  Chunk borders never cut a
 UTF-8 character, and never leave the record separator whole inside a payload,
 so the files can be split at record starts.
 
-Reading: Spark's text reader splits the files at record starts, so one archive
-may be read by many tasks.  Continuations are grouped by origin id, ordered by
+Reading: Spark's text reader splits the files at record starts (plain archives are
+read by many tasks each, compressed ones by one; files have a bounded size).  Continuations are grouped by origin id, ordered by
 segment number, joined, checked against the total length, and their chunk framing
 is decoded.  A record holds at most ``segment_bytes`` plus a chunk; the group of a
 record is one page.  Revisits get payload facts by a join with their response.
@@ -125,8 +125,8 @@ def page_records(row_id: str, page_id, url, payload: bytes, digest: str, refers_
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, chunk_bytes: int = 4096,
-                   segment_bytes: int = 16384) -> None:
-    """Write ``pages`` (page_id, url, html) as WARC files under ``path``."""
+                   segment_bytes: int = 16384, records_a_file: int = 50_000) -> None:
+    """Write ``pages`` (page_id, url, html) as .gz WARC files of bounded size under ``path``."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     # the name of a record follows from its row, so a task that runs again writes the same record
     name = F.sha2(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.col("page_id").cast("string"),
@@ -152,7 +152,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, chunk_byt
             yield pd.DataFrame({"record": out})
 
     j.select("page_id", "url", "html", "name", F.col("best.page_id").cast("string").alias("ref"),
-             F.col("best.name").alias("ref_name")).mapInPandas(records, WRITE_SCHEMA).write.text(path)
+             F.col("best.name").alias("ref_name")).mapInPandas(records, WRITE_SCHEMA) \
+        .write.option("maxRecordsPerFile", records_a_file).text(path, compression="gzip")
 
 
 def _header(name: str):
