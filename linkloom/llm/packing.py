@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 _RUNS = re.compile(r"\s\s")
 _TOKENIZERS: dict = {}
 #: bound on remembered chunks of a worker
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 class ChunkIds(dict):
-    """Space-free chunk of a text -> its ids with the space before it, as uint32 bytes."""
+    """Chunk of a text between spaces -> its ids with the space before it, as uint32 bytes."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -48,15 +49,21 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, chunks) -> None:
-        new = [c for c in chunks if c not in self]
+    def learn(self, chunks: set) -> None:
+        new = chunks - self.keys()
         if len(self) + len(new) > MEMO:
             self.clear()
-            new = list(chunks)
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)):
-            self[c] = np.asarray(e.ids, dtype="<u4").tobytes()
+            new = chunks
+        plain = []
+        for c in new:
+            if not c or _RUNS.search(c) or c[0].isspace() or c[-1].isspace() or "<|" in c:
+                self[c] = None  # next to more white space, or a special token: its text is encoded whole
+            else:
+                plain.append(c)
+        for c, e in zip(plain, self.tokenizer.encode_batch_fast([" " + c for c in plain], add_special_tokens=False)):
+            self[c] = array("I", e.ids).tobytes()
 
 
 def chunk_ids(path: str) -> ChunkIds:
@@ -65,7 +72,7 @@ def chunk_ids(path: str) -> ChunkIds:
     return _TOKENIZERS[path]
 
 
-def batch_ids(texts: list[str], path: str, specials=("<|",)) -> list[bytes]:
+def batch_ids(texts: list[str], path: str) -> list[bytes]:
     """ids of each text as uint32 bytes, equal to encoding each text whole.
 
     A byte-level BPE with this library's pattern starts a new word at every space
@@ -75,10 +82,16 @@ def batch_ids(texts: list[str], path: str, specials=("<|",)) -> list[bytes]:
     memo = chunk_ids(path)
     out: list[bytes] = []
     for at in range(0, len(texts), 256):
-        parts = [None if _RUNS.search(t) or any(s in t for s in specials) else t.split(" ") for t in texts[at:at + 256]]
-        memo.learn({c for p in parts if p for c in p[1:]})
-        for t, p in zip(texts[at:at + 256], parts):
-            out.append(memo.encode(t) if p is None else memo.encode(p[0]) + b"".join(map(memo.__getitem__, p[1:])))
+        parts = [t.split(" ") for t in texts[at:at + 256]]
+        heads = [p.pop(0) for p in parts]
+        memo.learn(set().union(*parts))
+        for t, head, p in zip(texts[at:at + 256], heads, parts):
+            try:
+                body = b"".join(map(memo.__getitem__, p))
+                whole = head and (head[-1].isspace() or "<|" in head)
+            except TypeError:
+                whole = True
+            out.append(memo.encode(t) if whole else memo.encode(head) + body)
     return out
 
 
