@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("q_redirects", "q_toolcalls", "q_license", "q_warc", "q_packing", "q_ann", "q_simhash", "q_debruijn", "q_toxicity")
+MODULES = ("q_redirects", "q_toolcalls", "q_license", "q_warc", "q_packing", "q_ann", "q_simhash", "q_debruijn", "q_toxicity", "q_decontaminate")
 
 
 def register(name: str, sql: str | None = None):
@@ -21,4 +21,6 @@ def register(name: str, sql: str | None = None):
 def load_all():
     for m in MODULES:
         importlib.import_module(f"linkloom.llm.{m}")
-    return QUERIES, ORACLES
+    import corpus_pipeline
+    queries = QUERIES | {"pipeline": corpus_pipeline.run}
+    return queries, ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
