@@ -265,7 +265,8 @@ def covered_words(words: list[bytes], paths, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def path_pieces(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id", text_col: str = "text"):
+def path_pieces(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id", text_col: str = "text",
+                carry: bool = False):
     """(rows, live, pieces).  rows: doc_id, text, t (text hash), copy (the whole text is in a smaller
     document), aside (takes no part); live: rows that are neither.  pieces: doc, start, len, odoc,
     ostart: len edges of doc from start on run along the source odoc from ostart on.
@@ -273,7 +274,7 @@ def path_pieces(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id"
     All tables are parts of one plan, so the exchange of the texts by doc_id is made once."""
     # no alias where none is needed: a redundant one keeps the optimizer from reusing the exchange of the texts
     ident = F.col("doc_id") if (id_col, dict(docs.dtypes)[id_col]) == ("doc_id", "bigint") else F.col(id_col).cast("long").alias("doc_id")
-    x = docs.select(ident, F.coalesce(text_col, F.lit("")).alias("text"))
+    x = docs.select(ident, F.coalesce(text_col, F.lit("")).alias("text"), *([F.struct("*").alias("row")] * carry))
     x = x.where("doc_id is not null").withColumn("t", F.xxhash64("text"))
     h = x.select("doc_id", "t", F.sha2("text", 256).alias("sha"))
     first = h.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -282,7 +283,7 @@ def path_pieces(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id"
         "doc_id", F.lit(None).cast("long").alias("copy_t"), F.col("a").alias("only_t"))
     marks = copies.unionByName(mixed).groupBy("doc_id").agg(F.collect_set("copy_t").alias("copy_t"), F.min("only_t").alias("only_t"))
     x = x.join(marks.hint("shuffle_hash"), "doc_id", "left").select(
-        "doc_id", "text", "t", F.coalesce(F.array_contains("copy_t", F.col("t")), F.lit(False)).alias("copy"),
+        "doc_id", "text", "t", *(["row"] * carry), F.coalesce(F.array_contains("copy_t", F.col("t")), F.lit(False)).alias("copy"),
         F.coalesce(F.col("only_t") != F.col("t"), F.lit(False)).alias("aside"))
     live = x.where("not copy and not aside")
 
@@ -300,9 +301,11 @@ def path_pieces(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id"
 
 
 def drop_repeats(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                 keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row."""
-    x, live, pieces = path_pieces(docs, k, s, id_col, text_col)
+                 keep_rows: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row.
+
+    keep_rows: also kept_text (the text itself, where nothing went) and row (the input row)."""
+    x, live, pieces = path_pieces(docs, k, s, id_col, text_col, keep_rows)
     cuts = pieces.select(F.col("odoc").alias("doc_id"), F.explode(F.array(F.col("ostart"), F.col("ostart") + F.col("len"))).alias("c"))
     cuts = cuts.groupBy("doc_id").agg(F.sort_array(F.collect_set("c")).alias("cuts"))
     run, schema = _path_digests(k)
@@ -313,7 +316,8 @@ def drop_repeats(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id
         F.slice("digests", at, (to - at).cast("int")).alias("digests"))
     paths = paths.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "cuts", "digests")).alias("paths"))
 
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text", "row"] * keep_rows
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def finish(batches):
         for b in batches:
@@ -329,15 +333,26 @@ def drop_repeats(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id
                     kept = w
                 joined = b" ".join(kept)
                 row = [d, len(w), len(w) - len(kept), hashlib.sha256(joined).hexdigest()]
-                rows.append(row + [joined.decode() if len(kept) < len(w) else t] * keep_text)
-            cols = list(zip(*rows)) or [[]] * len(names)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=y) for c, y in zip(cols, kinds)], names=names)
-
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+                rows.append(row + [joined.decode() if len(kept) < len(w) else t] * keep_rows)
+            cols = list(zip(*rows)) or [[]] * (4 + keep_rows)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, type=y) for c, y in zip(cols, kinds)],
+                                              *([b.column(4)] if keep_rows else [])], names=names)
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    if keep_rows:
+        schema += f", kept_text string, row {docs.schema.simpleString()}"
+    row = ["row"] * keep_rows
     full = x.join(paths.hint("shuffle_hash"), "doc_id", "left").select(
-        "doc_id", "text", "copy", F.when(~F.col("aside"), F.col("paths")).alias("paths"))
+        "doc_id", "text", "copy", F.when(~F.col("aside"), F.col("paths")).alias("paths"), *row)
     lone = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.lit(False).alias("copy"),
-        F.lit(None).cast("array<struct<start:bigint,cuts:array<bigint>,digests:array<binary>>>").alias("paths"))
+        F.lit(None).cast("array<struct<start:bigint,cuts:array<bigint>,digests:array<binary>>>").alias("paths"),
+        *([F.struct("*").alias("row")] * keep_rows))
     return full.unionByName(lone).mapInArrow(finish, schema)
+
+
+def keep_rest(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without repeated windows; rows of which nothing is left go."""
+    x = drop_repeats(docs, k, s, id_col, text_col, keep_rows=True).where("n_removed = 0 or n_removed < n_words")
+    return x.select(*[F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"row.{c}")).alias(c)
+                      if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])

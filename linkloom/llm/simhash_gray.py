@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import connected_components, stage
@@ -58,13 +58,14 @@ def fingerprint(text: str | None, words_in_shingle: int = 3, seed: int = 42) ->
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long): the 64 bits as a signed number."""
+    """(id, t, fp): t is the xxhash64 of the text, fp the 64 bits as a signed number."""
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, words_in_shingle) for t in b.column(1).to_pylist()], dtype=_U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], names=["id", "t", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       F.xxhash64(F.col(text_col)).alias("t")).mapInArrow(run, "id long, t long, fp long")
 
 
 def rotate(fp: np.ndarray, bits) -> np.ndarray:
@@ -269,5 +270,18 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, max_bits: int =
     named = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = stage(named.join(ids, "component").select("fp", "component_id"), "simhash-classes")
-    return fps.join(classes, "fp").select("id", "fp", "component_id")
+    classes = stage(named.join(ids, "component").select("fp", "component", "component_id"), "simhash-classes")
+    return fps.join(classes, "fp").select("id", "t", "fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, words_in_shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """One row of each group of ``docs``, all columns: the one with the smallest id (null last), then text hash."""
+    groups = near_duplicates(docs, words_in_shingle, max_bits, id_col, text_col)
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "t")).alias("b"))
+    best = best.select(F.col("b.id").alias("_keep_id"), F.col("b.t").alias("_keep_t"))
+    kept = docs.join(best.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id"))
+                     & (F.xxhash64(F.col(text_col)) == F.col("_keep_t")))
+    # repeated rows of a kept document
+    w = Window.partitionBy("_keep_id", "_keep_t").orderBy(F.lit(0))
+    return kept.withColumn("_row", F.row_number().over(w)).where("_row = 1").select(*[docs[c] for c in docs.columns])

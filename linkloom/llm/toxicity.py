@@ -317,3 +317,18 @@ def score_toxicity(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"),
                        held_out(id_col).alias("h")).mapInArrow(
         run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted toxic."""
+    m = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        *stats, w = m.value
+        s = Scorer(*stats)
+        for b in batches:
+            x = np.array([s.score_inputs(t) for t in b.column(place).to_pylist()]).reshape(-1, 4)
+            yield b.filter(pa.array(w[0] + x @ w[1:] < 0))
+
+    return docs.mapInArrow(run, docs.schema)
