@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Settings:
-    max_tokens: int = 400          # cleaned text budget (command-line default)
+    max_tokens: int | None = None   # cleaned text budget; None reads whole texts
     top_k: int = 10                # keywords per entry
     min_cluster_size: int = 5      # density clustering
     min_samples: int | None = None  # defaults to min_cluster_size // 2
@@ -15,7 +15,7 @@ class Settings:
     features: tuple = ("keyword", "path", "subdomain", "date")
     # boilerplate fitting
     min_domain_size: int = 3
-    domain_samples: int = 8
+    domain_samples: int | None = None  # texts a domain is learned from; None: all
     phrase_freq: float = 0.75
     ngram_range: tuple = (2, 10)
     # embeddings
@@ -26,7 +26,7 @@ class Settings:
         "METADATA_PATTERNS", "NAVIGATION_PATTERNS", "SEQUENCE_PATTERNS", "FORMATTING_PATTERNS"))
 
     def __post_init__(self):
-        if self.max_tokens < 10:
+        if self.max_tokens is not None and self.max_tokens < 10:
             raise ValueError("max_tokens must be at least 10")
 
     @property

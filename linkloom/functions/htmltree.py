@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr "
                  "basefont bgsound command frame image isindex nextid spacer menuitem".split())
 
+# fixed values: tags and classes of the extraction rules
 # elements whose subtree never reaches visible text (H1) / main content (H2)
 DROP_VISIBLE = frozenset(["script", "style", "noscript", "nav", "footer", "header"])
 DROP_MAIN = DROP_VISIBLE | frozenset(["aside", "form", "iframe", "button"])
@@ -154,29 +155,55 @@ def main_elements(root, keep_all: bool = False):
     (H4) keeps every element."""
     out = []
     first_title = True
+    # an explicit stack: pages may nest deeper than Python calls do
+    stack = [(c, ()) for c in reversed(root.children)]
+    while stack:
+        c, containers = stack.pop()
+        if isinstance(c, str) or (c.dropped_main and not keep_all):
+            continue
+        is_c = _is_container(c)
+        if c.tag in INTEREST or is_c:
+            tag, meta = c.tag, c.tag == "meta"
+            if tag == "title":
+                tag, first_title = ("title" if first_title else "title2"), False
+            out.append((c.seq, tag, "" if meta else "".join(_strings(c, "dropped_main")), list(containers), is_c,
+                        _has_blocky_descendant(c) if c.tag in ("div", "section", "span") else False,
+                        c.attrs.get("name") if meta else None, c.attrs.get("content") if meta else None,
+                        c.attrs.get("property") if meta else None,
+                        _joined_text(c) if keep_all and c.tag in ("title", "p") else None))
+        inner = (*containers, c.seq) if is_c else containers
+        stack.extend((k, inner) for k in reversed(c.children))
+    return out
 
-    def walk(n, containers):
-        nonlocal first_title
-        for c in n.children:
-            if isinstance(c, str) or (c.dropped_main and not keep_all):
+
+def main_pieces(root):
+    """H2 pieces of one page, heaviest first, each ending in sentence punctuation."""
+    els = main_elements(root)
+    boxes = [e for e in els if e[4]]
+    box = max(boxes, key=lambda e: (len(e[2]), -e[0]))[0] if boxes else None
+    picked, seen_meta = [], False
+    for seq, tag, text, containers, _, blocky, name, content, _, _ in els:
+        inside = box is None or (box in containers and seq != box)
+        words = len(text.split())
+        if tag == "title":
+            w, group = 3.0, 0
+        elif tag == "meta":
+            if name != "description" or seen_meta:
                 continue
-            is_c = _is_container(c)
-            if c.tag in INTEREST or is_c:
-                meta_name = c.attrs.get("name") if c.tag == "meta" else None
-                meta_content = c.attrs.get("content") if c.tag == "meta" else None
-                text = "" if c.tag == "meta" else "".join(_strings(c, "dropped_main"))
-                tag = c.tag
-                if tag == "title":
-                    if not first_title:
-                        tag = "title2"
-                    first_title = False
-                out.append((c.seq, tag, text, list(containers), is_c,
-                            _has_blocky_descendant(c) if c.tag in ("div", "section", "span") else False,
-                            meta_name, meta_content, c.attrs.get("property") if c.tag == "meta" else None,
-                            _joined_text(c) if keep_all and c.tag in ("title", "p") else None))
-            walk(c, containers + [c.seq] if is_c else containers)
-    walk(root, [])
-    return out
+            seen_meta, text, w, group = True, content or "", 2.5, 1
+        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" and inside:
+            w, group = 2.5 - (int(tag[1]) - 1) * 0.3, 1 + int(tag[1])
+        elif tag in ("p", "li") and inside and words >= 3:
+            w, group = 1.0, 8
+        elif tag in ("div", "section", "span") and inside and not blocky and words >= 5:
+            w, group = 0.7, 9
+        elif tag in ("code", "pre") and inside and len(text) > 15:
+            w, group = 1.2, 10
+        else:
+            continue
+        if text:
+            picked.append((-w, group, seq, text if text[-1] in ".!?:;" else text + "."))
+    return [p[3] for p in sorted(picked)]
 
 
 # --- bookmark exports ---------------------------------------------------------

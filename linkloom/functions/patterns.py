@@ -103,6 +103,11 @@ REGISTRY = {
 }
 
 
+def leaves_ascii(sequence=None) -> bool:
+    """Whether a filter sequence (names of groups; None: the default) blanks every non-ASCII character."""
+    return "SEQUENCE_PATTERNS" in (DEFAULT_FILTER_ORDER if sequence is None else list(sequence))
+
+
 def load_filter_order(path_or_text: str) -> list[str]:
     """Read ``filter_sequence: [..]`` from a YAML file (or YAML text) without a YAML library."""
     text = path_or_text

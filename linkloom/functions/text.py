@@ -25,10 +25,10 @@ def entry_content(df) -> Column:
     return F.coalesce(*[F.col(n) for n in names], F.lit(""))
 
 
-def content_head(c: Column, n: int = 100) -> Column:
-    """P10 (second half): first ``n`` whitespace tokens."""
+def content_head(c: Column, n: int | None = 100) -> Column:
+    """P10 (second half): first ``n`` whitespace tokens (None: all of them)."""
     toks = F.filter(F.split(strip(c), r"\s+"), lambda t: t != "")
-    return F.array_join(F.slice(toks, 1, n), " ")
+    return F.array_join(toks if n is None else F.slice(toks, 1, n), " ")
 
 
 def meta_text(title: Column, domain: Column, keywords_text: Column) -> Column:
@@ -161,9 +161,10 @@ def non_stopwords(arr: Column) -> Column:
     return F.filter(arr, lambda t: ~is_stopword(F.lower(t)))
 
 
-def limit_tokens(arr: Column, max_tokens: int, min_words: int = 3) -> Column:
-    """First ``max_tokens`` tokens, '' when fewer than ``min_words`` remain."""
-    return F.when(F.size(arr) < min_words, F.lit("")).otherwise(F.array_join(F.slice(arr, 1, max_tokens), " "))
+def limit_tokens(arr: Column, max_tokens: int | None, min_words: int = 3) -> Column:
+    """First ``max_tokens`` tokens (None: all), '' when fewer than ``min_words`` remain."""
+    kept = arr if max_tokens is None else F.slice(arr, 1, max_tokens)
+    return F.when(F.size(arr) < min_words, F.lit("")).otherwise(F.array_join(kept, " "))
 
 
 def overcleaned(before: Column, after: Column, threshold: float = 0.05) -> Column:

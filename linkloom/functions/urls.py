@@ -15,6 +15,7 @@ def url_domain(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _AUTHORITY_RE, 1), F.lit(""))
 
 
+# fixed value: date line of the export format
 _ONETAB_DATE_RE = r"^Created \d{1,2}/\d{1,2}/\d{4}, \d{1,2}:\d{2}:\d{2} [AP]M$"
 
 
@@ -29,7 +30,9 @@ def epoch_seconds(ts: Column) -> Column:
 
     NTZ arithmetic keeps the result independent of the session time zone.
     """
-    secs = F.when(ts.rlike(r"^[0-9]{1,12}$"), ts.try_cast("bigint"))
+    # digits of any length: leading zeros count for nothing; stamps after the year 9999 are no dates
+    secs = F.when(ts.rlike(r"^[0-9]+$"), ts.try_cast("bigint"))
+    secs = F.when(secs <= 253402300799, secs)
     return F.timestamp_add("SECOND", secs, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
 
 

@@ -1,9 +1,8 @@
 """Per-domain boilerplate learning (A3-A8, W1, U1, U4) and removal (J4), S7 sink.
 
-Fitting reads only the first ``samples`` entries of every domain (W1 is a
-``WindowGroupLimit``, so a hot domain ships ``samples`` rows per map task),
-explodes sentences / line edges / short n-grams of those texts and counts
-them with map-side partial aggregation.  Removal joins each entry to its
+Fitting explodes sentences / line edges / short n-grams of all texts of a domain
+and counts them with map-side partial aggregation; ``samples`` limits it to the
+first entries of every domain (W1, a ``WindowGroupLimit``).  Removal joins each entry to its
 domain's phrase list (AQE broadcasts it when the measured size is small and
 splits skewed domains otherwise) and folds the phrases over the text with
 native expressions.
@@ -21,21 +20,24 @@ WORD = r"[\p{L}\p{N}_]+"   # a word in both Java and RE2 (Python's Unicode \w)
 
 
 def sample_valid_texts(df: DataFrame, text_col: str = "scraped", min_domain_size: int = 3,
-                       samples: int = 8, min_text_length: int = 3,
+                       samples: int | None = None, min_text_length: int = 3,
                        locked: DataFrame | None = None) -> DataFrame:
-    """W1 + validity: first ``samples`` entries of domains with at least
-    ``min_domain_size`` entries; empty texts dropped, texts longer than 3 kept.
+    """Texts of domains with at least ``min_domain_size`` entries (all of them, or
+    W1's first ``samples`` entries); texts longer than ``min_text_length`` kept.
     Domains in ``locked`` (already fitted) are skipped (U4)."""
     sizes = df.groupBy("domain").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") >= min_domain_size)
     if locked is not None:
         sizes = sizes.join(locked.select("domain").distinct(), "domain", "left_anti")
-    # rank on the narrow (domain, pos) projection only - texts never enter the
-    # window sort - then keep rows up to each domain's cut-off position (one
-    # row per domain: AQE broadcasts it when small, else a skew-split join)
-    keys = first_per_group(df.select("domain", "pos"), "domain", "pos", samples)
-    cut = keys.groupBy("domain").agg(F.max("pos").alias("_cut")).join(sizes.select("domain"), "domain", "left_semi")
-    picked = df.select("domain", "pos", F.col(text_col).alias("text")).join(cut, "domain") \
-        .filter(F.col("pos") <= F.col("_cut")).drop("_cut")
+    texts = df.select("domain", "pos", F.col(text_col).alias("text"))
+    if samples is None:
+        picked = texts.join(sizes.select("domain"), "domain", "left_semi")
+    else:
+        # rank on the narrow (domain, pos) projection only - texts never enter the
+        # window sort - then keep rows up to each domain's cut-off position (one
+        # row per domain: AQE broadcasts it when small, else a skew-split join)
+        keys = first_per_group(df.select("domain", "pos"), "domain", "pos", samples)
+        cut = keys.groupBy("domain").agg(F.max("pos").alias("_cut")).join(sizes.select("domain"), "domain", "left_semi")
+        picked = texts.join(cut, "domain").filter(F.col("pos") <= F.col("_cut")).drop("_cut")
     valid = picked.filter(F.col("text").isNotNull() & (F.length("text") > min_text_length))
     n_docs = valid.groupBy("domain").agg(F.count(F.lit(1)).alias("n_docs"))
     return valid.join(n_docs, "domain").select("domain", "pos", "text", "n_docs")
@@ -113,7 +115,7 @@ def common_ngrams(texts: DataFrame, freq: float = 0.75, ngram_range=(2, 10)) ->
     return _frequent(counts, freq, True, lo, hi).select("domain", "phrase", F.lit("ngram").alias("kind"), "n")
 
 
-def fit_boilerplate(df: DataFrame, text_col: str = "scraped", min_domain_size: int = 3, samples: int = 8,
+def fit_boilerplate(df: DataFrame, text_col: str = "scraped", min_domain_size: int = 3, samples: int | None = None,
                     freq: float = 0.75, ngram_range=(2, 10), locked: DataFrame | None = None) -> DataFrame:
     """Union of A3 + A4 + A5 per domain, distinct (domain, phrase).
 

@@ -32,17 +32,19 @@ def content_words(tokens: Column, tagger=None) -> Column:
     return T.valid_tokens(F.transform(kept, lambda p: p["t"]))
 
 
-def clean_column(c: Column, max_tokens: int = 400, sequence=None, extra_patterns=None,
+def clean_column(c: Column, max_tokens: int | None = None, sequence=None, extra_patterns=None,
                  tagger=None, min_words: int = 3, fold_ascii: bool = True) -> Column:
     """Cleaning filter for one text column: T9 -> T10 -> T11 -> T12/T13 -> T14."""
-    text = PT.apply_patterns(c, PT.resolve_sequence(sequence, extra_patterns))
-    text = T.normalize_text(text, fold_ascii=fold_ascii)
+    groups = PT.resolve_sequence(sequence, extra_patterns)
+    text = PT.apply_patterns(c, groups)
+    # the sequence patterns leave ASCII only, so there is nothing to fold after them
+    text = T.normalize_text(text, fold_ascii=fold_ascii and not PT.leaves_ascii(sequence))
     toks = content_words(T.tokenize(text), tagger)
     out = T.limit_tokens(toks, max_tokens, min_words)
     return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(out)
 
 
-def basic_clean(c: Column, max_tokens: int = 200, sequence=None, min_words: int = 3) -> Column:
+def basic_clean(c: Column, max_tokens: int | None = 200, sequence=None, min_words: int = 3) -> Column:
     """Patterns -> whitespace tokens -> stopword drop -> budget (no normalisation)."""
     text = PT.apply_patterns(c, PT.resolve_sequence(sequence))
     toks = T.non_stopwords(T.tokenize(text))
@@ -50,13 +52,19 @@ def basic_clean(c: Column, max_tokens: int = 200, sequence=None, min_words: int
     return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(out)
 
 
-def clean_entries(df: DataFrame, boilerplate: DataFrame | None = None, max_tokens: int = 400,
-                  sequence=None, tagger=None, html_extractor=None, restore_if_emptied: bool = False,
+def main_content_of(html: Column) -> Column:
+    """Main content (H2) of HTML texts, as a column (Arrow batches)."""
+    from linkloom.operators.html import main_content_udf
+    return main_content_udf(html)
+
+
+def clean_entries(df: DataFrame, boilerplate: DataFrame | None = None, max_tokens: int | None = None,
+                  sequence=None, tagger=None, html_extractor=main_content_of, restore_if_emptied: bool = False,
                   text_col: str = "scraped") -> DataFrame:
     """Per entry ``scraped`` -> ``clean_text`` (+ ``overcleaned`` flag).
 
-    null/empty -> ''; HTML (P12) -> main content first (``html_extractor``,
-    H2 by default); cleaning filter; stop when empty or over-cleaned (T16);
+    null/empty -> ''; HTML (P12) -> main content first (``html_extractor``:
+    column -> column, H2 by default, None to clean markup as text); cleaning filter; stop when empty or over-cleaned (T16);
     else domain boilerplate removal (J4).  ``restore_if_emptied`` (T18) keeps
     the pre-filter text when boilerplate removal empties it.
     """
@@ -64,9 +72,9 @@ def clean_entries(df: DataFrame, boilerplate: DataFrame | None = None, max_token
     raw = F.col(text_col)
     df = df.withColumn("_raw", F.coalesce(raw, F.lit("")))
     if html_extractor is not None:
-        df = html_extractor(df, "_raw")
-    else:
-        df = df.withColumn("_html", T.is_html(F.col("_raw")))
+        # only HTML rows carry a text into the extractor
+        markup = html_extractor(F.when(T.is_html(F.col("_raw")), F.col("_raw")))
+        df = df.withColumn("_raw", F.when(T.is_html(F.col("_raw")), F.coalesce(markup, F.lit(""))).otherwise(F.col("_raw")))
     cleaned = clean_column(F.col("_raw"), max_tokens=max_tokens, sequence=sequence, tagger=tagger)
     df = df.withColumn("clean_text", cleaned)
     df = df.withColumn("overcleaned", (F.length("_raw") > 0) & (F.col("clean_text") != "")
@@ -79,4 +87,4 @@ def clean_entries(df: DataFrame, boilerplate: DataFrame | None = None, max_token
             df = df.withColumn("clean_text", F.when(F.col("clean_text") == "", F.col("_before"))
                                .otherwise(F.col("clean_text")))
         df = df.drop("_before")
-    return df.drop("_raw", "_html", text_col)
+    return df.drop("_raw", text_col)

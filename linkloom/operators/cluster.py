@@ -91,7 +91,7 @@ def centroid_confidence(df: DataFrame, centroids: DataFrame, vec_col: str = "fea
     return d.withColumn(out_col, F.round(F.lit(1.0) - F.col("_d") / F.lit(maxd + 1e-6), 4)).drop("_d")
 
 
-def kmeans(df: DataFrame, vec_col: str = "features", k: int = 10, seed: int = 42, max_iter: int = 20,
+def kmeans(df: DataFrame, vec_col: str = "features", k: int = 10, seed: int = 42, max_iter: int = 300,
            out_col: str = "cluster_id"):
     """M6: MLlib k-means; returns (assigned df with ``cluster_conf``, centroids df)."""
     from pyspark.ml.clustering import KMeans
@@ -214,41 +214,30 @@ def knn(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vector", bloc
 
 
 # --- connected components -----------------------------------------------------------
-def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int = 200,
-                         checkpoint_every: int = 3) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, component) = smallest id reachable; min-label propagation.
 
-    Each round: propagate labels along edges (partial ``min`` aggregation per
-    target, so a hub vertex costs one row per task), count changed labels
-    (a tiny aggregate), and cut lineage with a reliable checkpoint every few
-    rounds so a lost executor never replays the whole loop.
+    Each round propagates labels along edges (partial ``min`` aggregation per
+    target, so a hub vertex costs one row per task), lets every vertex adopt its
+    label's label, and is a reliable checkpoint.  Rounds go on until no label
+    changes; running out of rounds is an error, never a result.
     """
     e = edges.select(F.col("i").alias("src"), F.col("j").alias("dst"))
-    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    e = cut_lineage(e, rebalance=False)
-    labels = cut_lineage(vertices.select(F.col("id"), F.col("id").alias("label")), rebalance=False)
-    for it in range(max_iter):
+    e = cut_lineage(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = cut_lineage(vertices.select(F.col("id"), F.col("id").alias("label")))
+    for _ in range(max_rounds):
         prop = e.join(labels.withColumnRenamed("id", "src"), "src") \
             .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("cand"))
         new = labels.join(prop, "id", "left").select(
-            "id", F.least("label", F.coalesce("cand", "label")).alias("label"))
-        # pointer jumping: a vertex adopts its label's label (same component,
-        # never larger), so long chains collapse in logarithmically many rounds
-        jump = new.select(F.col("id").alias("label"), F.col("label").alias("_ll"))
-        new = new.join(jump, "label", "left").select("id", F.least("label", F.coalesce("_ll", "label")).alias("label"))
-        if (it + 1) % checkpoint_every == 0:
-            new = cut_lineage(new, rebalance=False)
-        else:
-            # a round reads the previous labels several times: materialise it
-            # once (cache; the reliable checkpoints bound what a lost executor replays)
-            new = new.persist()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").filter("label <> old").limit(1).count()
-        if labels.is_cached:
-            labels.unpersist()
-        labels = new
-        if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+            "id", F.col("label").alias("old"), F.least("label", F.coalesce("cand", "label")).alias("label"))
+        # pointer jumping: labels are vertices; a label's own last label is never larger
+        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("_ll"))
+        new = cut_lineage(new.join(jump, "label", "left").select(
+            "id", "old", F.least("label", F.coalesce("_ll", "label")).alias("label")))
+        labels = new.select("id", "label")
+        if new.filter("label <> old").limit(1).count() == 0:
+            return labels.withColumnRenamed("label", "component")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def density_cluster(df: DataFrame, eps: float, min_samples: int = 2, min_cluster_size: int = 5,
@@ -266,7 +255,7 @@ def density_cluster(df: DataFrame, eps: float, min_samples: int = 2, min_cluster
     if pairs is None:
         pairs = range_pairs(df, eps, id_col, vec_col, block_size) if method == "exact" else \
             range_pairs_lsh(df, eps, id_col, vec_col)
-    pairs = cut_lineage(pairs, rebalance=False)
+    pairs = cut_lineage(pairs)
     ids = df.select(F.col(id_col).cast("long").alias("id"))
     sym = pairs.select("i", "j", "d").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
     core = ids.select("id", F.lit(None).cast("double").alias("core_dist"))
@@ -301,62 +290,65 @@ def density_hierarchy(df: DataFrame, levels: list[float], min_samples: int = 2,
                       method: str = "exact") -> DataFrame:
     """M9: clusters chosen across scales by stability (excess of mass).
 
-    DBSCAN* is run at each eps level (largest first) over one pair table;
-    a cluster at level l is the child of the cluster its points belong to at
-    the next larger eps.  Stability of a cluster = sum over its points of
-    (1/eps_leave - 1/eps_birth) measured on the level grid.  Bottom-up, a
-    cluster is kept when its stability is at least the sum of its selected
-    children; a point's final label is its deepest selected ancestor.
-    Exact HDBSCAN* selection as the grid approaches all edge weights.
+    DBSCAN* is run at each eps level (largest first) over one pair table.  A
+    cluster lives on over levels until it splits into two or more clusters of at
+    least ``min_cluster_size``; those are born at the last level of their parent.
+    The cluster of all points, alone on a level, is no choice.  Stability = sum
+    over a cluster's points of 1/eps at the last level that has them in it, less
+    1/eps at its birth (0 for clusters born on the first level).  From the
+    deepest split upwards, a cluster is chosen when its stability is at least that
+    of the best choice below it; its points at birth get its label, others are
+    noise (-1).  Tends to HDBSCAN* as the grid nears all edge weights.
     """
     levels = sorted(set(levels), reverse=True)
     pairs = range_pairs(df, levels[0], id_col, vec_col, block_size) if method == "exact" else \
         range_pairs_lsh(df, levels[0], id_col, vec_col)
-    pairs = cut_lineage(pairs, rebalance=False)
-    per = []
+    pairs = cut_lineage(pairs)
+    lam = [1.0 / e for e in levels]
+    state = None     # (id, head, birth): the living cluster of each point, null for noise and the root
+    member = None    # (head, birth, id, leave): one row a point and cluster it was in, at each level
+    tree = None      # (head, parent): splits
     for li, eps in enumerate(levels):
         lab = density_cluster(df, eps, min_samples, min_cluster_size, id_col, vec_col,
                               pairs=pairs.filter(F.col("d") <= eps))
-        per.append(lab.select(F.col(id_col).alias("id"), F.lit(li).alias("lvl"),
-                              F.when(F.col("cluster_id") >= 0, F.concat_ws(":", F.lit(li), F.col("cluster_id")))
-                              .alias("cid")))
-    allv = per[0]
-    for p in per[1:]:
-        allv = allv.unionByName(p)
-    allv = cut_lineage(allv, rebalance=False)
-    lam_of = F.element_at(F.lit([1.0 / e for e in levels]), F.col("lvl") + 1)
-    # parent of a cluster: the cluster of its points one level up (larger eps)
-    up = allv.select("id", (F.col("lvl") + 1).alias("lvl"), F.col("cid").alias("child"))
-    links = up.join(allv.withColumnRenamed("cid", "parent"), ["id", "lvl"]) \
-        .filter(F.col("child").isNotNull() & F.col("parent").isNotNull()) \
-        .select("child", "parent").distinct()
-    # stability: each point contributes (1/eps at the last level it is in the cluster) - (1/eps at birth)
-    member = allv.filter(F.col("cid").isNotNull()).withColumn("lam", lam_of)
-    birth = member.groupBy("cid").agg(F.min("lam").alias("lam_birth"))
-    stab = member.groupBy("cid", "id").agg(F.max("lam").alias("lam_leave")).join(birth, "cid") \
-        .groupBy("cid").agg(F.sum(F.col("lam_leave") - F.col("lam_birth")).alias("stability"))
-    tree = stab.join(links.withColumnRenamed("child", "cid"), "cid", "left").withColumn(
-        "lvl", F.split("cid", ":")[0].cast("int"))
-    tree = cut_lineage(tree, rebalance=False)
-    # bottom-up selection, one pass per level (deepest level first)
-    best = tree.select("cid", "parent", "lvl", "stability", F.col("stability").alias("best"),
-                       F.lit(True).alias("selected"))
-    for li in range(len(levels) - 1, 0, -1):
-        kids = best.filter(F.col("lvl") == li).groupBy("parent").agg(F.sum("best").alias("kid_best"))
-        best = best.join(kids.withColumnRenamed("parent", "cid"), "cid", "left").withColumn(
-            "selected", F.when(F.col("lvl") == li - 1,
-                               F.col("stability") >= F.coalesce("kid_best", F.lit(-1.0))).otherwise(F.col("selected"))
-        ).withColumn("best", F.when((F.col("lvl") == li - 1) & F.col("kid_best").isNotNull(),
-                                    F.greatest("stability", "kid_best")).otherwise(F.col("best"))).drop("kid_best")
-        best = cut_lineage(best, rebalance=False)
-    # a point takes its shallowest selected cluster whose ancestors are not selected
-    sel = best.filter("selected").select("cid", "lvl")
-    pts = member.join(sel, ["cid", "lvl"])
+        comp = cut_lineage(lab.select(F.col(id_col).alias("id"), F.when(F.col("cluster_id") >= 0, F.col("cluster_id")).alias("comp")))
+        if state is None:
+            state = comp.select("id", F.lit("root").alias("head"))
+        # components of one level lie inside one living cluster each
+        inside = comp.filter("comp is not null").join(state, "id").groupBy("comp").agg(F.max("head").alias("parent"))
+        kids = inside.groupBy("parent").agg(F.count(F.lit(1)).alias("n_kids"))
+        born = inside.join(kids, "parent").select(
+            "comp", "parent", F.when(F.col("n_kids") > 1, F.concat_ws(":", F.lit(li), F.col("comp").cast("string")))
+            .otherwise(F.col("parent")).alias("head"))
+        born = cut_lineage(born)
+        state = cut_lineage(comp.join(born, "comp", "left").select("id", F.coalesce("head", F.lit("noise")).alias("head")))
+        new = born.filter("head <> parent").select("head", "parent")
+        here = state.filter("head not in ('noise', 'root')").select("head", "id", F.lit(lam[li]).alias("leave"), F.lit(li).alias("lvl"))
+        tree = new if tree is None else tree.unionByName(new)
+        member = here if member is None else member.unionByName(here)
+    member, tree = cut_lineage(member), cut_lineage(tree)
+    first = member.groupBy("head").agg(F.min("lvl").alias("first"))
+    birth = first.select("head", "first", F.when(F.col("first") == 0, F.lit(0.0)).otherwise(
+        F.element_at(F.lit(lam), F.greatest(F.col("first"), F.lit(1)))).alias("birth"))
+    stab = (member.groupBy("head", "id").agg(F.max("leave").alias("leave")).join(birth, "head")
+            .groupBy("head", "first").agg(F.sum(F.col("leave") - F.col("birth")).alias("stability")))
+    best = cut_lineage(stab.join(tree, "head").select("head", "parent", "first", "stability", F.col("stability").alias("best"),
+                                                      F.lit(True).alias("chosen")))
+    # clusters born deeper are settled first; a parent is born on an earlier level than its children
+    for li in range(len(levels) - 1, -1, -1):
+        below = best.groupBy("parent").agg(F.sum("best").alias("kid_best")).withColumnRenamed("parent", "head")
+        at = (F.col("first") == li) & F.col("kid_best").isNotNull()
+        best = cut_lineage(best.join(below, "head", "left").select(
+            "head", "parent", "first", "stability",
+            F.when(at, F.greatest("stability", "kid_best")).otherwise(F.col("best")).alias("best"),
+            F.when(at, F.col("stability") >= F.col("kid_best")).otherwise(F.col("chosen")).alias("chosen")))
+    # of the chosen clusters a point was born into, the one that was born first
+    sel = best.filter("chosen").select("head", "first")
     w = Window.partitionBy("id").orderBy("lvl")
-    chosen = pts.withColumn("r", F.row_number().over(w)).filter("r = 1").select("id", "cid")
-    # cluster id = smallest member id of the chosen cluster
-    ranked = chosen.groupBy("cid").agg(F.min("id").alias("cluster_id"))
-    out = df.select(F.col(id_col).cast("long").alias("id")).join(chosen.join(ranked, "cid"), "id", "left")
+    chosen = member.join(sel, "head").filter("lvl = first").withColumn("r", F.row_number().over(w)).filter("r = 1") \
+        .select("id", "head")
+    named = chosen.groupBy("head").agg(F.min("id").alias("cluster_id"))
+    out = df.select(F.col(id_col).cast("long").alias("id")).join(chosen.join(named, "head"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
 
 
@@ -394,8 +386,12 @@ def cluster_keyword_labels(df: DataFrame, top_k: int = 5, text_col: str = "keywo
 
 
 def mode_label(df: DataFrame, group_col: str = "cluster_id", label_col: str = "label") -> DataFrame:
-    """Most frequent label per group; ties -> smallest label."""
-    return df.groupBy(group_col).agg(F.mode(label_col, True).alias("mode_label"))
+    """Most frequent label per group; ties -> smallest label.  Counts are
+    combined map-side, so no group's values are gathered."""
+    n = df.groupBy(group_col, label_col).agg(F.count(label_col).alias("n"))
+    best = n.filter("n > 0").groupBy(group_col).agg(F.min(F.struct((-F.col("n")).alias("o"), F.col(label_col).alias("v"))).alias("b"))
+    return df.select(group_col).distinct().join(best.withColumnRenamed(group_col, "_g"), F.col(group_col).eqNullSafe(F.col("_g")), "left") \
+        .select(group_col, F.col("b.v").alias("mode_label"))
 
 
 def score_labels(clusters: DataFrame, labels: list[str] | DataFrame | None = None, text_col: str = "keywords_text",
@@ -421,8 +417,8 @@ def score_labels(clusters: DataFrame, labels: list[str] | DataFrame | None = Non
     dots = cv.join(lv, "bucket").groupBy("cluster_id", "label").agg(F.sum(F.col("v") * F.col("lv")).alias("dot"))
     scored = dots.join(norm, "cluster_id").withColumn("score", F.round(F.col("dot") / F.col("nrm"), 9))
     best = scored.filter("score > 0").groupBy("cluster_id").agg(
-        F.max_by("label", F.struct("score", F.lit(0) - F.length("label"), F.col("label"))).alias("zero_shot_label"),
-        F.max("score").alias("zero_shot_score"))
+        F.min(F.struct((-F.col("score")).alias("s"), F.length("label").alias("n"), F.col("label").alias("l"))).alias("b"))
+    best = best.select("cluster_id", F.col("b.l").alias("zero_shot_label"), (-F.col("b.s")).alias("zero_shot_score"))
     ids = members.select("cluster_id").distinct()
     return ids.join(best, "cluster_id", "left").withColumn(
         "zero_shot_label", F.coalesce("zero_shot_label", F.lit("Other")))

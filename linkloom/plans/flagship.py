@@ -16,14 +16,14 @@ from linkloom.session import cut_lineage
 from linkloom.sources.tables import entries_dup, load
 
 
-def flagship(spark: SparkSession, sf_dir: str, top_n: int = 5, max_tokens: int = 400) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, top_n: int = 5, max_tokens: int | None = None) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     ents = E.dedup_entries(entries_dup(entries_from(pages)))
-    text = H.visible_text(pages, 1000).withColumnRenamed("page_id", "pos")
-    # pages are keyed by page_id = the first occurrence's pos, so the page text joins on pos
-    # stage boundary after the HTML scan: a reliable checkpoint, spread over
-    # the cluster again if AQE collapsed the small join output
-    with_text = cut_lineage(ents.join(text.withColumnRenamed("visible_text", "scraped"), "pos", "left"))
+    # one page a url, chosen on the narrow columns; its text joins on the url
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    text = H.visible_text(pages).join(first, "page_id").select("url", F.col("visible_text").alias("scraped"))
+    # stage boundary after the HTML scan
+    with_text = cut_lineage(ents.join(text, "url", "left"))
     cleaned = C.clean_entries(with_text, None, max_tokens=max_tokens)
     # stage boundary: the HTML scan and cleaning run once, not again for the
     # keyword scorer's document count (reliable checkpoint, survives executor loss)

@@ -25,15 +25,19 @@ from linkloom.operators import vectors as V
 from linkloom.session import cut_lineage
 
 
-def page_texts(pages: DataFrame, max_strings: int = 1000) -> DataFrame:
+def page_texts(pages: DataFrame, max_strings: int | None = None) -> DataFrame:
     """(url, scraped): visible text folded to ASCII; challenge pages and
     failed pages give ''; one text per url (lowest page_id)."""
     from linkloom.sources.pages import split_challenge_pages
     good, _ = split_challenge_pages(pages)
     vis = H.visible_text(good, max_strings)
-    t = good.select("page_id", "url").join(vis, "page_id")
-    t = t.withColumn("scraped", T.to_ascii(F.col("visible_text")))
-    return t.groupBy("url").agg(F.min_by("scraped", "page_id").alias("scraped"))
+    if "kind" in good.columns:
+        # plain text is not parsed as markup
+        plain = good.select("page_id", F.when(F.col("kind") == "text", F.col("html")).alias("_plain"))
+        vis = vis.join(plain, "page_id").withColumn("visible_text", F.coalesce("_plain", "visible_text")).drop("_plain")
+    # the winner of a url is picked on narrow rows; texts meet it by page_id
+    first = good.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return vis.join(first, "page_id").select("url", T.to_ascii(F.col("visible_text")).alias("scraped"))
 
 
 def _stage(df: DataFrame, name: str, cache_root: str | None, fp: str | None) -> DataFrame:
@@ -44,11 +48,8 @@ def _stage(df: DataFrame, name: str, cache_root: str | None, fp: str | None) ->
 
 
 def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None, algorithm: str = "hdbscan",
-             zero_shot: bool = False, candidate_labels=None, cache_root: str | None = None,
-             neighbor_method: str = "exact") -> DataFrame:
-    """``neighbor_method="lsh"`` switches density clustering to MLlib LSH
-    candidate pairs (approximate recall) for inputs too large for the exact
-    blocked pair search."""
+             zero_shot: bool = False, candidate_labels=None, cache_root: str | None = None) -> DataFrame:
+    """The organiser over ``entries`` and crawled ``pages`` (see the module text)."""
     cfg = cfg or Settings()
     fp = None
     if cache_root:
@@ -69,7 +70,7 @@ def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None,
         out = CL.cluster_and_label(feats, "kmeans", "features", "pos", n_clusters=cfg.n_clusters, seed=cfg.seed,
                                    zero_shot=zero_shot, candidate_labels=candidate_labels)
     elif algorithm in ("hdbscan", "density"):
-        out = _density_pipeline(feats, cfg, zero_shot, candidate_labels, neighbor_method)
+        out = _density_pipeline(feats, cfg, zero_shot, candidate_labels)
     else:
         raise ValueError(f"Unsupported clustering algorithm: {algorithm}")
     keep = [c for c in ("pos", "url", "title", "domain", "date", "group_ids", "folder", "clean_text",
@@ -78,22 +79,17 @@ def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None,
     return out.select(*keep)
 
 
-def _density_pipeline(feats: DataFrame, cfg: Settings, zero_shot: bool, candidate_labels,
-                      method: str = "exact") -> DataFrame:
+def _density_pipeline(feats: DataFrame, cfg: Settings, zero_shot: bool, candidate_labels) -> DataFrame:
     """HDBSCAN-like default: scales from quantiles of the core distance
     (distributed approxQuantile), clusters chosen by stability (M9)."""
     ms = cfg.effective_min_samples
-    if method == "exact":
-        k = CL.knn(feats, max(ms - 1, 1), "pos", "features")
-        core = k.filter(F.col("rank") == max(ms - 1, 1)).select(F.col("dist").alias("d"))
-    else:
-        # scale grid from the distances of LSH candidate pairs under a generous radius
-        core = CL.range_pairs_lsh(feats, 2.0, "pos", "features").select("d")
+    k = CL.knn(feats, max(ms - 1, 1), "pos", "features")
+    core = k.filter(F.col("rank") == max(ms - 1, 1)).select(F.col("dist").alias("d"))
     qs = [q for q in core.approxQuantile("d", [0.2, 0.4, 0.6, 0.8, 0.95], 0.01) if q is not None]
     levels = sorted({round(q, 6) for q in qs if q > 0}, reverse=True) or [1.0]
-    lab = CL.density_hierarchy(feats, levels, ms, cfg.min_cluster_size, "pos", "features", method=method)
+    lab = CL.density_hierarchy(feats, levels, ms, cfg.min_cluster_size, "pos", "features")
     out = feats.join(lab, "pos")
-    best = CL.density_cluster(feats, levels[0], ms, cfg.min_cluster_size, "pos", "features", method=method) \
+    best = CL.density_cluster(feats, levels[0], ms, cfg.min_cluster_size, "pos", "features") \
         .select("pos", "core_dist")
     conf = out.join(best, "pos", "left")
     conf = CL.density_confidence(conf, "pos")

@@ -58,11 +58,11 @@ def onetab_exports(e):
          group_ids[1] AS gid FROM entries),
 g AS (SELECT file, gid, min(date) AS created FROM f GROUP BY file, gid),
 r AS (SELECT file, gid, dense_rank() OVER (PARTITION BY file ORDER BY gid) - 1 AS group_idx FROM g)
-SELECT f.file, r.group_idx, f.url, f.title, f.domain, strftime(g.created, '%Y-%m-%d %H:%M:%S') AS date
+SELECT f.file, r.group_idx + 4294967296 * (dense_rank() OVER (ORDER BY f.file) - 1) AS group_id, f.url, f.title, f.domain, strftime(g.created, '%Y-%m-%d %H:%M:%S') AS date
 FROM f JOIN g USING (file, gid) JOIN r USING (file, gid)""")
 def s1_read_onetab(spark, sf):
     out = BK.parse_onetab(onetab_exports(entries(spark, sf)))
-    return out.select("file", (F.col("group_ids")[0] % 1000000).alias("group_idx"), "url", "title", "domain",
+    return out.select("file", F.col("group_ids")[0].alias("group_id"), "url", "title", "domain",
                       F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"))
 
 

@@ -42,7 +42,7 @@ def _stream(spark, df, key):
 
 def _r1_sql():
     from linkloom.plans.q_boilerplate import fit_sql
-    return "WITH " + fit_sql() + " SELECT domain, phrase, kind, n FROM boilerplate"
+    return "WITH " + fit_sql(samples=8) + " SELECT domain, phrase, kind, n FROM boilerplate"
 
 
 @register("r1_stream_boilerplate", _r1_sql())
@@ -114,7 +114,7 @@ def _r1f_sql():
     from linkloom.plans.q_boilerplate import fit_sql
     from linkloom.sources.tables import ENTRIES_SQL
     cte = ENTRIES_SQL + ", ent AS (SELECT e.domain, e.pos, p.html AS scraped FROM entries e JOIN pages p ON p.page_id = e.pos)"
-    return "WITH " + fit_sql(0.75, "ent", "scraped", cte) + " SELECT domain, phrase, kind, n FROM boilerplate"
+    return "WITH " + fit_sql(0.75, "ent", "scraped", cte, samples=8) + " SELECT domain, phrase, kind, n FROM boilerplate"
 
 
 @register("r1_stream_boilerplate_finalized", _r1f_sql())

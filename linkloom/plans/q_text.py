@@ -65,10 +65,11 @@ def sql_valid(e):
 
 
 def sql_limit(e, n, min_words=3):
-    return f"CASE WHEN len({e}) < {min_words} THEN '' ELSE array_to_string({e}[1:{n}], ' ') END"
+    kept = e if n is None else f"{e}[1:{n}]"
+    return f"CASE WHEN len({e}) < {min_words} THEN '' ELSE array_to_string({kept}, ' ') END"
 
 
-def sql_clean(e, n=400):
+def sql_clean(e, n=None):
     return sql_limit(sql_valid(sql_tokens(sql_normalize(PT.sql_apply_patterns(e, _ALL)))), n)
 
 

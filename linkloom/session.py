@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,9 +59,8 @@ def apply_scale_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    On a cluster the setting must exist (a machine-local folder would not
-    survive executor loss); only a local-mode session (tests) gets a fresh
-    temporary folder.
+    The setting must exist: a machine-local folder would not survive executor
+    loss.  Only ``get_spark`` on a local master (tests, bench) sets one itself.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -68,30 +68,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) on a cluster")
-        configured = tempfile.mkdtemp(prefix="linkloom-ckpt-")
+        configured = tempfile.mkdtemp(prefix="linkloom-ckpt-")  # one process: its folder is everybody's
     sc.setCheckpointDir(configured)
     return configured
 
 
-def cut_lineage(df: DataFrame, rebalance: bool = True) -> DataFrame:
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss.
-
-    AQE may have coalesced a small but CPU-heavy table (e.g. page texts) into
-    one partition; when the checkpointed result has fewer partitions than the
-    cluster has cores it is spread out again (never the case on large data).
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    if rebalance:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if target > 1 and out.rdd.getNumPartitions() < target:
-            out = out.repartition(target)
-    return out
+    return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,11 +9,12 @@ single document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.urls import drop_local_urls, epoch_date, onetab_date, url_domain
-from linkloom.sources.formats import detect_format
+from linkloom.operators.ranking import rank_within_group
+from linkloom.sources.formats import detect_format, file_kind
 
 LINK_SCHEMA = ("file string, link_idx long, group_local long, href string, title string, "
                "raw_date string, add_date string, last_modified string, folder string")
@@ -65,35 +66,60 @@ def _folder_scan(batches):
 LINK_SCHEMA_COLS = [c.strip().split(" ")[0] for c in LINK_SCHEMA.split(",")]
 
 
-def _with_group_ids(links: DataFrame, files: DataFrame) -> DataFrame:
-    """Stable group ids: file ordinal (dense rank of the file name over the
-    small files table) * 1e6 + the group's ordinal inside the file."""
-    ranks = files.select("file").distinct().withColumn(
-        "_fidx", F.dense_rank().over(Window.orderBy("file")) - 1)
-    return links.join(F.broadcast(ranks), "file").withColumn(
-        "group_ids", F.array(F.col("_fidx") * 1000000 + F.col("group_local"))) \
-        .withColumn("pos", F.col("_fidx") * 100000000 + F.col("link_idx")).drop("_fidx")
+#: links and groups of one file fit below this; file ordinals stand above it
+FILE_STEP = 2 ** 32
 
 
-def parse_onetab(files: DataFrame) -> DataFrame:
+def file_ordinals(files: DataFrame) -> DataFrame:
+    """(file, ordinal): 0, 1, ... in file-name order, over any number of files
+    (range-partitioned ranks, no single-task window)."""
+    names = files.select("file").distinct().withColumn("_all", F.lit(0))
+    return rank_within_group(names, "_all", ["file"], "_rank").select("file", (F.col("_rank") - 1).alias("_ordinal"))
+
+
+def _with_ids(links: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """pos and group_ids, unique over all files of a read."""
+    base = F.col("_ordinal") * FILE_STEP
+    return links.join(ordinals, "file").withColumn("group_ids", F.array(base + F.col("group_local"))) \
+        .withColumn("pos", base + F.col("link_idx")).drop("_ordinal")
+
+
+def parse_onetab(files: DataFrame, ordinals: DataFrame | None = None) -> DataFrame:
     """S1 on (file, content) rows."""
     links = files.select("file", "content").mapInPandas(_onetab_scan, LINK_SCHEMA)
-    out = _with_group_ids(links, files).select(
+    out = _with_ids(links, file_ordinals(files) if ordinals is None else ordinals).select(
         "pos", F.col("href").alias("url"), "title", url_domain(F.col("href")).alias("domain"),
         onetab_date(F.col("raw_date")).alias("date"), "raw_date", "group_ids",
         F.lit(None).cast("string").alias("folder"), "file")
     return drop_local_urls(out)
 
 
-def parse_netscape(files: DataFrame) -> DataFrame:
+def parse_netscape(files: DataFrame, ordinals: DataFrame | None = None) -> DataFrame:
     """S2 on (file, content) rows; local URLs are kept (as the original)."""
     links = files.select("file", "content").mapInPandas(_netscape_scan, LINK_SCHEMA)
-    return _with_group_ids(links, files).select(
+    return _with_ids(links, file_ordinals(files) if ordinals is None else ordinals).select(
         "pos", F.col("href").alias("url"), "title", url_domain(F.col("href")).alias("domain"),
         epoch_date(F.col("add_date"), F.col("last_modified")).alias("date"), "raw_date", "group_ids",
         "folder", "file")
 
 
+def parse_entries(files: DataFrame, ordinals: DataFrame | None = None) -> DataFrame:
+    """S4 files of a mixed folder, on (file, content) rows: a JSON array of entries, or one entry a line."""
+    whole = F.from_json("content", f"array<{_struct(ENTRY_JSON_SCHEMA)}>")
+    lines = F.transform(F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != ""),
+                        lambda x: F.from_json(x, _struct(ENTRY_JSON_SCHEMA)))
+    rows = F.when(F.ltrim("content").startswith("["), whole).otherwise(lines)
+    x = files.select("file", F.posexplode(rows).alias("link_idx", "e"))
+    x = x.join(file_ordinals(files) if ordinals is None else ordinals, "file")
+    return x.select((F.col("_ordinal") * FILE_STEP + F.col("link_idx")).alias("pos"), "e.url", "e.title", "e.domain",
+                    F.expr("try_to_timestamp(e.date)").cast("timestamp_ntz").alias("date"), "e.raw_date", "e.group_ids",
+                    "e.folder", "file")
+
+
+def _struct(ddl: str) -> str:
+    return "struct<" + ", ".join(f"{c.split()[0]}: {c.split(None, 1)[1]}" for c in ddl.split(", ")) + ">"
+
+
 def parse_folder_paths(files: DataFrame) -> DataFrame:
     """S3: every folder path of the export tree (pre-order), with depth; the
     bare ROOT row of the original is dropped (Q2)."""
@@ -114,13 +140,18 @@ def read_folder_paths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
-    """Mixed folder: route each file by S5 detection; unsupported files fail."""
-    files = read_export_files(spark, path).withColumn("format", detect_format(F.col("content")))
+    """Mixed folder: .json files hold entries (S4), the others are routed by S5
+    detection; unsupported files fail.  pos and group_ids are unique over all files."""
+    files = read_export_files(spark, path)
+    files = files.withColumn("format", F.when(file_kind(F.col("file")) == "json", "json").otherwise(
+        detect_format(F.col("content"))))
     bad = files.filter(F.col("format") == "unsupported").select("file").limit(1).collect()
     if bad:
         raise ValueError(f"unsupported export format: {bad[0][0]}")
-    return parse_onetab(files.filter(F.col("format") == "onetab")).unionByName(
-        parse_netscape(files.filter(F.col("format") == "netscape")))
+    ordinals = file_ordinals(files)
+    parts = [parse(files.filter(F.col("format") == kind), ordinals) for kind, parse in
+             (("onetab", parse_onetab), ("netscape", parse_netscape), ("json", parse_entries))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 ENTRY_JSON_SCHEMA = ("url STRING, title STRING, domain STRING, date STRING, raw_date STRING, "

@@ -60,12 +60,12 @@ def entries_from_pages(pages: DataFrame) -> DataFrame:
 
 
 def entries_dup(entries: DataFrame) -> DataFrame:
-    """Every entry twice: the copy comes later (pos + 1e6) from another group.
+    """Every entry twice (pos 2p and 2p + 1): the copy comes later, from another group.
     Built with one scan (explode of [original, copy]) rather than a union."""
     x = entries.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_copy"))
     copy = F.col("_copy") == 1
     return x.select(
-        F.when(copy, F.col("pos") + 1000000).otherwise(F.col("pos")).alias("pos"), "url", "title", "domain", "date",
+        (F.col("pos") * 2 + F.col("_copy")).alias("pos"), "url", "title", "domain", "date",
         F.when(copy, F.array(F.lit(100) + (F.col("pos") % 7))).otherwise(F.col("group_ids")).alias("group_ids"),
         "folder")
 
@@ -98,8 +98,8 @@ ENTRIES_SQL = (
     f"regexp_extract(url, '{_FOLDER_RE}', 1) AS folder FROM pages)"
 )
 ENTRIES_DUP_SQL = (
-    ENTRIES_SQL + ", entries_dup AS (SELECT * FROM entries UNION ALL "
-    "SELECT pos + 1000000 AS pos, url, title, domain, date, [100 + pos % 7] AS group_ids, folder FROM entries)"
+    ENTRIES_SQL + ", entries_dup AS (SELECT * REPLACE (2 * pos AS pos) FROM entries UNION ALL "
+    "SELECT 2 * pos + 1 AS pos, url, title, domain, date, [100 + pos % 7] AS group_ids, folder FROM entries)"
 )
 DOCS_AS_ENTRIES_SQL = (
     "docs_as_entries AS (SELECT doc_id AS pos, 'doc://' || source || '/' || CAST(doc_id AS VARCHAR) AS url, "

@@ -1,5 +1,6 @@
 """Scalar functions against brute-force Python versions of the same rules."""
 
+import functools
 import re
 import unicodedata
 
@@ -9,14 +10,14 @@ from linkloom.functions import text as T
 from linkloom.functions import urls as U
 
 
-def lev(s0, s1):
-    cost = list(range(len(s0) + 1))
-    for j in range(1, len(s1) + 1):
-        new = [j] + [0] * len(s0)
-        for i in range(1, len(s0) + 1):
-            new[i] = min(cost[i] + 1, new[i - 1] + 1, cost[i - 1] + (s0[i - 1] != s1[j - 1]))
-        cost = new
-    return cost[-1]
+def lev(x, y):
+    """Edit distance by its recursive definition."""
+    @functools.cache
+    def d(i, k):
+        if not i or not k:
+            return i + k
+        return min(d(i - 1, k) + 1, d(i, k - 1) + 1, d(i - 1, k - 1) + (x[i - 1] != y[k - 1]))
+    return d(len(x), len(y))
 
 
 def similarity(a, b):
