@@ -26,7 +26,7 @@ held_out false; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
 
 import numpy as np
@@ -54,8 +54,7 @@ for _i in range(26):
 _SYMBOL[128:] = 27
 
 
-def symbol(ch: str) -> int:
-    return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ord(ch) >= 128 else 0
+_SYMBOL_OF = {chr(c): int(_SYMBOL[c]) for c in range(128)}
 
 
 def char_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -86,10 +85,13 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3)
 
 
-def restore(token: str, logp: np.ndarray, spaced: bool = False) -> str:
-    """Most likely reading of a token's lattice (lower case; may hold word breaks if ``spaced``)."""
-    best = {(0, 0): (0.0, "")}  # (symbol before last, last) -> (score, text)
+def restore(token: str, logp: list[float], spaced: bool = False) -> str:
+    """Most likely reading of a token's lattice (lower case; may hold word breaks if ``spaced``).
+
+    logp: flat list of log p(c | a b) at (a * 28 + b) * 28 + c."""
+    best = {0: (0.0, "")}  # 28 * symbol before last + last -> (score, text)
     token, prev = token.lower(), ""
+    of = _SYMBOL_OF.get
     for at, ch in enumerate(token):
         arcs = []  # (letters, channel cost)
         if ch.isalpha():
@@ -106,20 +108,21 @@ def restore(token: str, logp: np.ndarray, spaced: bool = False) -> str:
             if ch in SEPARATORS or not arcs:
                 arcs.append(("", -1.5))
         nxt: dict = {}
-        for (a, b), (score, text) in best.items():
-            for letters, cost in arcs:
-                x, y, s = a, b, score + cost
-                for c in letters:
-                    z = symbol(c)
-                    s += logp[x, y, z]
-                    x, y = y, z
-                if not letters:
+        for letters, cost in arcs:
+            marks = [of(c, 27) for c in letters]
+            for state, (score, text) in best.items():
+                s = score + cost
+                for z in marks:
+                    at_z = state * N + z
+                    s += logp[at_z]
+                    state = at_z % (N * N)
+                if not marks:
                     s -= 2.0  # a dropped sign saves the model nothing
-                if (x, y) not in nxt or nxt[x, y][0] < s:
-                    nxt[x, y] = (s, text + letters)
+                if state not in nxt or nxt[state][0] < s:
+                    nxt[state] = (s, text + letters)
         best = nxt
         prev = ch
-    return max(((s + logp[a, b, 0], t) for (a, b), (s, t) in best.items()), key=lambda r: (r[0], r[1]))[1]
+    return max(((s + logp[state * N], t) for state, (s, t) in best.items()), key=lambda r: (r[0], r[1]))[1]
 
 
 _SPACED = re.compile(r"(?<!\S)[^\s](?:[ \t][^\s]){3,}(?!\S)")
@@ -129,13 +132,14 @@ class Reader:
     """Restored words of texts."""
 
     def __init__(self, logp: np.ndarray):
-        self.logp = logp
+        self.logp = np.asarray(logp).ravel().tolist()
+        self.memo: dict = {}
 
     def read(self, token: str) -> tuple[str, ...]:
         bare = token.strip(_EDGES)
         if not bare:
             return ()
-        if len(token) <= 40 and not token.isalpha() and _SIGNS.search(token) or _REPEATS.search(bare):
+        if (not bare.isalpha() or bare != token) and len(token) <= 40 and _SIGNS.search(token) or _REPEATS.search(bare):
             # edges may be signs as well ("$tupid", "idio!"): read both ways, letters decide
             return tuple(dict.fromkeys(w for t in (bare, token) for w in (restore(t[:40], self.logp),) if w))
         return (bare.lower(),)
@@ -151,10 +155,20 @@ class Reader:
                     out.update(restore(letters[at:at + 200], self.logp, spaced=True).split())
         return out
 
-    def text(self, text: str | None) -> set[str]:
+    def features(self, text: str | None) -> dict[str, list[int]]:
+        """Hashed features of each restored word of a text."""
         tokens = (text or "").split()
-        out = {w for t in set(tokens) for w in self.read(t)}
-        return out | self.spaced(text, tokens)
+        every, memo = set(tokens), self.memo
+        new = every.difference(memo)
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = every
+        for t in new:
+            memo[t] = tuple((w, bins_of(w)) for w in self.read(t))
+        out = {w: b for pairs in map(memo.__getitem__, every) for w, b in pairs}
+        for w in self.spaced(text, tokens):
+            out[w] = bins_of(w)
+        return out
 
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -185,39 +199,36 @@ class Scorer:
         self.table = (np.log((toxic + self.a) / self.a) - np.log((clean + self.b) / self.b)).tolist()
         self.memo: dict = {}
 
-    def token(self, token: str):
-        """(word, weight) pairs with positive weight of one token."""
-        got = self.memo.get(token)
-        if got is None:
-            table = self.table
-            pairs = [(w, max([table[i] for i in bins_of(w)])) for w in self.reader.read(token)]
-            got = tuple(x for x in pairs if x[1] > 0)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[token] = got
-        return got
+    def weigh(self, word: str):
+        table = self.table
+        return max([table[i] for i in bins_of(word)])
 
     def score_inputs(self, text) -> list[float]:
         tokens = (text or "").split()
-        memo, found = self.memo, set()
-        for t in set(tokens):
-            got = memo.get(t)
-            if got is None:
-                got = self.token(t)
-            if got:
-                found.update(got)
+        every, memo = set(tokens), self.memo
+        new = every.difference(memo)
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = every
+        for t in new:
+            # (word, weight) pairs with evidence; most tokens have none
+            memo[t] = tuple((w, x) for w in self.reader.read(t) for x in (self.weigh(w),) if x > 0)
+        found = set()
+        for pairs in filter(None, map(memo.__getitem__, every)):
+            found.update(pairs)
         for w in self.reader.spaced(text, tokens):
-            found.update((w, x) for x in [max([self.table[i] for i in bins_of(w)])] if x > 0)
+            found.add((w, self.weigh(w)))
         return evidence([x for _, x in found])
 
     def left_out_inputs(self, text, own: int) -> list[float]:
         """Inputs of a text whose label the counts hold: its own share is taken off."""
-        out = []
-        for w in self.reader.text(text):
-            i = bins_of(w)
-            t, c = self.toxic[i] - own, self.clean[i] - (1 - own)
-            out.append(float((np.log((t + self.a) / self.a) - np.log((c + self.b) / self.b)).max()))
-        return evidence(out)
+        bins = list(self.reader.features(text).values())
+        if not bins:
+            return evidence([])
+        sizes = np.fromiter(map(len, bins), dtype=np.int64, count=len(bins))
+        i = np.fromiter(itertools.chain.from_iterable(bins), dtype=np.int64, count=int(sizes.sum()))
+        w = np.log((self.toxic[i] - own + self.a) / self.a) - np.log((self.clean[i] - (1 - own) + self.b) / self.b)
+        return evidence(np.maximum.reduceat(w, np.cumsum(sizes) - sizes).tolist())
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -259,8 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 40_000, id_col: s
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n[y] += 1
-                at = {i for w in reader.text(t) for i in bins_of(w)}
-                total[y, list(at)] += 1
+                total[y, list(set().union(*reader.features(t).values()))] += 1
         if n[0] + n[1]:
             for at in range(0, BINS, 8192):
                 yield pa.RecordBatch.from_arrays(
