@@ -186,14 +186,14 @@ _LABELS_SQL = "[" + ", ".join("'" + x + "'" for x in dict.fromkeys(CL.DEFAULT_ZE
 J5_SQL = DOC_CLUSTERS_SQL + f""",
 labs AS (SELECT unnest({_LABELS_SQL}) AS label),
 {encode_sql('labs', 'label', 'label', 384, 'le')},
-cf AS (SELECT cluster_id, unnest({hash_feats_sql('keywords_text')}) AS f FROM dc WHERE cluster_id >= 0),
-cv AS (SELECT cluster_id, {_md5_bucket('f')} AS bucket, sum({_md5_sign('f')}) AS v FROM cf GROUP BY cluster_id, bucket),
+{hash_feats_sql('cf', '(SELECT * FROM dc WHERE cluster_id >= 0)', 'cluster_id', 'keywords_text')},
+cv AS (SELECT cluster_id, {_md5_bucket('m')} AS bucket, sum({_md5_sign('m')}) AS v FROM cf GROUP BY cluster_id, bucket),
 cvn AS (SELECT * FROM cv WHERE v <> 0),
 nrm AS (SELECT cluster_id, sqrt(sum(v * v)) AS nrm FROM cvn GROUP BY cluster_id),
 dots AS (SELECT c.cluster_id, l.id AS label, sum(c.v * l.value) AS dot FROM cvn c JOIN le l USING (bucket)
   GROUP BY c.cluster_id, l.id),
 sc AS (SELECT cluster_id, label, round(dot / nrm, 9) AS score FROM dots JOIN nrm USING (cluster_id)),
-best AS (SELECT cluster_id, first(label ORDER BY score DESC, label) AS zero_shot_label FROM sc WHERE score > 0
+best AS (SELECT cluster_id, first(label ORDER BY score DESC, length(label), label) AS zero_shot_label FROM sc WHERE score > 0
   GROUP BY cluster_id)
 SELECT ids.cluster_id, coalesce(best.zero_shot_label, 'Other') AS zero_shot_label
 FROM (SELECT DISTINCT cluster_id FROM dc WHERE cluster_id >= 0) ids LEFT JOIN best USING (cluster_id)"""
