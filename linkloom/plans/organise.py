@@ -9,6 +9,8 @@ else a reliable checkpoint).
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,10 @@ def page_texts(pages: DataFrame, max_strings: int | None = None) -> DataFrame:
     return vis.join(first, "page_id").select("url", T.to_ascii(F.col("visible_text")).alias("scraped"))
 
 
-def _stage(df: DataFrame, name: str, cache_root: str | None, fp: str | None) -> DataFrame:
+def _stage(df: DataFrame, name: str, cache_root: str | None, fp: str | None, cfg: Settings) -> DataFrame:
     if cache_root:
         from linkloom.sources.sinks import StageCheckpoint
-        return StageCheckpoint(cache_root).run(name, fp, lambda: df)
+        return StageCheckpoint(cache_root, data_only=False).run(name, fp, lambda: df, settings=asdict(cfg))
     return cut_lineage(df)
 
 
@@ -54,18 +56,20 @@ def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None,
     fp = None
     if cache_root:
         from linkloom.sources.sinks import corpus_fingerprint
-        fp = corpus_fingerprint(entries, "pos", "url")
+        # the key holds the entries, the pages with their content, and the settings
+        fp = corpus_fingerprint(entries, *[c for c in ("pos", "url", "title", "date", "folder") if c in entries.columns]) \
+            + corpus_fingerprint(pages, "page_id", "url", "html")
     ents = E.dedup_entries(entries)
-    scraped = _stage(ents.join(page_texts(pages), "url", "left"), "scraped", cache_root, fp)
+    scraped = _stage(ents.join(page_texts(pages), "url", "left"), "scraped", cache_root, fp, cfg)
     bp = B.fit_boilerplate(scraped, "scraped", cfg.min_domain_size, cfg.domain_samples, cfg.phrase_freq,
                            cfg.ngram_range)
     cleaned = C.clean_entries(scraped, bp, max_tokens=cfg.max_tokens, sequence=cfg.filter_sequence)
-    cleaned = _stage(cleaned, "cleaned", cache_root, fp)
+    cleaned = _stage(cleaned, "cleaned", cache_root, fp, cfg)
     docs = cleaned.select("pos", T.title_plus_text(U.base_title(F.col("title"), F.col("domain")),
                                                     F.col("clean_text")).alias("kw_text"))
     kw = K.keyword_arrays(K.keywords(docs, "pos", "kw_text", cfg.top_k), cleaned, "pos", "raw_kw")
     kw = kw.withColumn("keywords", K.refine_keywords(F.col("raw_kw"), 0.2)).drop("raw_kw")
-    feats = _stage(V.build_features(kw, cfg.features, cfg.hash_dim, cfg.seed), "embeddings", cache_root, fp)
+    feats = _stage(V.build_features(kw, cfg.features, cfg.hash_dim, cfg.seed), "embeddings", cache_root, fp, cfg)
     if algorithm == "kmeans":
         out = CL.cluster_and_label(feats, "kmeans", "features", "pos", n_clusters=cfg.n_clusters, seed=cfg.seed,
                                    zero_shot=zero_shot, candidate_labels=candidate_labels)

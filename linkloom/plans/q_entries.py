@@ -196,10 +196,23 @@ _CHALLENGE_SQL = "(" + " OR ".join(f"contains(lower(substr(html, 1, 1000)), '{p}
                                     for p in T.BROWSER_CHALLENGE_PHRASES) + ")"
 
 
+# pages with the faults that a crawl meets: challenge texts, empty bodies, failed requests
+_FAULTY_SQL = """bad AS (SELECT page_id, url, CASE WHEN page_id % 17 = 4 THEN 503 ELSE 200 END AS status,
+  CASE WHEN page_id % 11 = 3 THEN '<p>Just a moment...</p>' || html WHEN page_id % 13 = 5 THEN '' WHEN page_id % 19 = 6 THEN NULL
+       ELSE html END AS html FROM pages)"""
+
+
+def _faulty(spark, sf):
+    p, i = load(spark, sf, "pages"), F.col("page_id")
+    html = (F.when(i % 11 == 3, F.concat(F.lit("<p>Just a moment...</p>"), F.col("html"))).when(i % 13 == 5, "")
+            .when(i % 19 == 6, F.lit(None).cast("string")).otherwise(F.col("html")))
+    return p.select("page_id", "url", F.when(i % 17 == 4, 503).otherwise(200).alias("status"), html.alias("html"))
+
+
 @register("p16_drop_challenge_pages",
-          f"SELECT page_id, coalesce({_CHALLENGE_SQL}, false) AS is_challenge FROM pages")
+          f"WITH {_FAULTY_SQL} SELECT page_id, coalesce({_CHALLENGE_SQL}, false) AS is_challenge FROM bad")
 def p16_drop_challenge_pages(spark, sf):
-    return load(spark, sf, "pages").select("page_id", T.is_challenge_page(F.col("html")).alias("is_challenge"))
+    return _faulty(spark, sf).select("page_id", T.is_challenge_page(F.col("html")).alias("is_challenge"))
 
 
 _P17_SQL = """WITH pairs AS (
@@ -232,18 +245,18 @@ def p17_text_similarity(spark, sf):
     return pairs.select("conv_id", "turn", T.text_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-_P18_SQL = W + f"""SELECT e.url, 'browser challenge' AS reason, 'scrape' AS stage
-FROM entries e JOIN pages p ON p.page_id = e.pos WHERE coalesce({_CHALLENGE_SQL}, false)
-UNION ALL SELECT url, 'empty page', 'scrape' FROM pages WHERE html IS NULL OR length(html) = 0
+_P18_SQL = W.rstrip() + f""", {_FAULTY_SQL},
+r AS (SELECT url, CASE WHEN status >= 400 THEN 'HTTP status ' || status WHEN coalesce({_CHALLENGE_SQL}, false) THEN 'browser challenge'
+  WHEN html IS NULL OR length(html) = 0 THEN 'empty page' END AS reason FROM bad)
+SELECT url, reason, 'scrape' AS stage FROM r WHERE reason IS NOT NULL
 UNION ALL SELECT url, 'no title', 'parse' FROM entries WHERE title = ''"""
 
 
 @register("p18_rejects", _P18_SQL)
 def p18_rejects(spark, sf):
     from linkloom.sources.pages import rejects
-    p = load(spark, sf, "pages")
     e = entries(spark, sf)
-    r1 = rejects(p)
+    r1 = rejects(_faulty(spark, sf))
     r2 = e.filter(F.col("title") == "").select("url", F.lit("no title").alias("reason"), F.lit("parse").alias("stage"))
     return r1.unionByName(r2)
 

@@ -15,13 +15,16 @@ from linkloom.session import scratch_path
 from linkloom.sources.tables import docs_as_entries, entries, entries_dup, load
 
 N_FILES = 4
+ROWS_A_FILE = 200_000
 
 
 def split_files(df: DataFrame, key: str, path: str, n: int = N_FILES):
-    """Test-input builder: write ``df`` as ``n`` key ranges, one job and one
-    file per range (distributed quantiles), so that arrival order of files
-    equals key order, as a stream of exports would arrive."""
-    qs = df.approxQuantile(key, [i / n for i in range(1, n)], 0.0)
+    """Test-input builder: write ``df`` as key ranges, one job and one file per
+    range, so that arrival order of files equals key order, as a stream of
+    exports would arrive.  There are at least ``n`` ranges and enough to bound
+    the rows of a file."""
+    n = max(n, -(-df.count() // ROWS_A_FILE))
+    qs = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.1 / n)))
     bounds = [None] + qs + [None]
     for lo, hi in zip(bounds, bounds[1:]):
         part = df
@@ -104,7 +107,7 @@ def r4_stream_dedup(spark, sf):
     from linkloom.streaming.operators import stream_dedup
     e = entries_dup(entries(spark, sf)).select("pos", "url", "date")
     s, base = _stream(spark, e, "pos")
-    q = stream_dedup(s, "date", "3650 days").writeStream.format("parquet").option("path", base + "/out") \
+    q = stream_dedup(s, "date", "7 days").writeStream.format("parquet").option("path", base + "/out") \
         .option("checkpointLocation", base + "/ck").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("pos long, url string, date timestamp_ntz").parquet(base + "/out").select("url", "pos")

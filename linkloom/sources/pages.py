@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import is_challenge_page
@@ -30,13 +30,16 @@ def with_fetch_rules(df: DataFrame) -> DataFrame:
     return df.withColumn("html", html).withColumn("kind", kind)
 
 
-def rejects(pages: DataFrame, stage: str = "scrape") -> DataFrame:
-    """One (url, reason, stage) row per page that yields no usable text."""
-    challenge = pages.filter(is_challenge_page(F.col("html"))) \
-        .select("url", F.lit("browser challenge").alias("reason"), F.lit(stage).alias("stage"))
-    empty = pages.filter(F.col("html").isNull() | (F.length("html") == 0)) \
-        .select("url", F.lit("empty page").alias("reason"), F.lit(stage).alias("stage"))
-    return challenge.unionByName(empty)
+def rejects(pages: DataFrame, stage: str = "scrape", at: Column | None = None) -> DataFrame:
+    """One (url, reason, stage[, rejected_at]) row per page that yields no
+    usable text: HTTP status of 400 and more, challenge, or empty.  ``at`` stamps
+    the rows (for instance ``F.current_timestamp()``)."""
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    reason = (F.when(status >= 400, F.concat(F.lit("HTTP status "), status.cast("string")))
+              .when(is_challenge_page(F.col("html")), F.lit("browser challenge"))
+              .when(F.col("html").isNull() | (F.length("html") == 0), F.lit("empty page")))
+    out = pages.select("url", reason.alias("reason"), F.lit(stage).alias("stage"), *([] if at is None else [at.alias("rejected_at")]))
+    return out.filter(F.col("reason").isNotNull())
 
 
 def split_challenge_pages(pages: DataFrame):

@@ -39,18 +39,19 @@ def _sampler(samples: int, min_domain_size: int):
             for _ in pdfs:          # locked: later texts are ignored
                 pass
             return
-        chunks = [pdf for pdf in pdfs]
-        if chunks:
-            # the group's rows of this micro-batch arrive in several Arrow
-            # chunks: order them all by input position before sampling
-            pdf = pd.concat(chunks).sort_values("pos", kind="stable")
-            for p, t in zip(pdf["pos"], pdf["text"]):
-                if n < samples:
-                    poss.append(int(p))
-                    texts.append(t)
-                n += 1
+        # of a micro-batch only the first rows by position can be sampled; the
+        # Arrow chunks of a hot domain are reduced one by one, never gathered
+        need, first = samples - len(poss), None
+        for pdf in pdfs:
+            n += len(pdf)
+            part = pdf.sort_values("pos", kind="stable").head(need)
+            first = part if first is None else pd.concat([first, part]).sort_values("pos", kind="stable").head(need)
+        if first is not None:
+            poss.extend(int(p) for p in first["pos"])
+            texts.extend(first["text"])
         if n >= samples:
-            state.update((n, True, poss[:samples], texts[:samples]))
+            # locked: the texts are not needed again
+            state.update((n, True, [], []))
             yield pd.DataFrame({"domain": [domain] * len(poss[:samples]), "pos": poss[:samples],
                                 "text": texts[:samples]})
         else:
