@@ -23,7 +23,7 @@ def test_r1_stream_boilerplate_equals_batch(spark, sf, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     # domains that reached 8 entries are fitted by the stream; compare those with batch
     full = d.groupBy("domain").count().filter("count >= 8").select("domain")
-    exp = B.fit_boilerplate(d, "scraped", freq=0.1).join(full, "domain", "left_semi")
+    exp = B.fit_boilerplate(d, "scraped", samples=8, freq=0.1).join(full, "domain", "left_semi")
     a = sorted((r.domain, r.phrase, r.kind, r.n) for r in got.collect())
     b = sorted((r.domain, r.phrase, r.kind, r.n) for r in exp.collect())
     assert a == b and len(a) > 0
@@ -95,5 +95,5 @@ def test_r1_stream_plus_finalize_equals_batch_for_all_domains(spark, sf, tmp_pat
     finalize_boilerplate(spark, str(tmp_path / "ck"), str(tmp_path / "out"))
     got = spark.read.schema("domain string, phrase string, kind string, n long").parquet(str(tmp_path / "out"))
     a = sorted((r.domain, r.phrase, r.kind, r.n) for r in got.collect())
-    b = sorted((r.domain, r.phrase, r.kind, r.n) for r in B.fit_boilerplate(e, "scraped").collect())
+    b = sorted((r.domain, r.phrase, r.kind, r.n) for r in B.fit_boilerplate(e, "scraped", samples=8).collect())
     assert a == b and len(b) > 0
