@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 #: bound on remembered word hashes of a worker
-MEMO = 400_000
+MEMO = 200_000
 
 
 class _WordHash(dict):
@@ -265,6 +265,12 @@ def covered_words(words: list[bytes], paths, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _rest(docs: DataFrame, text_col: str):
+    """The columns of a row beside its text, which is carried once, and whether that is null."""
+    others = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    return F.struct(*others, F.col(text_col).isNull().alias("no_text")).alias("row")
+
+
 def path_pieces(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id", text_col: str = "text",
                 carry: bool = False):
     """(rows, live, pieces).  rows: doc_id, text, t (text hash), copy (the whole text is in a smaller
@@ -274,7 +280,7 @@ def path_pieces(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id"
     All tables are parts of one plan, so the exchange of the texts by doc_id is made once."""
     # no alias where none is needed: a redundant one keeps the optimizer from reusing the exchange of the texts
     ident = F.col("doc_id") if (id_col, dict(docs.dtypes)[id_col]) == ("doc_id", "bigint") else F.col(id_col).cast("long").alias("doc_id")
-    x = docs.select(ident, F.coalesce(text_col, F.lit("")).alias("text"), *([F.struct("*").alias("row")] * carry))
+    x = docs.select(ident, F.coalesce(text_col, F.lit("")).alias("text"), *([_rest(docs, text_col)] * carry))
     x = x.where("doc_id is not null").withColumn("t", F.xxhash64("text"))
     h = x.select("doc_id", "t", F.sha2("text", 256).alias("sha"))
     first = h.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -304,7 +310,8 @@ def drop_repeats(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id
                  keep_rows: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row.
 
-    keep_rows: also kept_text (the text itself, where nothing went) and row (the input row)."""
+    keep_rows: also kept_text (the text itself, where nothing went) and row (the other columns
+    by position, and whether the text is null)."""
     x, live, pieces = path_pieces(docs, k, s, id_col, text_col, keep_rows)
     cuts = pieces.select(F.col("odoc").alias("doc_id"), F.explode(F.array(F.col("ostart"), F.col("ostart") + F.col("len"))).alias("c"))
     cuts = cuts.groupBy("doc_id").agg(F.sort_array(F.collect_set("c")).alias("cuts"))
@@ -340,19 +347,19 @@ def drop_repeats(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if keep_rows:
-        schema += f", kept_text string, row {docs.schema.simpleString()}"
+        schema += f", kept_text string, row {docs.select(_rest(docs, text_col)).schema['row'].dataType.simpleString()}"
     row = ["row"] * keep_rows
     full = x.join(paths.hint("shuffle_hash"), "doc_id", "left").select(
         "doc_id", "text", "copy", F.when(~F.col("aside"), F.col("paths")).alias("paths"), *row)
     lone = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.lit(False).alias("copy"),
         F.lit(None).cast("array<struct<start:bigint,cuts:array<bigint>,digests:array<binary>>>").alias("paths"),
-        *([F.struct("*").alias("row")] * keep_rows))
+        *([_rest(docs, text_col)] * keep_rows))
     return full.unionByName(lone).mapInArrow(finish, schema)
 
 
 def keep_rest(docs: DataFrame, k: int = 13, s: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without repeated windows; rows of which nothing is left go."""
     x = drop_repeats(docs, k, s, id_col, text_col, keep_rows=True).where("n_removed = 0 or n_removed < n_words")
-    return x.select(*[F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"row.{c}")).alias(c)
-                      if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    return x.select(*[F.when(~F.col("row.no_text"), F.col("kept_text")).alias(c) if c == text_col
+                      else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
