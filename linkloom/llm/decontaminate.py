@@ -1,22 +1,24 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit check.
 
 Words are tokens (lower case, punctuation at the ends dropped).  A benchmark item
-of n words is found in a document where some window of n words is within
-floor((1 - similarity) n) word edits of it.
+of n words is found in a document where some run of words (``substrings``) or some
+window of n words (the default) is within d = floor((1 - similarity) n) word edits
+of it.
 
-1. Gate, without loss.  An item within d edits of a window shares at least one of
+1. Gate, without loss.  An item within d edits of a run shares at least one of
    its d + 1 segments with it, near the same place.  Only windows that start
-   within d words of such a seed are item-sized candidates.
+   within d words of such a seed, with n - d words of the item around, go on.
 2. CGK.  A random walk copies a window into 3 n symbols: at step j it writes the
    word under the pointer and moves on if a random bit of (j, word) says so.  Two
    near windows fall into step again after an edit, so edit distance becomes
-   Hamming distance.
+   Hamming distance.  Windows are padded where the document ends.
 3. Bit-sampling LSH.  ``bits`` sampled places of the embedding are a signature;
    ``repeats`` independent walks are tried.  Their number is set so that items
    with the most edits allowed are found with probability ``recall``; the chance of
    one walk is measured on edited copies of the items.
-4. Windows that meet their item in any walk, and those up to d words beside them,
-   are verified with the exact edit distance; the best window is reported.
+4. Seeds of which a window meets the item in any walk are verified with the exact
+   edit distance: the item against every run of words, or every window of n words,
+   that the seed allows.  The best place is reported; n_words is that of the item.
 
 The documents pass once, without a shuffle.  The items are broadcast in blocks of
 at most ``block_words`` words; further items make further passes.
@@ -41,6 +43,8 @@ _EDGES = string.punctuation + "“”„«»‘’¿¡…–—"
 _PAD = 0  # symbol after the end of a window; 1: word that no item holds
 #: bound on remembered tokens of a worker
 MEMO = 500_000
+#: bound on the words of windows held at once
+CELLS = 400_000
 
 
 def normal(token: str) -> str:
@@ -79,6 +83,20 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return prev[:, -1]
 
 
+def substring_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least edit distance of each row of a from the words of the same row of b that begin at each place."""
+    rows, m = b.shape
+    b = b[:, ::-1]
+    steps = np.arange(m + 1, dtype=np.int32)
+    prev = np.zeros((rows, m + 1), np.int32)
+    for i in range(a.shape[1] - 1, -1, -1):
+        cur = np.empty_like(prev)
+        cur[:, 0] = a.shape[1] - i
+        np.minimum(prev[:, :-1] + (a[:, i:i + 1] != b), prev[:, 1:] + 1, out=cur[:, 1:])
+        prev = np.minimum.accumulate(cur - steps, axis=1) + steps
+    return prev[:, :0:-1]
+
+
 class Walks:
     """CGK walks over windows of up to ``longest`` words of a vocabulary."""
 
@@ -131,11 +149,12 @@ class Items:
             self.seeds[q] = [np.array(c, dtype=np.int64) for c in zip(*rows_)]
         longest = max(map(len, self.seqs))
         self.walks = Walks(self.radix, longest, max_repeats, bits)
-        self.repeats = min(max_repeats, self.needed(recall, max_repeats))
-        self.signatures = [[None] * self.repeats for _ in self.seqs]
+        every = min(max_repeats, self.needed(recall, max_repeats))
+        self.repeats = {len(s): every for s in self.seqs}
+        self.signatures = [[None] * self.repeats[len(s)] for s in self.seqs]
         for n in sorted({len(s) for s in self.seqs}):
             same = [k for k, s in enumerate(self.seqs) if len(s) == n]
-            for r in range(self.repeats):
+            for r in range(self.repeats[n]):
                 for k, sig in zip(same, self.walks.signature(np.stack([self.seqs[k] for k in same]), r)):
                     self.signatures[k][r] = sig
 
@@ -173,16 +192,19 @@ class Items:
         return most if p >= 1 else max(4, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
-def _candidates(a: np.ndarray, limits: np.ndarray, items: Items):
-    """(item, start) of item-sized windows near a seed, in one array of all documents.
+def _candidates(a: np.ndarray, ends: np.ndarray, items: Items):
+    """(item, start, document) of item-sized windows at a seed, unique, in one array of all documents.
 
-    limits[p]: end of the document of position p."""
+    ends[d]: end of document d.  A start may lie outside its document when the copy lacks words."""
     known = np.r_[0, np.cumsum(a >= 2)]
-    item, start = [], []
+    found = []
     for q, (codes, ks, offs) in items.seeds.items():
         if len(a) < q:
             continue
         at = np.flatnonzero(known[q:] - known[:-q] == q)
+        doc = np.searchsorted(ends, at, "right")
+        inside = at + q <= ends[doc]
+        at, doc = at[inside], doc[inside]
         if not len(at):
             continue
         c = a[at].copy()
@@ -192,29 +214,62 @@ def _candidates(a: np.ndarray, limits: np.ndarray, items: Items):
         hit = np.flatnonzero(hi > lo)
         n = (hi - lo)[hit]
         i = np.repeat(lo[hit], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        item.append(ks[i])
-        start.append(np.repeat(at[hit], n) - offs[i])
-    if not item:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(item), np.concatenate(start)
-
-
-def _spread(item, start, firsts, lasts, items: Items):
-    """Starts up to d words beside the given ones that stay inside their document; unique."""
-    if not len(item):
-        return item, start
-    d = np.asarray(items.edits, dtype=np.int64)[item]
-    n = 2 * d + 1
-    rep = np.repeat(np.arange(len(item)), n)
-    s = start[rep] - d[rep] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    it = item[rep]
-    ok = (s >= firsts[rep]) & (s + np.asarray([len(x) for x in items.seqs])[it] <= lasts[rep])
-    pairs = np.unique(np.stack([it[ok], s[ok]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def find_items(texts: list[str | None], items: Items, ids: _Ids, slab: int = 20_000):
-    """(text, item, start, edits) of the best window of each pair of text and item found."""
+        found.append(np.stack([ks[i], np.repeat(at[hit], n) - offs[i], np.repeat(doc[hit], n)], axis=1))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.unique(np.concatenate(found), axis=0).T)
+
+
+def _words(a: np.ndarray, start: np.ndarray, size: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``size`` words from each start; _PAD outside the document [first, end)."""
+    at = start[:, None] + np.arange(size)
+    inside = (at >= first[:, None]) & (at < end[:, None])
+    return np.where(inside, a[np.clip(at, 0, len(a) - 1)], _PAD)
+
+
+def _enough(a, item, start, first, end, items: Items) -> np.ndarray:
+    """Whether the words within d of a window can hold n - d words of the item.  Loses no copy."""
+    ok = np.zeros(len(item), bool)
+    order = np.argsort(item, kind="stable")
+    cuts = np.flatnonzero(np.diff(item[order])) + 1
+    for rows in np.split(order, cuts):
+        s, d = items.seqs[item[rows[0]]], items.edits[item[rows[0]]]
+        mine = np.unique(s)
+        size = len(s) + 2 * d
+        for at in range(0, len(rows), max(1, CELLS // size)):
+            r = rows[at:at + max(1, CELLS // size)]
+            x = _words(a, start[r] - d, size, first[r], end[r])
+            near = mine[np.minimum(np.searchsorted(mine, x), len(mine) - 1)] == x
+            ok[r] = near.sum(axis=1) >= len(s) - d
+    return ok
+
+
+def _meeting(a, item, start, first, end, n: int, items: Items) -> np.ndarray:
+    """Whether a window that starts within d words of the given one meets its item in a walk; items of n words."""
+    d = items.edits[item[0]]
+    passed = np.zeros(len(item), bool)
+    block = max(1, CELLS // ((2 * d + 1) * n))
+    for at in range(0, len(item), block):
+        hits = np.arange(at, min(at + block, len(item)))
+        rep = np.repeat(hits, 2 * d + 1)
+        s = start[rep] + np.tile(np.arange(-d, d + 1), len(hits))
+        ok = (s >= first[rep]) & (s < end[rep])
+        rep, s = rep[ok], s[ok]
+        pairs, keep, back = np.unique(np.stack([item[rep], s], axis=1), axis=0, return_index=True, return_inverse=True)
+        windows = _words(a, s[keep], n, first[rep[keep]], end[rep[keep]])
+        met = np.zeros(len(pairs), bool)
+        for r in range(items.repeats[n]):
+            todo = np.flatnonzero(~met)
+            if not len(todo):
+                break
+            want = np.stack([items.signatures[k][r] for k in pairs[todo, 0]])
+            met[todo] = (items.walks.signature(windows[todo], r) == want).all(axis=1)
+        passed[rep[met[back.ravel()]]] = True
+    return passed
+
+
+def find_items(texts: list[str | None], items: Items, ids: _Ids, substrings: bool = False):
+    """(text, item, start, edits) of the best place of each pair of text and item found."""
     arrays, sizes = [], []
     for t in texts:
         tokens = (t or "").split()
@@ -225,48 +280,46 @@ def find_items(texts: list[str | None], items: Items, ids: _Ids, slab: int = 20_
     a = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
     ends = np.cumsum(sizes)
     firsts = ends - sizes
-    # seeds may not run over the end of a document: they are checked with their document below
-    item, start = _candidates(a, ends, items)
-    found = []
-    lens = np.asarray([len(x) for x in items.seqs])
-    # the document of a seed is that of the seed's own place
-    doc = np.searchsorted(ends, np.clip(start + lens[item] // 2, 0, max(0, len(a) - 1)), "right") if len(a) else start
-    doc = np.minimum(doc, len(sizes) - 1) if len(sizes) else doc
-    item, start = _spread(item, start, firsts[doc], ends[doc], items) if len(item) else (item, start)
-    close = []
-    for n in np.unique(lens[item]) if len(item) else []:
-        mine = np.flatnonzero(lens[item] == n)
-        for at in range(0, len(mine), slab):
-            m = mine[at:at + slab]
-            windows = a[start[m][:, None] + np.arange(n)]
-            met = np.zeros(len(m), bool)
-            for r in range(items.repeats):
-                todo = np.flatnonzero(~met)
-                if not len(todo):
-                    break
-                want = np.stack([items.signatures[k][r] for k in item[m[todo]]])
-                met[todo] = (items.walks.signature(windows[todo], r) == want).all(axis=1)
-            close.append(m[met])
-    if not close:
+    item, start, doc = _candidates(a, ends, items)
+    if not len(item):
         return []
-    close = np.concatenate(close)
-    doc = np.searchsorted(ends, start[close], "right")
-    item, start = _spread(item[close], start[close], firsts[doc], ends[doc], items)
-    edits = np.asarray(items.edits)
-    for n in np.unique(lens[item]):
-        mine = np.flatnonzero(lens[item] == n)
-        for at in range(0, len(mine), slab // 4):
-            m = mine[at:at + slab // 4]
-            dist = edit_distances(a[start[m][:, None] + np.arange(n)], np.stack([items.seqs[k] for k in item[m]]))
-            good = dist <= edits[item[m]]
-            for k, s, e in zip(item[m][good].tolist(), start[m][good].tolist(), dist[good].tolist()):
-                found.append((k, s, e))
+    ok = _enough(a, item, start, firsts[doc], ends[doc], items)
+    item, start, doc = item[ok], start[ok], doc[ok]
+    lens = np.asarray([len(x) for x in items.seqs])
     best: dict = {}
-    for k, s, e in found:
-        d = int(np.searchsorted(ends, s, "right"))
-        key = (d, k)
-        if key not in best or (e, s) < best[key]:
-            best[key] = (e, s)
+    for n in np.unique(lens[item]).tolist():
+        m = np.flatnonzero(lens[item] == n)
+        if items.repeats[n] is not None:
+            m = m[_meeting(a, item[m], start[m], firsts[doc[m]], ends[doc[m]], n, items)]
+        if not len(m):
+            continue
+        d = items.edits[item[m[0]]]
+        size = n + 2 * d
+        for at in range(0, len(m), max(1, CELLS // size)):
+            r = m[at:at + max(1, CELLS // size)]
+            first, end = firsts[doc[r]], ends[doc[r]]
+            if substrings:
+                x = _words(a, start[r] - d, size, first, end)
+                dist = substring_distances(np.stack([items.seqs[k] for k in item[r]]), x)
+                s = start[r][:, None] - d + np.arange(size)
+                good = (dist <= d) & (s >= first[:, None]) & (s < end[:, None])
+            else:
+                s = start[r][:, None] + np.arange(-d, d + 1)
+                inside = (s >= first[:, None]) & (s + n <= end[:, None])
+                dist = np.full(s.shape, d + 1)
+                which, _ = np.nonzero(inside)
+                for lo in range(0, len(which), max(1, CELLS // n)):
+                    part = slice(lo, lo + max(1, CELLS // n))
+                    w = a[s[inside][part][:, None] + np.arange(n)]
+                    flat = edit_distances(w, np.stack([items.seqs[k] for k in item[r[which[part]]]]))
+                    dist[tuple(i[part] for i in np.nonzero(inside))] = flat
+                good = dist <= d
+            for row in np.flatnonzero(good.any(axis=1)):
+                e = np.where(good[row], dist[row], d + 1)
+                j = int(e.argmin())
+                key, got = (int(doc[r[row]]), int(item[r[row]])), (int(e[j]), int(s[row, j]))
+                if key not in best or got < best[key]:
+                    best[key] = got
     return [(d, k, s - int(firsts[d]), e) for (d, k), (e, s) in sorted(best.items())]
 
 
@@ -292,7 +345,7 @@ def item_blocks(benchmark: DataFrame, similarity: float, recall: float, bits: in
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99, bits: int = 2,
                  min_words: int = 5, block_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+                 item_col: str = "item_id", item_text: str = "text", substrings: bool = False) -> DataFrame:
     """doc_id, item_id, start_word, n_words, edits, similarity of every pair of document and item found."""
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     out = None
@@ -303,7 +356,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
             for batch in batches:
                 docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for at in range(0, len(texts), 2000):
-                    got = find_items(texts[at:at + 2000], items, ids)
+                    got = find_items(texts[at:at + 2000], items, ids, substrings)
                     cols = list(zip(*[(docs_[at + d], items.ids[k], s, len(items.seqs[k]), e, 1 - e / len(items.seqs[k]))
                                       for d, k, s, e in got])) or [[]] * 6
                     yield pa.RecordBatch.from_arrays(
@@ -317,7 +370,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99, bits: int = 2,
                       min_words: int = 5, block_words: int = 500_000, text_col: str = "text",
-                      item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+                      item_col: str = "item_id", item_text: str = "text", substrings: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found."""
     place = docs.columns.index(text_col)
     for shared in item_blocks(benchmark, similarity, recall, bits, min_words, block_words, item_col, item_text):
@@ -326,7 +379,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
             ids = _Ids(items.vocabulary)
             for batch in batches:
                 texts = batch.column(place).to_pylist()
-                bad = {at + d for at in range(0, len(texts), 2000) for d, _, _, _ in find_items(texts[at:at + 2000], items, ids)}
+                bad = {at + d for at in range(0, len(texts), 2000)
+                       for d, _, _, _ in find_items(texts[at:at + 2000], items, ids, substrings)}
                 yield batch.filter(pa.array([i not in bad for i in range(len(texts))], type=pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -7,4 +7,4 @@ from linkloom.llm.registry import register
 
 @register("op3_decontaminate")
 def op3_decontaminate(spark, sf_dir):
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), substrings=True)
