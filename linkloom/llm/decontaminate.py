@@ -13,9 +13,10 @@ of it.
    near windows fall into step again after an edit, so edit distance becomes
    Hamming distance.  Windows are padded where the document ends.
 3. Bit-sampling LSH.  ``bits`` sampled places of the embedding are a signature;
-   ``repeats`` independent walks are tried.  Their number is set so that items
-   with the most edits allowed are found with probability ``recall``; the chance of
-   one walk is measured on edited copies of the items.
+   independent walks are tried.  Their number is set for each item length so that
+   copies with the most edits allowed are found with probability ``recall``,
+   measured on edited copies of the items.  Lengths that need more than
+   ``max_repeats`` walks go without: all their seeds are verified.
 4. Seeds of which a window meets the item in any walk are verified with the exact
    edit distance: the item against every run of words, or every window of n words,
    that the seed allows.  The best place is reported; n_words is that of the item.
@@ -45,6 +46,8 @@ _PAD = 0  # symbol after the end of a window; 1: word that no item holds
 MEMO = 500_000
 #: bound on the words of windows held at once
 CELLS = 400_000
+#: edited copies of each kind that the number of walks is measured on
+COPIES = 40
 
 
 def normal(token: str) -> str:
@@ -149,12 +152,11 @@ class Items:
             self.seeds[q] = [np.array(c, dtype=np.int64) for c in zip(*rows_)]
         longest = max(map(len, self.seqs))
         self.walks = Walks(self.radix, longest, max_repeats, bits)
-        every = min(max_repeats, self.needed(recall, max_repeats))
-        self.repeats = {len(s): every for s in self.seqs}
-        self.signatures = [[None] * self.repeats[len(s)] for s in self.seqs]
+        self.repeats = self.needed(recall, max_repeats)
+        self.signatures = [[None] * (self.repeats[len(s)] or 0) for s in self.seqs]
         for n in sorted({len(s) for s in self.seqs}):
             same = [k for k, s in enumerate(self.seqs) if len(s) == n]
-            for r in range(self.repeats[n]):
+            for r in range(self.repeats[n] or 0):
                 for k, sig in zip(same, self.walks.signature(np.stack([self.seqs[k] for k in same]), r)):
                     self.signatures[k][r] = sig
 
@@ -168,28 +170,37 @@ class Items:
             c = c * self.radix + int(w)
         return c
 
-    def needed(self, recall: float, most: int) -> int:
-        """Walks for the wanted recall, by the share of walks that agree on edited copies."""
-        rng, tried, hit = np.random.default_rng(11), 0, 0
-        for s, d in list(zip(self.seqs, self.edits))[:60]:
-            copies = []
-            for _ in range(8):
-                c = s.tolist()
-                for _ in range(d):
-                    kind, p = rng.integers(3), int(rng.integers(len(c)))
-                    if kind == 0:
-                        c[p] = 1
-                    elif kind == 1 and len(c) > 1:
-                        del c[p]
-                    else:
-                        c.insert(p, 1)
-                copies.append((c + [1] * len(s))[:len(s)])
-            w = np.array(copies, dtype=np.int64)
-            for r in range(6):
-                same = (self.walks.signature(w, r) == self.walks.signature(s[None, :], r)).all(axis=1)
-                tried, hit = tried + len(same), hit + int(same.sum())
-        p = max(hit / max(1, tried), 0.02)
-        return most if p >= 1 else max(4, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    def needed(self, recall: float, most: int) -> dict[int, int | None]:
+        """Walks by item length for the wanted recall on edited copies; None: more than ``most``.
+
+        Copies have only other words, lost words or added words, up to the limit; the kind
+        that is found least counts.  Longer items need more walks, so once a length needs
+        more than ``most`` the lengths above it are not measured."""
+        rng, out, over = np.random.default_rng(11), {}, False
+        for n in sorted({len(s) for s in self.seqs}):
+            if over:
+                out[n] = None
+                continue
+            same = [k for k, s in enumerate(self.seqs) if len(s) == n]
+            of, copies = [], []
+            for kind in range(3):
+                for c in range(COPIES):
+                    k = same[c * len(same) // COPIES if len(same) > COPIES else c % len(same)]
+                    w = self.seqs[k].tolist()
+                    for _ in range(self.edits[k]):
+                        p = int(rng.integers(len(w)))
+                        w[p:p + (kind != 2)] = [] if kind == 1 else [1]
+                    of.append(k)
+                    copies.append((w + [1] * n)[:n])
+            x, y = np.array(copies, dtype=np.int64), np.stack([self.seqs[k] for k in of])
+            met = np.zeros(len(of))
+            for r in range(most):
+                met += (self.walks.signature(x, r) == self.walks.signature(y, r)).all(axis=1)
+            # a copy that no walk finds counts as lost for any number of walks
+            miss = (1 - met / most).reshape(3, COPIES)
+            out[n] = next((r for r in range(1, most + 1) if (miss ** r).mean(axis=1).max() <= 1 - recall), None)
+            over = out[n] is None
+        return out
 
 
 def _candidates(a: np.ndarray, ends: np.ndarray, items: Items):

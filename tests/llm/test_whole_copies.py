@@ -47,3 +47,21 @@ def test_shorter_and_longer_copies_are_found(spark):
     assert sum(k in got for k in want if k[0] % 4 == 3) >= 11
     kept = {r["doc_id"] for r in C.drop_contaminated(df, bench, substrings=True).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in got}
+
+
+def test_long_items_among_short_ones():
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = [(i, [rng.choice(vocabulary) for _ in range(n)]) for i, n in enumerate([15] * 65 + [59] * 6 + [300] * 10)]
+    items = C.Items(rows, 0.8, 0.99, 2)
+    assert items.repeats[15] and items.repeats[300] is None
+    texts, want = [], set()
+    for k, w in rows[65:]:
+        for change in ("zz", None):
+            c = list(w)
+            for p in sorted(rng.sample(range(len(c)), len(c) // 5), reverse=True):
+                c[p:p + 1] = [change] if change else []
+            want.add((len(texts), k))
+            texts.append(" ".join(["x"] * 9 + c + ["y"] * 9))
+    got = {(d, k) for d, k, _, _ in C.find_items(texts, items, C._Ids(items.vocabulary), True)}
+    assert {p for p in want if p[1] >= 71} <= got <= want and len(got) >= len(want) - 1
