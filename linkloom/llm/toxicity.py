@@ -4,8 +4,8 @@ Channel.  A writer hides a word by look-alike symbols (``$tup1d``), by letters
 repeated or masked (``stuuupid``, ``st*pid``) and by letters set apart
 (``s t u p i d``, ``s.t.u.p.i.d``).  Every token that shows such signs becomes a
 character lattice: each sign may stand for its look-alikes, a repeated letter or
-a separator may be dropped, a run of single letters may hold word breaks.  A
-Viterbi search under a character trigram model picks the most likely word.
+a separator may be dropped or end a word, a run of single letters may hold word
+breaks.  Tokens of any length are read whole.  A Viterbi search under a character trigram model picks the most likely word.
 
 Character model: trigram counts over the whole texts of all documents (28
 symbols: break, a-z, other letter), added up by Spark, 21,952 numbers.
@@ -44,6 +44,9 @@ MEMO = 600_000
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a",
               "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "#": "aeiou", "%": "aeiou"}
 SEPARATORS = set(".-_*~'`^|,:;/\\")
+#: separators that stand inside words only
+INNER = set("*'`")
+_LONG_RUN = re.compile(r"([^\W\d_])\1{3,}")
 _REPEATS = re.compile(r"([^\W\d_])\1\1")
 _SIGNS = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+(<#%]|[\d@$!|+(<#%][^\W\d_]")
 _EDGES = "\"'.,;:!?()[]{}<>“”„«»¿¡…"
@@ -86,12 +89,13 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 
 
 def restore(token: str, logp: list[float], spaced: bool = False) -> str:
-    """Most likely reading of a token's lattice (lower case; may hold word breaks if ``spaced``).
+    """Most likely reading of a token's lattice (lower case; may hold word breaks).
 
-    logp: flat list of log p(c | a b) at (a * 28 + b) * 28 + c."""
-    best = {0: (0.0, "")}  # 28 * symbol before last + last -> (score, text)
-    token, prev = token.lower(), ""
-    of = _SYMBOL_OF.get
+    logp: flat list of log p(c | a b) at (a * 28 + b) * 28 + c.  Runs of a letter
+    are cut to three first; time and memory are linear in the length."""
+    best = {0: (0.0, None)}  # 28 * symbol before last + last -> (score, letters as (letters before, letters))
+    token, prev = _LONG_RUN.sub(r"\1\1\1", token.lower()), ""
+    of, last = _SYMBOL_OF.get, len(token) - 1
     for at, ch in enumerate(token):
         arcs = []  # (letters, channel cost)
         if ch.isalpha():
@@ -107,6 +111,11 @@ def restore(token: str, logp: list[float], spaced: bool = False) -> str:
                 arcs += [(" " + x, -4.0) for x in LOOKALIKES.get(ch, "")]
             if ch in SEPARATORS or not arcs:
                 arcs.append(("", -1.5))
+                if not spaced and 0 < at < last and ch not in INNER:
+                    # between single signs a separator rather sets letters apart
+                    alone = any(not _pair(token[i:i + 2]) for i in (max(0, at - 2), at + 1)) \
+                        or at < 2 or at > last - 2
+                    arcs.append((" ", -4.5 if alone else -0.5))
         nxt: dict = {}
         for letters, cost in arcs:
             marks = [of(c, 27) for c in letters]
@@ -119,10 +128,25 @@ def restore(token: str, logp: list[float], spaced: bool = False) -> str:
                 if not marks:
                     s -= 2.0  # a dropped sign saves the model nothing
                 if state not in nxt or nxt[state][0] < s:
-                    nxt[state] = (s, text + letters)
+                    nxt[state] = (s, (text, letters) if letters else text)
         best = nxt
         prev = ch
-    return max(((s + logp[state * N], t) for state, (s, t) in best.items()), key=lambda r: (r[0], r[1]))[1]
+    ends = [(s + logp[state * N], t) for state, (s, t) in best.items()]
+    top = max(s for s, _ in ends)
+    return max(_letters(t) for s, t in ends if s == top)
+
+
+def _pair(two: str) -> bool:
+    """Whether two signs can be letters of one word."""
+    return len(two) == 2 and all(c.isalpha() or c in LOOKALIKES for c in two)
+
+
+def _letters(link) -> str:
+    out = []
+    while link is not None:
+        link, letters = link
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 _SPACED = re.compile(r"(?<!\S)[^\s](?:[ \t][^\s]){3,}(?!\S)")
@@ -139,9 +163,9 @@ class Reader:
         bare = token.strip(_EDGES)
         if not bare:
             return ()
-        if (not bare.isalpha() or bare != token) and len(token) <= 40 and _SIGNS.search(token) or _REPEATS.search(bare):
+        if (not bare.isalpha() or bare != token) and _SIGNS.search(token) or _REPEATS.search(bare):
             # edges may be signs as well ("$tupid", "idio!"): read both ways, letters decide
-            return tuple(dict.fromkeys(w for t in (bare, token) for w in (restore(t[:40], self.logp),) if w))
+            return tuple(dict.fromkeys(w for t in (bare, token) for w in restore(t, self.logp).split()))
         return (bare.lower(),)
 
     def spaced(self, text, tokens) -> set[str]:
@@ -179,7 +203,7 @@ def bins_of(word: str) -> list[int]:
     """Hashed features of a word: its first letters and itself."""
     h, n = xxhash.xxh32_intdigest, len(word)
     out = [h(word[:k], k) % BINS for k in PREFIXES if n > k]
-    out.append(h(word[:40], 0) % BINS)
+    out.append(h(word, 0) % BINS)
     return out
 
 
