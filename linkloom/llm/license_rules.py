@@ -2,7 +2,8 @@
 
 Patterns run on normalised text: words in lower case, one space between them,
 no punctuation ("GPL-3.0+" reads "gpl 3 0").  A rule is (label, keyword, pattern,
-priority); the keyword must occur in the text before the pattern is tried.
+priority); the keyword, or one that ``keywords`` adds, must occur in the text before
+the pattern is tried.
 Priorities: 5 notice texts, 4 identifiers and full titles with version, 3 grants
 ("licensed under ..."), 2 names, 1 generic hints.
 """
@@ -186,6 +187,22 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out + NOTICES
 
 
+# (part of a pattern, keyword of the texts that match it without the rule's own keyword)
+MORE_KEYWORDS = [
+    ("freebsd", "freebsd"),
+    ("png reference library", "png"),
+    ("do what the fuck you want to public license", "fuck"),
+    ("open ?rail", "rail"),
+    ("without warranty of any kind express or implied", "warranty"),
+    ("you may not use this file except in compliance", "compliance"),
+]
+
+
+def keywords(rule) -> list[str]:
+    """Every text that the rule's pattern matches holds a word that starts with one of these."""
+    return [rule[1], *(k for part, k in MORE_KEYWORDS if part in rule[2])]
+
+
 def gate_keywords() -> list[str]:
     """A text without any of these words has no detection."""
-    return sorted({k for _, k, _, _ in rules()})
+    return sorted({k for r in rules() for k in keywords(r)})

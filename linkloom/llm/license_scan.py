@@ -2,7 +2,7 @@
 
 A text becomes words (A-Z lower-cased, split at ASCII non-alphanumerics).  One
 regex over the raw text finds texts with any rule keyword; only those are
-normalised.  Of the rules, those whose keyword the text holds run their regex
+normalised.  Of the rules, those of which the text holds a keyword run their regex
 over the whole normalised text; matches become word intervals.  An interval
 contained in one of higher priority, or in a longer or earlier one of the same
 priority, is suppressed.  All of it is one projection of the scan: no shuffle,
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import ascii_lower
+from linkloom.llm.license_rules import keywords as keywords_of
 from linkloom.llm.license_rules import rules as signature_rules
 
 #: characters between words, once A-Z are lower case / in raw text
@@ -43,8 +44,9 @@ def gate(keywords) -> str:
 
 
 def _rule_array(rules):
-    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(kw).alias("kw"), F.lit(pattern(rx)).alias("rx"),
-                              F.lit(p).alias("p"), F.lit(i).alias("o")) for i, (label, kw, rx, p) in enumerate(rules)])
+    return F.array(*[F.struct(F.lit(r[0]).alias("label"), F.array(*map(F.lit, keywords_of(r))).alias("kws"),
+                              F.lit(pattern(r[2])).alias("rx"), F.lit(r[3]).alias("p"), F.lit(i).alias("o"))
+                     for i, r in enumerate(rules)])
 
 
 _WORDS = "cast((length({0}) - length(replace({0}, ' ', ''))) div 2 as int)"
@@ -82,7 +84,7 @@ def scan_licenses(docs: DataFrame, base_phrases: dict[str, str], rules=None, id_
     base_phrases: {phrase: label}; a base phrase is never suppressed."""
     rules = signature_rules() if rules is None else rules
     base = [(label, phrase.split(" ")[0], phrase, 2) for phrase, label in base_phrases.items()]
-    keywords = sorted({k for _, k, _, _ in [*rules, *base]})
+    keywords = sorted({k for r in [*rules, *base] for k in keywords_of(r)})
     x = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
     x = x.select("id", F.regexp_count("t", F.lit(RAW_WORD)).cast("long").alias("n_words"),
                  F.when(F.col("t").rlike(gate(keywords)),
@@ -93,8 +95,8 @@ def scan_licenses(docs: DataFrame, base_phrases: dict[str, str], rules=None, id_
                        "base_rules": F.when(F.col("norm").isNotNull(), _rule_array(base)),
                        "kws": F.when(F.col("norm").isNotNull(), F.expr(
                            "filter(array(%s), k -> contains(norm, concat(' ', k)))" % ", ".join(f"'{k}'" for k in keywords)))})
-    x = x.withColumn("found", F.expr(spans("norm", "filter(rules, r -> array_contains(kws, r.kw))")))
-    x = x.select("id", "n_words", F.expr(spans("norm", "filter(base_rules, r -> array_contains(kws, r.kw))")).alias("base"),
+    x = x.withColumn("found", F.expr(spans("norm", "filter(rules, r -> arrays_overlap(kws, r.kws))")))
+    x = x.select("id", "n_words", F.expr(spans("norm", "filter(base_rules, r -> arrays_overlap(kws, r.kws))")).alias("base"),
                  F.expr(_KEEP.format(d="found")).alias("detections"))
     none = F.array().cast("array<struct<s:int,e:int,p:int,o:int,label:string>>")
     return x.select("id", "n_words", F.coalesce("base", none).alias("base"),
