@@ -124,6 +124,19 @@ def t16_overcleaned(spark, sf):
                     F.length("c").alias("n_clean"))
 
 
+# over-cleaned by the whole cleaned text, as flagship and organise clean it
+_T16_WHOLE_SQL = f"""SELECT doc_id, CAST(length(c) AS DOUBLE) / length(text) < 0.05 AS overcleaned, length(c) AS n_clean
+FROM (SELECT doc_id, text, {sql_clean('text')} AS c FROM documents)"""
+
+
+@register("t16_overcleaned_whole", _T16_WHOLE_SQL)
+def t16_overcleaned_whole(spark, sf):
+    d = load(spark, sf, "documents")
+    c = d.select("doc_id", "text", C.clean_column(F.col("text")).alias("c"))
+    return c.select("doc_id", T.overcleaned(F.col("text"), F.col("c")).alias("overcleaned"),
+                    F.length("c").alias("n_clean"))
+
+
 def sql_mostly_stopwords(e):
     words = (f"list_filter(string_split_regex(regexp_replace(lower({e}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+'), "
              "lambda t: t <> '')")
