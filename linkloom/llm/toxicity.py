@@ -1,7 +1,7 @@
 """Toxicity scores of text restored through a noisy channel.
 
 Channel.  A writer hides a word by look-alike symbols (``$tup1d``), by letters
-repeated or masked (``stuuupid``, ``st*pid``) and by letters set apart
+repeated or masked (``stuupid``, ``st*pid``, ``*diot``) and by letters set apart
 (``s t u p i d``, ``s.t.u.p.i.d``).  Every token that shows such signs becomes a
 character lattice: each sign may stand for its look-alikes, a repeated letter or
 a separator may be dropped or end a word, a run of single letters may hold word
@@ -47,8 +47,8 @@ SEPARATORS = set(".-_*~'`^|,:;/\\")
 #: separators that stand inside words only
 INNER = set("*'`")
 _LONG_RUN = re.compile(r"([^\W\d_])\1{3,}")
-_REPEATS = re.compile(r"([^\W\d_])\1\1")
-_SIGNS = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+(<#%]|[\d@$!|+(<#%][^\W\d_]")
+_REPEATS = re.compile(r"(?i)([^\W\d_])\1")
+_SIGNS = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+(<#%*]|[\d@$!|+(<#%*][^\W\d_]")
 _EDGES = "\"'.,;:!?()[]{}<>“”„«»¿¡…"
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -109,7 +109,8 @@ def restore(token: str, logp: list[float], spaced: bool = False) -> str:
             arcs += [(x, -1.0 if ch not in "*#%" else -2.0) for x in LOOKALIKES.get(ch, "")]
             if spaced and prev:
                 arcs += [(" " + x, -4.0) for x in LOOKALIKES.get(ch, "")]
-            if ch in SEPARATORS or not arcs:
+            # a mask at the edge stands for a letter; Reader also reads the token without it
+            if ch in SEPARATORS and not (ch == "*" and at in (0, last)) or not arcs:
                 arcs.append(("", -1.5))
                 if not spaced and 0 < at < last and ch not in INNER:
                     # between single signs a separator rather sets letters apart
@@ -149,9 +150,6 @@ def _letters(link) -> str:
     return "".join(reversed(out))
 
 
-_SPACED = re.compile(r"(?<!\S)[^\s](?:[ \t][^\s]){3,}(?!\S)")
-
-
 class Reader:
     """Restored words of texts."""
 
@@ -164,19 +162,18 @@ class Reader:
         if not bare:
             return ()
         if (not bare.isalpha() or bare != token) and _SIGNS.search(token) or _REPEATS.search(bare):
-            # edges may be signs as well ("$tupid", "idio!"): read both ways, letters decide
-            return tuple(dict.fromkeys(w for t in (bare, token) for w in restore(t, self.logp).split()))
+            # edges may be signs as well ("$tupid", "idio!", "*diot"): read both ways, letters decide
+            return tuple(dict.fromkeys(w for t in dict.fromkeys((bare.strip("*"), bare, token)) if t for w in restore(t, self.logp).split()))
         return (bare.lower(),)
 
-    def spaced(self, text, tokens) -> set[str]:
-        """Words of runs of single letters."""
+    def spaced(self, tokens) -> set[str]:
+        """Words of runs of three or more single signs, whatever white space stands between them."""
         out: set[str] = set()
-        if sum([len(t) == 1 for t in tokens]) >= 4:
-            for run in _SPACED.findall(text):
-                # 200 signs at a time: long runs of single letters stay cheap
-                letters = run.replace(" ", "").replace("\t", "")
-                for at in range(0, len(letters), 200):
-                    out.update(restore(letters[at:at + 200], self.logp, spaced=True).split())
+        if sum([len(t) == 1 for t in tokens]) >= 3:
+            for single, run in itertools.groupby(tokens, lambda t: len(t) == 1):
+                letters = "".join(run) if single else ""
+                if len(letters) >= 3:
+                    out.update(restore(letters, self.logp, spaced=True).split())
         return out
 
     def features(self, text: str | None) -> dict[str, list[int]]:
@@ -190,7 +187,7 @@ class Reader:
         for t in new:
             memo[t] = tuple((w, bins_of(w)) for w in self.read(t))
         out = {w: b for pairs in map(memo.__getitem__, every) for w, b in pairs}
-        for w in self.spaced(text, tokens):
+        for w in self.spaced(tokens):
             out[w] = bins_of(w)
         return out
 
@@ -240,7 +237,7 @@ class Scorer:
         found = set()
         for pairs in filter(None, map(memo.__getitem__, every)):
             found.update(pairs)
-        for w in self.reader.spaced(text, tokens):
+        for w in self.reader.spaced(tokens):
             found.add((w, self.weigh(w)))
         return evidence([x for _, x in found])
 

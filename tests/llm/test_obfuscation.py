@@ -24,3 +24,15 @@ def test_long_and_joined_tokens():
     assert T.bins_of("x" * 40 + "stupid")[-1] != T.bins_of("x" * 40 + "kind")[-1]
     long = ".".join(["people"] * 20_000 + ["1d10t"])
     assert "idiot" in r.read(long)
+
+
+def test_spaced_doubled_and_masked_words():
+    r = reader()
+    assert r.spaced("you s\t t  u\np i d".split()) == {"stupid"} and r.spaced("an  a l l  in".split()) == {"all"}
+    phrase = "thatitisnottherightwaytospeaktopeople"
+    # more than 200 signs give no pieces of words
+    assert all(r.spaced(phrase * n) == r.spaced(phrase * 3) for n in range(4, 30))
+    assert r.read("stuupid") == ("stupid",) and r.read("StUupid") == ("stupid",)
+    assert r.read("all") == ("all",) and r.read("letters") == ("letters",) and r.read("little") == ("little",)
+    assert "idiot" in r.read("*diot") and "worthless" in r.read("*worthless*")
+    assert any(w.startswith("idio") and len(w) == 5 for w in r.read("idio*"))
