@@ -129,11 +129,21 @@ def s4_entries_json_roundtrip(spark, sf):
 
 @register("h1_visible_text")
 def h1_visible_text(spark, sf):
+    return H.visible_text(load(spark, sf, "pages"), None)
+
+
+@register("h1_visible_text_limited")
+def h1_visible_text_limited(spark, sf):
     return H.visible_text(load(spark, sf, "pages"), 1000)
 
 
 @register("h2_main_content")
 def h2_main_content(spark, sf):
+    return H.main_content(load(spark, sf, "pages"), None)
+
+
+@register("h2_main_content_limited")
+def h2_main_content_limited(spark, sf):
     return H.main_content(load(spark, sf, "pages"), 400)
 
 
