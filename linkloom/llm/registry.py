@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 MODULES = ("q_redirects", "q_toolcalls", "q_license", "q_warc", "q_packing", "q_ann", "q_simhash", "q_debruijn", "q_toxicity", "q_decontaminate",
-           "q_merkle")
+           "q_merkle", "q_minhash", "q_whitening")
 
 
 def register(name: str, sql: str | None = None):
