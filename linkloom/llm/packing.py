@@ -21,10 +21,9 @@ empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,65 +33,70 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-_RUNS = re.compile(r"\s\s")
-_TOKENIZERS: dict = {}
-#: bound on remembered chunks of a worker
-MEMO = 1_000_000
+#: split of byte-level vocabularies of this kind (fixed value)
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_ENCODERS: dict = {}
 
 
-class ChunkIds(dict):
-    """Chunk of a text between spaces -> its ids with the space before it, as uint32 bytes."""
+def byte_letters() -> dict[str, int]:
+    """Letter of a byte-level vocabulary -> byte: visible bytes stand for themselves, the
+    others follow from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    def __init__(self, path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def learn(self, chunks: set) -> None:
-        new = chunks - self.keys()
-        if len(self) + len(new) > MEMO:
-            self.clear()
-            new = chunks
-        plain = []
-        for c in new:
-            if not c or _RUNS.search(c) or c[0].isspace() or c[-1].isspace() or "<|" in c:
-                self[c] = None  # next to more white space, or a special token: its text is encoded whole
-            else:
-                plain.append(c)
-        for c, e in zip(plain, self.tokenizer.encode_batch_fast([" " + c for c in plain], add_special_tokens=False)):
-            self[c] = array("I", e.ids).tobytes()
 
+class Encoder:
+    """ids of whole texts, as a vocabulary file of the tokenizers library gives them.
 
-def chunk_ids(path: str) -> ChunkIds:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkIds(path)
-    return _TOKENIZERS[path]
+    A plain byte-level BPE whose merges are in the order of their ids is run by
+    tiktoken, which gives the same ids several times faster and remembers nothing
+    from text to text; texts that hold the string of a special token, and other
+    kinds of vocabulary, are encoded by the tokenizers library itself."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.exact = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.fast = self._ranks(spec)
+
+    def _ranks(self, spec):
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = (model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+                 and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
+                 and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix",
+                                                    "byte_fallback", "ignore_merges")))
+        if not plain:
+            return None
+        of, vocab = byte_letters(), model["vocab"]
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        special = set(self.special)
+        ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if t not in special}
+        if merged != sorted(merged) or len(ranks) != 256 + len(merged):
+            return None
+        import tiktoken
+        return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> bytes:
+        """uint32 ids, little-endian."""
+        if self.fast is None or any(x in text for x in self.special):
+            ids = self.exact.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def batch_ids(texts: list[str], path: str) -> list[bytes]:
-    """ids of each text as uint32 bytes, equal to encoding each text whole.
-
-    A byte-level BPE with this library's pattern starts a new word at every space
-    that other white space does not touch, so a text without runs of white space
-    is the sum of its chunks between spaces; other texts, and texts with special
-    tokens, are encoded whole."""
-    memo = chunk_ids(path)
-    out: list[bytes] = []
-    for at in range(0, len(texts), 256):
-        parts = [t.split(" ") for t in texts[at:at + 256]]
-        heads = [p.pop(0) for p in parts]
-        memo.learn(set().union(*parts))
-        for t, head, p in zip(texts[at:at + 256], heads, parts):
-            try:
-                body = b"".join(map(memo.__getitem__, p))
-                whole = head and (head[-1].isspace() or "<|" in head)
-            except TypeError:
-                whole = True
-            out.append(memo.encode(t) if whole else memo.encode(head) + body)
-    return out
+    """ids of each text as uint32 bytes, equal to encoding each text whole."""
+    return list(map(encoder(path).ids, texts))
 
 
 def place(tokens, loss, limits, split_tail: bool = True):

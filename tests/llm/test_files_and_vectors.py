@@ -67,10 +67,22 @@ def test_chunked_encoding_equals_whole(spark):
     rng = random.Random(4)
     texts = ["", " ", "  ", "a  b", " lead", "trail ", "x\n\ny z", "<|endoftext|> hi", "a <|endoftext|> b", "q\n r", "\n", "  y", "a　 b c", "it's 12,5 it 's"]
     texts += ["".join(rng.choice(["ab", "é", " ", "\n", "1", "'s", ",", "the", "\t", "字"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    # every kind of letter, digit, mark and space next to every other
+    every = [chr(c) for c in [*range(0x0, 0xD800, 5), *range(0xE000, 0x20000, 11)]]
+    texts += [" ".join(f"a{c}b1{c}2 {c}{c}x !{c}! {c} {c}1\n{c}" for c in every[at:at + 64]) for at in range(0, len(every), 64)]
+    texts += [" " * 5000, "ab" * 5000, "é" * 5000, "\n \n" * 2000, "<|endoftext|>" * 3, "<|endoftext"]
+    assert P.encoder(path).fast is not None
     for t, ids in zip(texts, P.batch_ids(texts, path)):
         assert np.frombuffer(ids, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_vocabularies_are_encoded_by_their_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, tk = P.Encoder(path), Tokenizer.from_file(path)
+    assert e.fast is None
+    assert np.frombuffer(e.ids("Hello, the  World"), "<u4").tolist() == tk.encode("Hello, the  World", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("limits", [(64, 1000, 64), (64, 3, 64), (64, 1000, 20), (50, 7, 33)])
 def test_place_keeps_limits(limits):
     rng = random.Random(3)
