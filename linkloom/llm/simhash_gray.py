@@ -280,8 +280,10 @@ def keep_one(docs: DataFrame, words_in_shingle: int = 3, max_bits: int = 3, id_c
     groups = near_duplicates(docs, words_in_shingle, max_bits, id_col, text_col)
     best = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "t")).alias("b"))
     best = best.select(F.col("b.id").alias("_keep_id"), F.col("b.t").alias("_keep_t"))
-    kept = docs.join(best.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id"))
-                     & (F.xxhash64(F.col(text_col)) == F.col("_keep_t")))
+    # a struct keeps the columns apart, whatever their names
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("d"), docs[id_col].cast("long").alias("i"),
+                       F.xxhash64(docs[text_col]).alias("h"))
+    kept = rows.join(best.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("_keep_id")) & (F.col("h") == F.col("_keep_t")))
     # repeated rows of a kept document
     w = Window.partitionBy("_keep_id", "_keep_t").orderBy(F.lit(0))
-    return kept.withColumn("_row", F.row_number().over(w)).where("_row = 1").select(*[docs[c] for c in docs.columns])
+    return kept.withColumn("_row", F.row_number().over(w)).where("_row = 1").select("d.*")
