@@ -41,17 +41,24 @@ from pyspark.sql import functions as F
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
-#: bound on remembered word hashes of a worker
-MEMO = 200_000
+#: bytes of words that a task remembers
+MEMO_BYTES = 16 << 20
 
 
 class _WordHash(dict):
+    held = 0
+
     def __missing__(self, word):
-        if len(self) >= MEMO:
-            self.clear()
+        self.held += len(word) + 150
+        if self.held > MEMO_BYTES:
+            self.forget()
         h = self[word] = xxhash.xxh64_intdigest(word, 11)
         return h
 
+    def forget(self):
+        self.clear()
+        self.held = 0
+
 
 _HASH = _WordHash()
 
@@ -131,6 +138,7 @@ def _seeds(k, s):
             yield _batch(names, np.r_[mh[single], mh[tell], _mix(doc[settled].astype(_U))],
                          np.r_[mh[single], mh[tell], mh[settled]], np.r_[doc[single], doc[tell], doc[settled]],
                          np.r_[z(single.sum(), 0), z(len(tell), 1), z(settled.sum(), 2)])
+        _HASH.forget()  # the worker lives on after its task
     return run, "route long, mh long, doc_id long, kind long"
 
 
@@ -201,6 +209,7 @@ def _edges(k, s):
             yield _batch(_EDGE, np.r_[kh[~later], _mix(p[0].astype(_U))], np.r_[kh[~later], np.zeros(m, _U)],
                          np.r_[doc[~later], p[0]], np.r_[pos[~later], p[1]], np.r_[np.ones(n, np.int64), p[2]],
                          np.r_[np.full(n, -1), p[3]], np.r_[np.full(n, -1), p[4]])
+        _HASH.forget()
     return run, ", ".join(f"{c} long" for c in _EDGE) + ", open boolean"
 
 

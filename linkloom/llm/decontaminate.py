@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 _EDGES = string.punctuation + "“”„«»‘’¿¡…–—"
 _PAD = 0  # symbol after the end of a window; 1: word that no item holds
-#: bound on remembered tokens of a worker
-MEMO = 500_000
+#: bytes of tokens that a task remembers
+MEMO_BYTES = 16 << 20
 #: bound on the words of windows held at once
 CELLS = 400_000
 #: edited copies of each kind that the number of walks is measured on
@@ -63,12 +63,14 @@ class _Ids(dict):
 
     def __init__(self, vocabulary: dict):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.held = vocabulary, 0
 
     def __missing__(self, token):
         w = normal(token)
-        if len(self) >= MEMO:
+        self.held += 2 * len(token) + 150
+        if self.held > MEMO_BYTES:
             self.clear()
+            self.held = 0
         got = self[token] = self.vocabulary.get(w, 1) if w else -1
         return got
 
