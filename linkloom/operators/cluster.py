@@ -3,20 +3,15 @@
 
 * k-means is MLlib's (k-means||); centroids (k rows, size-checked) become a
   literal array so assignment and confidence need no join.
-* Exact neighbour search is a blocked self-join: points are hashed into
-  ``ceil(n / block_size)`` blocks, every block pair is one bounded
-  ``applyInPandas`` task, and only pairs within ``eps`` (or each point's top
-  k) leave the task.  ``method="lsh"`` swaps in MLlib's
-  BucketedRandomProjectionLSH for very large inputs (approximate recall).
-* Density clusters = connected components of core points (DBSCAN*, one level
-  of HDBSCAN) by min-label propagation, checkpointed to the shared
-  checkpoint folder.
+* Exact neighbour search runs on a pivot index (metric.py).  ``range_pairs_lsh``
+  is MLlib's BucketedRandomProjectionLSH (approximate recall).
+* Density clusters at one distance = connected components of core points
+  (DBSCAN*) by min-label propagation, checkpointed to the shared checkpoint
+  folder; over all distances: the tree of hierarchy.py.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,51 +101,18 @@ def kmeans(df: DataFrame, vec_col: str = "features", k: int = 10, seed: int = 42
     return out, cents
 
 
-# --- blocked exact neighbour search ----------------------------------------------
-PAIR_SCHEMA = "i long, j long, d double"
-
-
-def _blocks(df: DataFrame, id_col: str, vec_col: str, block_size: int):
-    n = df.count()
-    nb = max(1, math.ceil(n / block_size))
-    pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")) \
-        .withColumn("b", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
-    left = pts.select("id", "v", F.col("b").alias("bi"), F.explode(F.sequence("b", F.lit(nb - 1))).alias("bj"),
-                      F.lit("L").alias("side"))
-    right = pts.select("id", "v", F.explode(F.sequence(F.lit(0), "b")).alias("bi"), F.col("b").alias("bj"),
-                       F.lit("R").alias("side"))
-    return left.unionByName(right), nb
-
-
-def range_pairs(df: DataFrame, eps: float, id_col: str = "id", vec_col: str = "vector",
-                block_size: int = 512) -> DataFrame:
+# --- exact neighbour search (pivot index, see metric.py) ---------------------------
+def range_pairs(df: DataFrame, eps: float, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
     """Every unordered pair (i < j) with distance <= eps, exactly once."""
-    both, _ = _blocks(df, id_col, vec_col, block_size)
-
-    def task(pdf):
-        import numpy as np
-        import pandas as pd
-        L = pdf[pdf["side"] == "L"]
-        R = pdf[pdf["side"] == "R"]
-        same = pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
-        A = np.vstack(L["v"].to_numpy()) if len(L) else np.zeros((0, 1))
-        B = A if same else (np.vstack(R["v"].to_numpy()) if len(R) else np.zeros((0, 1)))
-        ia = L["id"].to_numpy()
-        ib = ia if same else R["id"].to_numpy()
-        out_i, out_j, out_d = [], [], []
-        for r in range(len(A)):
-            d = np.sqrt(((B - A[r]) ** 2).sum(axis=1))
-            hit = np.nonzero(d <= eps)[0]
-            for c in hit:
-                if same and ib[c] <= ia[r]:
-                    continue
-                a, b = (ia[r], ib[c]) if ia[r] < ib[c] else (ib[c], ia[r])
-                out_i.append(a)
-                out_j.append(b)
-                out_d.append(float(d[c]))
-        return pd.DataFrame({"i": pd.Series(out_i, dtype="int64"), "j": pd.Series(out_j, dtype="int64"),
-                             "d": pd.Series(out_d, dtype="float64")})
-    return both.groupBy("bi", "bj").applyInPandas(task, PAIR_SCHEMA)
+    from linkloom.operators import metric
+    index = metric.Index(df, id_col, vec_col)
+    named = index.member_classes()
+    x, y = (named.select(F.col("id").alias(f"{e}_id"), F.col("cls").alias(e)) for e in "ij")
+    apart = metric.range_pairs(index, eps).join(x, "i").join(y, "j").select(
+        F.least("i_id", "j_id").alias("i"), F.greatest("i_id", "j_id").alias("j"), "d")
+    same = x.join(y, F.col("i") == F.col("j")).where("i_id < j_id").select(
+        F.col("i_id").alias("i"), F.col("j_id").alias("j"), F.lit(0.0).alias("d"))
+    return apart.unionByName(same) if eps >= 0 else apart
 
 
 def range_pairs_lsh(df: DataFrame, eps: float, id_col: str = "id", vec_col: str = "vector",
@@ -167,50 +129,25 @@ def range_pairs_lsh(df: DataFrame, eps: float, id_col: str = "id", vec_col: str
     return j.select(F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j"), "d").filter("i < j")
 
 
-def knn(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vector", block_size: int = 512) -> DataFrame:
-    """J8 (exact): (id, rank, neighbor, dist) for the k nearest other points.
-
-    Each block-pair task emits at most k candidates per point and side; the
-    final ``row_number() <= k`` is a WindowGroupLimit, so no point ever ships
-    more than k rows per task."""
-    both, _ = _blocks(df, id_col, vec_col, block_size)
-
-    def task(pdf):
-        import numpy as np
-        import pandas as pd
-        L = pdf[pdf["side"] == "L"]
-        R = pdf[pdf["side"] == "R"]
-        same = pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
-        A = np.vstack(L["v"].to_numpy()) if len(L) else np.zeros((0, 1))
-        ia = L["id"].to_numpy()
-        if same:
-            B, ib = A, ia
-        else:
-            B = np.vstack(R["v"].to_numpy()) if len(R) else np.zeros((0, 1))
-            ib = R["id"].to_numpy()
-        rows_i, rows_j, rows_d = [], [], []
-
-        def emit(X, ix, Y, iy):
-            for r in range(len(X)):
-                d = np.sqrt(((Y - X[r]) ** 2).sum(axis=1))
-                mask = iy != ix[r]
-                cand = np.nonzero(mask)[0]
-                if len(cand) == 0:
-                    continue
-                order = cand[np.lexsort((iy[cand], d[cand]))][:k]
-                rows_i.extend([ix[r]] * len(order))
-                rows_j.extend(iy[order].tolist())
-                rows_d.extend(d[order].tolist())
-        if len(A) and len(B):
-            emit(A, ia, B, ib)
-            if not same:
-                emit(B, ib, A, ia)
-        return pd.DataFrame({"i": pd.Series(rows_i, dtype="int64"), "j": pd.Series(rows_j, dtype="int64"),
-                             "d": pd.Series(rows_d, dtype="float64")})
-    cands = both.groupBy("bi", "bj").applyInPandas(task, PAIR_SCHEMA)
-    w = Window.partitionBy("i").orderBy("d", "j")
-    return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-        .select(F.col("i").alias("id"), "rank", F.col("j").alias("neighbor"), F.col("d").alias("dist"))
+def knn(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
+    """J8 (exact): (id, rank, neighbor, dist) for the k nearest other points; ties to
+    smaller ids.
+
+    The search runs on classes of equal vectors; a class needs its own and its
+    neighbours' k + 1 smallest ids only, whatever their number of copies."""
+    from linkloom.operators import metric
+    from linkloom.operators.ranking import first_per_group
+    index = metric.Index(df, id_col, vec_col)
+    named = index.member_classes()
+    few = first_per_group(named, "cls", "id", k + 1).select("cls", F.col("id").alias("neighbor"))
+    own = few.select(F.col("cls").alias("q"), F.lit(0.0).alias("d"), "neighbor")
+    others = metric.neighbours(index, k).join(few.withColumnRenamed("cls", "other"), "other").select("q", "d", "neighbor")
+    w = Window.partitionBy("q").orderBy("d", "neighbor")
+    near = own.unionByName(others).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("q").agg(
+        F.array_sort(F.collect_list(F.struct("d", "neighbor"))).alias("near"))
+    rest = F.slice(F.filter("near", lambda x: x["neighbor"] != F.col("id")), 1, k)
+    return named.join(near, F.col("cls") == F.col("q")).select("id", F.posexplode(rest).alias("p", "n")).select(
+        "id", (F.col("p") + 1).alias("rank"), "n.neighbor", F.col("n.d").alias("dist"))
 
 
 # --- connected components -----------------------------------------------------------
@@ -241,8 +178,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
 
 
 def density_cluster(df: DataFrame, eps: float, min_samples: int = 2, min_cluster_size: int = 5,
-                    id_col: str = "id", vec_col: str = "vector", method: str = "exact",
-                    block_size: int = 512, pairs: DataFrame | None = None) -> DataFrame:
+                    id_col: str = "id", vec_col: str = "vector") -> DataFrame:
     """M8: DBSCAN* at ``eps`` with noise -1.
 
     core distance = distance to the ``min_samples``-th nearest point counting
@@ -250,30 +186,20 @@ def density_cluster(df: DataFrame, eps: float, min_samples: int = 2, min_cluster
     eps form components; components smaller than ``min_cluster_size`` are
     noise.  A cluster's id is its smallest member id (stable, no global
     ranking).  Returns (id, cluster_id, core_dist), core_dist null for
-    non-core points.
-    """
-    if pairs is None:
-        pairs = range_pairs(df, eps, id_col, vec_col, block_size) if method == "exact" else \
-            range_pairs_lsh(df, eps, id_col, vec_col)
-    pairs = cut_lineage(pairs)
+    non-core points.  Rows that take no part in the index (see ``metric``)
+    are noise."""
+    from linkloom.operators import metric
+    from linkloom.session import written_table
+    index = metric.Index(df, id_col, vec_col)
+    core = written_table(metric.core_distances(index, min_samples).where(F.col("core") <= eps).withColumnRenamed("q", "cls"), "density-core")
+    comp = connected_components(core.select(F.col("cls").alias("id")), metric.linked(index, core, eps)).withColumnRenamed("id", "cls")
+    sized = comp.join(index.classes.select("cls", "m"), "cls")
+    big = sized.groupBy("component").agg(F.sum("m").alias("n")).filter(F.col("n") >= min_cluster_size).select("component")
+    # a class is named by its smallest member, and so is a component
+    at = index.member_classes().join(core.select("cls", F.col("core").alias("core_dist")), "cls").join(comp.join(big, "component"), "cls", "left")
     ids = df.select(F.col(id_col).cast("long").alias("id"))
-    sym = pairs.select("i", "j", "d").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
-    core = ids.select("id", F.lit(None).cast("double").alias("core_dist"))
-    if min_samples <= 1:
-        core = ids.select("id", F.lit(0.0).alias("core_dist"))
-    else:
-        w = Window.partitionBy("i").orderBy("d", "j")
-        kth = sym.withColumn("r", F.row_number().over(w)).filter(F.col("r") == min_samples - 1) \
-            .select(F.col("i").alias("id"), F.col("d").alias("core_dist"))
-        core = ids.join(kth, "id", "left")
-    core_ids = core.filter(F.col("core_dist").isNotNull()).select("id")
-    edges = pairs.join(core_ids.withColumnRenamed("id", "i"), "i", "left_semi") \
-        .join(core_ids.withColumnRenamed("id", "j"), "j", "left_semi").select("i", "j")
-    comp = connected_components(core_ids, edges)
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_cluster_size)
-    assigned = comp.join(sizes, "component").select("id", F.col("component").alias("cluster_id"))
-    return core.join(assigned, "id", "left").select(
-        F.col("id").alias(id_col), F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"), "core_dist")
+    return ids.join(at.select("id", "component", "core_dist"), "id", "left").select(
+        F.col("id").alias(id_col), F.coalesce("component", F.lit(-1)).cast("long").alias("cluster_id"), "core_dist")
 
 
 def density_confidence(clustered: DataFrame, id_col: str = "id") -> DataFrame:
@@ -285,71 +211,24 @@ def density_confidence(clustered: DataFrame, id_col: str = "id") -> DataFrame:
     return out.withColumn("cluster_conf", F.round(conf, 4)).drop("_m")
 
 
-def density_hierarchy(df: DataFrame, levels: list[float], min_samples: int = 2, min_cluster_size: int = 5,
-                      id_col: str = "id", vec_col: str = "vector", block_size: int = 512,
-                      method: str = "exact") -> DataFrame:
-    """M9: clusters chosen across scales by stability (excess of mass).
-
-    DBSCAN* is run at each eps level (largest first) over one pair table.  A
-    cluster lives on over levels until it splits into two or more clusters of at
-    least ``min_cluster_size``; those are born at the last level of their parent.
-    The cluster of all points, alone on a level, is no choice.  Stability = sum
-    over a cluster's points of 1/eps at the last level that has them in it, less
-    1/eps at its birth (0 for clusters born on the first level).  From the
-    deepest split upwards, a cluster is chosen when its stability is at least that
-    of the best choice below it; its points at birth get its label, others are
-    noise (-1).  Tends to HDBSCAN* as the grid nears all edge weights.
-    """
-    levels = sorted(set(levels), reverse=True)
-    pairs = range_pairs(df, levels[0], id_col, vec_col, block_size) if method == "exact" else \
-        range_pairs_lsh(df, levels[0], id_col, vec_col)
-    pairs = cut_lineage(pairs)
-    lam = [1.0 / e for e in levels]
-    state = None     # (id, head, birth): the living cluster of each point, null for noise and the root
-    member = None    # (head, birth, id, leave): one row a point and cluster it was in, at each level
-    tree = None      # (head, parent): splits
-    for li, eps in enumerate(levels):
-        lab = density_cluster(df, eps, min_samples, min_cluster_size, id_col, vec_col,
-                              pairs=pairs.filter(F.col("d") <= eps))
-        comp = cut_lineage(lab.select(F.col(id_col).alias("id"), F.when(F.col("cluster_id") >= 0, F.col("cluster_id")).alias("comp")))
-        if state is None:
-            state = comp.select("id", F.lit("root").alias("head"))
-        # components of one level lie inside one living cluster each
-        inside = comp.filter("comp is not null").join(state, "id").groupBy("comp").agg(F.max("head").alias("parent"))
-        kids = inside.groupBy("parent").agg(F.count(F.lit(1)).alias("n_kids"))
-        born = inside.join(kids, "parent").select(
-            "comp", "parent", F.when(F.col("n_kids") > 1, F.concat_ws(":", F.lit(li), F.col("comp").cast("string")))
-            .otherwise(F.col("parent")).alias("head"))
-        born = cut_lineage(born)
-        state = cut_lineage(comp.join(born, "comp", "left").select("id", F.coalesce("head", F.lit("noise")).alias("head")))
-        new = born.filter("head <> parent").select("head", "parent")
-        here = state.filter("head not in ('noise', 'root')").select("head", "id", F.lit(lam[li]).alias("leave"), F.lit(li).alias("lvl"))
-        tree = new if tree is None else tree.unionByName(new)
-        member = here if member is None else member.unionByName(here)
-    member, tree = cut_lineage(member), cut_lineage(tree)
-    first = member.groupBy("head").agg(F.min("lvl").alias("first"))
-    birth = first.select("head", "first", F.when(F.col("first") == 0, F.lit(0.0)).otherwise(
-        F.element_at(F.lit(lam), F.greatest(F.col("first"), F.lit(1)))).alias("birth"))
-    stab = (member.groupBy("head", "id").agg(F.max("leave").alias("leave")).join(birth, "head")
-            .groupBy("head", "first").agg(F.sum(F.col("leave") - F.col("birth")).alias("stability")))
-    best = cut_lineage(stab.join(tree, "head").select("head", "parent", "first", "stability", F.col("stability").alias("best"),
-                                                      F.lit(True).alias("chosen")))
-    # clusters born deeper are settled first; a parent is born on an earlier level than its children
-    for li in range(len(levels) - 1, -1, -1):
-        below = best.groupBy("parent").agg(F.sum("best").alias("kid_best")).withColumnRenamed("parent", "head")
-        at = (F.col("first") == li) & F.col("kid_best").isNotNull()
-        best = cut_lineage(best.join(below, "head", "left").select(
-            "head", "parent", "first", "stability",
-            F.when(at, F.greatest("stability", "kid_best")).otherwise(F.col("best")).alias("best"),
-            F.when(at, F.col("stability") >= F.col("kid_best")).otherwise(F.col("chosen")).alias("chosen")))
-    # of the chosen clusters a point was born into, the one that was born first
-    sel = best.filter("chosen").select("head", "first")
-    w = Window.partitionBy("id").orderBy("lvl")
-    chosen = member.join(sel, "head").filter("lvl = first").withColumn("r", F.row_number().over(w)).filter("r = 1") \
-        .select("id", "head")
-    named = chosen.groupBy("head").agg(F.min("id").alias("cluster_id"))
-    out = df.select(F.col(id_col).cast("long").alias("id")).join(chosen.join(named, "head"), "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
+def density_hierarchy(df: DataFrame, min_samples: int = 2, min_cluster_size: int = 5, id_col: str = "id",
+                      vec_col: str = "vector") -> DataFrame:
+    """M9 + M10: (id, cluster_id, cluster_conf): clusters chosen from the whole density
+    hierarchy by excess of mass, and each row's membership strength (4 dp).
+
+    See ``hierarchy.DensityTree``; rows that take no part are noise (-1, 0)."""
+    from linkloom.operators.hierarchy import DensityTree
+    rows = DensityTree(df, min_samples, min_cluster_size, id_col, vec_col).rows
+    return df.select(F.col(id_col).cast("long").alias("id")).join(rows, "id", "left").select(
+        F.col("id").alias(id_col), F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"),
+        F.round(F.coalesce("probability", F.lit(0.0)), 4).alias("cluster_conf"))
+
+
+def assign_to_density_clusters(df: DataFrame, tree, vec_col: str = "vector", id_col: str = "id") -> DataFrame:
+    """J7 for density clusters: (id, cluster_id, cluster_conf) of new rows in a fitted
+    ``hierarchy.DensityTree``; -1 for noise."""
+    got = tree.predict(df, id_col, vec_col)
+    return got.select(F.col("id").alias(id_col), "cluster_id", F.round("probability", 4).alias("cluster_conf"))
 
 
 # --- cluster summaries and labels ----------------------------------------------------

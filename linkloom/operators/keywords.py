@@ -180,17 +180,21 @@ def mmr(scores: DataFrame, top_k: int = 10, diversity: float = 0.5, dim: int = 3
     return scores.groupBy("id").applyInPandas(pick, "id long, gram string, score double, rank int")
 
 
-def ctfidf(df: DataFrame, class_col: str, text_col: str, top_n: int = 10, ngram=(1, 2)) -> DataFrame:
-    """Class-based TF-IDF: tf(t,c)/|c| * ln(1 + A / f(t)), A = mean
-    number of candidate terms per class, f(t) = frequency of t over all
-    classes.  Returns (class, word, score, rank) for the top ``top_n``."""
+def ctfidf_scores(df: DataFrame, class_col: str, text_col: str, ngram=(1, 2)) -> DataFrame:
+    """(cls, gram, score) of every term: tf(t,c)/|c| * ln(1 + A / f(t)), A = mean number
+    of candidate terms per class, f(t) = frequency of t over all classes."""
     tc = term_counts(df, class_col, text_col, ngram).withColumnRenamed("id", "cls")
     # one row per class: the mean class size is a window over this tiny table
     size = tc.groupBy("cls").agg(F.sum("tf").alias("n_c")) \
         .withColumn("a", F.avg("n_c").over(Window.partitionBy()))
     freq = tc.groupBy("gram").agg(F.sum("tf").alias("f_t"))
-    s = tc.join(size, "cls").join(freq, "gram").withColumn(
-        "score", F.col("tf") / F.col("n_c") * F.log(F.lit(1.0) + F.col("a") / F.col("f_t")))
+    return tc.join(size, "cls").join(freq, "gram").select("cls", "gram", (
+        F.col("tf") / F.col("n_c") * F.log(F.lit(1.0) + F.col("a") / F.col("f_t"))).alias("score"))
+
+
+def ctfidf(df: DataFrame, class_col: str, text_col: str, top_n: int = 10, ngram=(1, 2)) -> DataFrame:
+    """Class-based TF-IDF.  Returns (class, word, score, rank) for the top ``top_n``."""
+    s = ctfidf_scores(df, class_col, text_col, ngram)
     w = Window.partitionBy("cls").orderBy(F.desc("score"), F.asc("gram"))
     top = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
     return top.select(F.col("cls").alias(class_col), F.col("gram").alias("word"), "score", "rank")

@@ -84,20 +84,10 @@ def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None,
 
 
 def _density_pipeline(feats: DataFrame, cfg: Settings, zero_shot: bool, candidate_labels) -> DataFrame:
-    """HDBSCAN-like default: scales from quantiles of the core distance
-    (distributed approxQuantile), clusters chosen by stability (M9)."""
-    ms = cfg.effective_min_samples
-    k = cut_lineage(CL.knn(feats, max(ms - 1, 1), "pos", "features"))
-    core = k.filter(F.col("rank") == max(ms - 1, 1)).select(F.col("dist").alias("d"))
-    qs = [q for q in core.approxQuantile("d", [0.2, 0.4, 0.6, 0.8, 0.95], 0.01) if q is not None]
-    levels = sorted({round(q, 6) for q in qs if q > 0}, reverse=True) or [1.0]
-    lab = CL.density_hierarchy(feats, levels, ms, cfg.min_cluster_size, "pos", "features")
-    out = feats.join(lab, "pos")
-    # core distances at the largest scale: the neighbour search has them already
-    best = k.filter((F.col("rank") == max(ms - 1, 1)) & (F.col("dist") <= levels[0])).select(
-        F.col("id").alias("pos"), F.col("dist").alias("core_dist"))
-    conf = out.join(best, "pos", "left")
-    conf = CL.density_confidence(conf, "pos")
+    """The default: clusters of the density hierarchy by excess of mass (M9), with
+    membership strengths (M10)."""
+    lab = CL.density_hierarchy(feats, cfg.effective_min_samples, cfg.min_cluster_size, "pos", "features")
+    conf = feats.join(cut_lineage(lab), "pos")
     out = CL.cluster_keyword_labels(conf)
     if zero_shot:
         from linkloom.operators.joins import attach_cluster_label

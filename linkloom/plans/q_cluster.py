@@ -104,7 +104,16 @@ def m10_density_confidence(spark, sf):
 
 @register("m9_density_hierarchy")
 def m9_density_hierarchy(spark, sf):
-    return CL.density_hierarchy(_emb(spark, sf), [1.17, 1.15, 1.13, 1.11], MIN_SAMPLES, MIN_CLUSTER, "vec_id", "v")
+    return CL.density_hierarchy(_emb(spark, sf), MIN_SAMPLES, MIN_CLUSTER, "vec_id", "v")
+
+
+@register("j7_assign_density")
+def j7_assign_density(spark, sf):
+    """Every vector, moved by a small step, placed in the tree of all vectors."""
+    from linkloom.operators.hierarchy import DensityTree
+    e = _emb(spark, sf)
+    moved = e.select("vec_id", F.transform("v", lambda x: x + 0.01).alias("v"))
+    return CL.assign_to_density_clusters(moved, DensityTree(e, MIN_SAMPLES, MIN_CLUSTER, "vec_id", "v"), "v", "vec_id")
 
 
 @register("a9_cluster_members", DENSITY_SQL + " SELECT cluster_id, vec_id AS member, cluster_id < 0 AS is_outlier FROM m8")

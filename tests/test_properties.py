@@ -93,7 +93,7 @@ def test_density_matches_numpy_and_is_order_invariant(spark, sf):
     got = CL.density_cluster(e, eps, 2, 3, "vec_id", "v")
     got_core = sorted((r.vec_id, r.cluster_id) for r in got.collect() if r.core_dist is not None)
     assert got_core == exp
-    shuffled = CL.density_cluster(e.orderBy(F.rand(7)).repartition(5), eps, 2, 3, "vec_id", "v", block_size=37)
+    shuffled = CL.density_cluster(e.orderBy(F.rand(7)).repartition(5), eps, 2, 3, "vec_id", "v")
     assert rows(shuffled, "vec_id", "cluster_id") == rows(got, "vec_id", "cluster_id")
 
 

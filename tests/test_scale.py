@@ -30,21 +30,18 @@ TIGHT, LOOSE = [i * 0.1 for i in range(6)], [100 + i * 1.5 for i in range(6)]
 
 
 @pytest.mark.parametrize("groups", [
-    [TIGHT, LOOSE, [40.0, 70.0]],                                  # apart on every level
-    [TIGHT, [3.5 + i * 1.5 for i in range(6)], [-4.0, 15.0]],      # one component on the first level, two below
+    [TIGHT, LOOSE, [40.0, 70.0]],                                  # the rows between leave the loose cluster early
+    [TIGHT, [3.5 + i * 1.5 for i in range(6)], [-4.0, 15.0]],      # near each other, on two scales
+    # splits only at the end, for a moment: the parent wins
+    [[0, 1, 2, 3, 4, 5, 6.55, 7.55, 8.55, 9.55, 10.55, 11.55], [1000 + i for i in range(6)]],
 ])
-def test_density_hierarchy_over_two_scales(spark, groups):
-    df = points(spark, groups)
-    got = [r["cluster_id"] for r in CL.density_hierarchy(df, [5.0, 1.6, 0.15], 2, 5).orderBy("id").collect()]
-    assert got == [0] * 6 + [6] * 6 + [-1, -1]
-
-
-def test_density_hierarchy_prefers_the_stable_parent(spark):
-    # splits only on the last level, for a moment: the parents, alive on two levels, win
-    a = [0, 1, 2, 3, 4, 5, 6.55, 7.55, 8.55, 9.55, 10.55, 11.55]
-    df = points(spark, [a, [1000 + i for i in range(6)]])
-    got = [r["cluster_id"] for r in CL.density_hierarchy(df, [50.0, 1.6, 1.5], 2, 5).orderBy("id").collect()]
-    assert got == [0] * 12 + [12] * 6
+def test_density_hierarchy_over_scales(spark, groups):
+    from test_density_tree import plain_tree
+    got = CL.density_hierarchy(points(spark, groups), 2, 5).orderBy("id").collect()
+    want = plain_tree([[float(x), 0.0] for g in groups for x in g], 2, 5)
+    assert [r["cluster_id"] for r in got] == [v for v, _ in want]
+    assert [r["cluster_conf"] for r in got] == [round(p, 4) for _, p in want]
+    assert {r["cluster_id"] for r in got} - {-1} == {0, 12 if len(groups) == 2 else 6}
 
 
 def test_components_that_do_not_settle_are_an_error(spark):
