@@ -41,6 +41,31 @@ def corpus_fingerprint_df(df: DataFrame, *cols: str) -> DataFrame:
                                              F.col("x").cast("string"))).alias("fingerprint"))
 
 
+def ordered_fingerprint_df(df: DataFrame, order_col: str, *cols: str, settings: dict | None = None, fan: int = 64) -> DataFrame:
+    """A16 (order-sensitive): (n, fingerprint) of the rows in the order of ``order_col``.
+
+    A tree of md5 digests over fixed ranges of positions: rows are numbered over range
+    partitions, every ``fan`` consecutive digests become one, level by level, so no task
+    holds more than ``fan`` digests of a range and no text passes through one task.  A
+    field is ``-`` for null, else its characters' number, ``:`` and its value.  Truthy
+    settings enter the key.  Rows of equal order are taken in the order of their digests;
+    an empty table has the digest of the empty text."""
+    from linkloom.operators.ranking import rank_within_group
+    from linkloom.session import written_table
+    field = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+             for c in cols]
+    leaves = written_table(df.select(F.lit(0).alias("all"), F.col(order_col).alias("o"), F.md5(F.concat(*field)).alias("d")), "order-leaves")
+    level = rank_within_group(leaves, "all", ["o", "d"]).select((F.col("rn") - 1).alias("pos"), "d")
+    n = left = leaves.count()
+    while left > 1:
+        level = written_table(level.groupBy(F.expr(f"pos div {fan}").alias("pos")).agg(
+            F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "d"))), lambda x: x["d"]), "")).alias("d")), "order-level")
+        left = -(-left // fan)
+    root = level.agg(F.coalesce(F.max("d"), F.md5(F.lit(""))).alias("root"))
+    key = F.concat_ws(":", F.lit(str(n)), "root", F.lit(settings_fingerprint(settings)))
+    return root.select(F.lit(n).cast("long").alias("n"), F.md5(key).alias("fingerprint"))
+
+
 def settings_fingerprint(settings: dict | None) -> str:
     """``k=v`` lines of the truthy settings (sorted), md5."""
     if not settings:

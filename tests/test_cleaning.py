@@ -79,3 +79,24 @@ def test_disjoint_phrases(spark):
                                 ("e", "one two")], "domain string, phrase string")
     got = sorted((r.domain, r.phrase) for r in disjoint_phrases(bp).collect())
     assert got == [("d", "alpha beta gamma"), ("d", "delta"), ("e", "one two")]
+
+
+def test_phrases_are_removed_as_by_single_patterns(spark):
+    """The fold equals pattern after pattern, also where a removal makes a new phrase."""
+    import random
+    from linkloom.operators import boilerplate as B
+    rng = random.Random(5)
+    words = ["ab", "Ab", "x", "x y", "AB x", "straße", "ſo", "SO it", "so it", "K l", "k L", "İz b", "ΣΑΣ α", "a.b c", "axb", "a b"]
+    rows = [(i, [rng.choice(words) for _ in range(rng.randint(0, 6))],
+             rng.choice([" ", "", "\n"]).join(rng.choice(words + ["K l", "σας α", "iz b", "\n \n"]) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, phrases array<string>, text string")
+
+    def old(text, phrases):
+        def step(t, p):
+            multi = F.size(F.split(F.trim(p), r"(?U)\s+")) > 1
+            return F.when(multi, F.regexp_replace(t, F.concat(F.lit(r"(?iU)\b\Q"), p, F.lit(r"\E\b")), F.lit(" "))).otherwise(
+                F.replace(t, p, F.lit(" ")))
+        t = F.regexp_replace(F.aggregate(phrases, text, step), " {2,}", " ")
+        return B.strip(F.regexp_replace(t, r"(?U)\n\s*\n", "\n\n"))
+    out = df.select("text", "phrases", B.remove_phrases(F.col("text"), F.col("phrases")).alias("a"), old(F.col("text"), F.col("phrases")).alias("b"))
+    assert [r for r in out.collect() if r["a"] != r["b"]] == []

@@ -59,3 +59,23 @@ def test_json_round_trip(spark, sf, tmp_path):
     a = sorted((r.pos, r.url, str(r.date), tuple(r.group_ids)) for r in e.collect())
     b = sorted((r.pos, r.url, str(r.date), tuple(r.group_ids)) for r in back.collect())
     assert a == b
+
+
+def test_ordered_fingerprint(spark):
+    import hashlib
+    from linkloom.sources.sinks import ordered_fingerprint_df
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    rows = [(i, None if i % 7 == 0 else f"u{i}é") for i in range(150)]
+
+    def got(rows, fan=5, settings=None, parts=3):
+        df = spark.createDataFrame(rows, "pos long, url string").repartition(parts)
+        return tuple(ordered_fingerprint_df(df, "pos", "url", settings=settings, fan=fan).first())
+
+    level = [md5("-" if u is None else f"{len(u)}:{u}") for _, u in rows]
+    while len(level) > 1:
+        level = [md5("".join(level[i:i + 5])) for i in range(0, len(level), 5)]
+    want = (150, md5(f"150:{level[0]}:"))
+    assert got(rows) == want == got(rows, parts=1)
+    swapped = [(0, rows[1][1]), (1, rows[0][1]), *rows[2:]]
+    assert got(swapped) != want and got(rows[:-1]) != want and got(rows, settings={"a": 1}) != want
+    assert got([]) == (0, md5(f"0:{md5('')}:")) and got(rows[1:2]) == (1, md5(f"1:{md5('3:u1é')}:"))
