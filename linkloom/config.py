@@ -9,6 +9,10 @@ from dataclasses import dataclass, field
 class Settings:
     max_tokens: int | None = None   # cleaned text budget; None reads whole texts
     top_k: int = 10                # keywords per entry
+    keyword_backend: str = "tfidf"  # tfidf, embedding or topics
+    keyword_diversity: float | None = None  # maximal marginal relevance; None: by score alone
+    nr_topics: int | None = None   # topics are merged down to this number; None: none are merged
+    topic_threshold: float = 0.01  # a topic below this probability is none
     min_cluster_size: int = 5      # density clustering
     min_samples: int | None = None  # defaults to min_cluster_size // 2
     n_clusters: int = 10           # k-means

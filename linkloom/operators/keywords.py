@@ -95,10 +95,15 @@ def top_keywords(scores: DataFrame, top_k: int = 10) -> DataFrame:
 
 
 def keywords(df: DataFrame, id_col: str = "pos", text_col: str = "text", top_k: int = 10, ngram=(1, 2),
-             scorer: str = "tfidf", seeds: DataFrame | None = None, dim: int = 384) -> DataFrame:
-    """Long form (id, keyword, score, rank)."""
+             scorer: str = "tfidf", seeds: DataFrame | None = None, dim: int = 384, diversity: float | None = None) -> DataFrame:
+    """Long form (id, keyword, score, rank).
+
+    scorer: "tfidf", "embedding" or a callable; ``diversity`` (0 to 1) picks the keywords
+    by maximal marginal relevance (W5) instead of by score alone."""
     if callable(scorer):
         scores = scorer(df, id_col, text_col, ngram)
+    elif scorer == "tfidf" and diversity is not None:
+        scores = tfidf_scores(df, id_col, text_col, ngram, seeds)
     elif scorer == "tfidf":
         # rank on the raw score (same order as the normalised one), then divide
         # the k survivors by their best: one window over all grams, not two
@@ -110,7 +115,7 @@ def keywords(df: DataFrame, id_col: str = "pos", text_col: str = "text", top_k:
         scores = embedding_scores(df, id_col, text_col, ngram, dim, seeds)
     else:
         raise ValueError(f"unknown scorer {scorer!r}")
-    top = top_keywords(scores, top_k)
+    top = top_keywords(scores, top_k) if diversity is None else mmr(scores, top_k, diversity, dim)
     return top.select(F.col("id").alias(id_col), F.col("gram").alias("keyword"), "score", "rank")
 
 
@@ -151,23 +156,25 @@ def mmr(scores: DataFrame, top_k: int = 10, diversity: float = 0.5, dim: int = 3
 
     One group per document (bounded by its text); ``applyInPandas`` keeps the
     k chosen vectors and updates every candidate's best similarity to them:
-    O(candidates x k), all candidates considered.
+    O(candidates x k), all candidates considered.  The candidates' hashed places
+    come from SQL; a task only adds them up.
     """
+    places = F.transform(V.hash_features(F.col("gram")), lambda f: V.bucket_of(f, dim))
+    signs = F.transform(V.hash_features(F.col("gram")), lambda f: V.sign_of(f))
+
     def pick(pdf):
         import numpy as np
         import pandas as pd
-        from linkloom.operators.vectors import py_encode
-        grams = pdf["gram"].tolist()
-        rel = pdf["score"].to_numpy(dtype=float)
-        order = np.lexsort((np.array(grams, dtype=object).astype(str), -rel))
-        grams = [grams[i] for i in order]
-        rel = rel[order]
-        vecs = np.vstack([py_encode(g, dim) for g in grams]) if grams else np.zeros((0, dim))
-        chosen = [0] if grams else []
-        best_sim = vecs @ vecs[0] if grams else np.zeros(0)
+        pdf = pdf.sort_values(["score", "gram"], ascending=[False, True], kind="stable")
+        grams, rel = pdf["gram"].tolist(), pdf["score"].to_numpy(dtype=float)
+        vecs = np.zeros((len(grams), dim))
+        row = np.repeat(np.arange(len(grams)), [len(x) for x in pdf["places"]])
+        np.add.at(vecs, (row, np.concatenate(pdf["places"].tolist()).astype(int)), np.concatenate(pdf["signs"].tolist()))
+        norm = np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))
+        vecs = vecs / np.where(norm > 0, norm, 1.0)
+        chosen, best_sim = [0], vecs @ vecs[0]
         alive = np.ones(len(grams), dtype=bool)
-        if grams:
-            alive[0] = False
+        alive[0] = False
         while len(chosen) < min(top_k, len(grams)):
             val = (1 - diversity) * rel - diversity * best_sim
             val[~alive] = -np.inf
@@ -177,7 +184,8 @@ def mmr(scores: DataFrame, top_k: int = 10, diversity: float = 0.5, dim: int = 3
             best_sim = np.maximum(best_sim, vecs @ vecs[j])
         return pd.DataFrame({"id": [pdf["id"].iloc[0]] * len(chosen), "gram": [grams[j] for j in chosen],
                              "score": [float(rel[j]) for j in chosen], "rank": list(range(1, len(chosen) + 1))})
-    return scores.groupBy("id").applyInPandas(pick, "id long, gram string, score double, rank int")
+    return scores.select("id", "gram", "score", places.alias("places"), signs.alias("signs")).groupBy("id").applyInPandas(
+        pick, "id long, gram string, score double, rank int")
 
 
 def ctfidf_scores(df: DataFrame, class_col: str, text_col: str, ngram=(1, 2)) -> DataFrame:

@@ -23,6 +23,7 @@ from linkloom.operators import cluster as CL
 from linkloom.operators import entries as E
 from linkloom.operators import html as H
 from linkloom.operators import keywords as K
+from linkloom.operators import topics as TP
 from linkloom.operators import vectors as V
 from linkloom.session import cut_lineage
 
@@ -50,8 +51,13 @@ def _stage(df: DataFrame, name: str, cache_root: str | None, fp: str | None, cfg
 
 
 def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None, algorithm: str = "hdbscan",
-             zero_shot: bool = False, candidate_labels=None, cache_root: str | None = None) -> DataFrame:
-    """The organiser over ``entries`` and crawled ``pages`` (see the module text)."""
+             zero_shot: bool = False, candidate_labels=None, cache_root: str | None = None,
+             backend: str | None = None) -> DataFrame:
+    """The organiser over ``entries`` and crawled ``pages`` (see the module text).
+
+    backend: where keywords come from (else ``cfg.keyword_backend``): "tfidf" or "embedding"
+    (both with maximal marginal relevance when ``cfg.keyword_diversity`` is set), or
+    "topics": the words of each entry's topic, with columns topic_id and topic_prob."""
     cfg = cfg or Settings()
     fp = None
     if cache_root:
@@ -67,8 +73,7 @@ def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None,
     cleaned = _stage(cleaned, "cleaned", cache_root, fp, cfg)
     docs = cleaned.select("pos", T.title_plus_text(U.base_title(F.col("title"), F.col("domain")),
                                                     F.col("clean_text")).alias("kw_text"))
-    kw = K.keyword_arrays(K.keywords(docs, "pos", "kw_text", cfg.top_k), cleaned, "pos", "raw_kw")
-    kw = kw.withColumn("keywords", K.refine_keywords(F.col("raw_kw"), 0.2)).drop("raw_kw")
+    kw = _with_keywords(docs, cleaned, cfg, backend or cfg.keyword_backend)
     feats = _stage(V.build_features(kw, cfg.features, cfg.hash_dim, cfg.seed), "embeddings", cache_root, fp, cfg)
     if algorithm == "kmeans":
         out = CL.cluster_and_label(feats, "kmeans", "features", "pos", n_clusters=cfg.n_clusters, seed=cfg.seed,
@@ -78,11 +83,23 @@ def organise(entries: DataFrame, pages: DataFrame, cfg: Settings | None = None,
     else:
         raise ValueError(f"Unsupported clustering algorithm: {algorithm}")
     keep = [c for c in ("pos", "url", "title", "domain", "date", "group_ids", "folder", "clean_text",
-                        "keywords_text", "raw_keywords", "path_depth", "is_subdomain", "days_since_epoch",
+                        "keywords_text", "topic_id", "topic_prob", "raw_keywords", "path_depth", "is_subdomain", "days_since_epoch",
                         "cluster_id", "cluster_conf", "cluster_label", "zero_shot_label") if c in out.columns]
     return out.select(*keep)
 
 
+def _with_keywords(docs: DataFrame, cleaned: DataFrame, cfg: Settings, backend: str) -> DataFrame:
+    """``cleaned`` with column ``keywords`` from the chosen backend."""
+    if backend == "topics":
+        assign, words = TP.topics(docs, "pos", "kw_text", cfg.nr_topics, dim=cfg.hash_dim, seed=cfg.seed,
+                                  top_n=cfg.top_k, algorithm="density", min_topic_size=cfg.min_cluster_size,
+                                  min_samples=cfg.effective_min_samples)
+        return TP.attach_topics(cleaned, assign, words, "pos", cfg.topic_threshold).withColumnRenamed("topic_keywords", "keywords")
+    found = K.keywords(docs, "pos", "kw_text", cfg.top_k, scorer=backend, dim=cfg.hash_dim, diversity=cfg.keyword_diversity)
+    kw = K.keyword_arrays(found, cleaned, "pos", "raw_kw")
+    return kw.withColumn("keywords", K.refine_keywords(F.col("raw_kw"), 0.2)).drop("raw_kw")
+
+
 def _density_pipeline(feats: DataFrame, cfg: Settings, zero_shot: bool, candidate_labels) -> DataFrame:
     """The default: clusters of the density hierarchy by excess of mass (M9), with
     membership strengths (M10)."""
