@@ -274,20 +274,17 @@ def mode_label(df: DataFrame, group_col: str = "cluster_id", label_col: str = "l
 
 
 def score_labels(clusters: DataFrame, labels: list[str] | DataFrame | None = None, text_col: str = "keywords_text",
-                 dim: int = 384, max_labels: int = 10000) -> DataFrame:
+                 dim: int = 384) -> DataFrame:
     """Best candidate label per cluster by cosine in the hashing space
     between the cluster's word bag and each label; 'Other' when nothing
-    overlaps.  Label vectors are small (bounded by the candidate list) and
-    broadcast behind a size check."""
+    overlaps."""
     from linkloom.operators import vectors as V
-    from linkloom.operators.joins import broadcast_if_small
     spark = clusters.sparkSession
     if labels is None:
         labels = DEFAULT_ZERO_SHOT_LABELS
     lab = spark.createDataFrame([(x,) for x in dict.fromkeys(labels)], "label string") if isinstance(labels, list) \
         else labels.select(F.col(labels.columns[0]).alias("label")).distinct()
     lv = V.encode_sparse(lab, "label", "label", dim).withColumnRenamed("value", "lv")
-    lv = broadcast_if_small(lv, max_labels * 64)
     members = clusters.filter(F.col("cluster_id") >= 0)
     feats = members.select("cluster_id", F.explode(V.hash_features(F.col(text_col))).alias("f"))
     cv = feats.groupBy("cluster_id", V.bucket_of(F.col("f"), dim).alias("bucket")) \

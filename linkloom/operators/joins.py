@@ -1,4 +1,5 @@
-"""Small joins of the pipeline (J1-J3, J9) with explicit size checks."""
+"""Small joins of the pipeline (J1-J3, J9).  None is forced to broadcast: Spark does so
+from measured sizes, and splits hot keys otherwise."""
 
 from __future__ import annotations
 
@@ -6,39 +7,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    ``limit(max_rows + 1).count()`` stops scanning after max_rows + 1 rows, so
-    the check is cheap even when the table turns out to be huge; beyond the
-    bound the caller's join stays a shuffle join (AQE may still convert it
-    from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def attach_scraped(entries: DataFrame, pages: DataFrame, text_col: str = "html") -> DataFrame:
     """Entries LEFT JOIN page text on exact url; pages deduped on url first
     (lowest page_id wins) so the join never multiplies entries."""
-    text = (pages.groupBy("url").agg(F.min_by(text_col, "page_id").alias("scraped")))
-    return entries.join(text, "url", "left")
+    # the winner of a url is found on narrow rows; only its text meets the entries
+    keyed = pages.select("url", "page_id", F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("scraped"))
+    first = keyed.groupBy("url").agg(F.min(F.struct("page_id", "_h")).alias("_w")).select("url", "_w.page_id", "_w._h")
+    text = keyed.join(first, ["url", "page_id", "_h"], "left_semi").select("url", "scraped")
+    # rows that repeat the winner
+    return entries.join(text.dropDuplicates(["url"]), "url", "left")
 
 
 def attach_cluster_label(df: DataFrame, labels: DataFrame, id_col: str = "cluster_id",
-                         label_col: str = "cluster_label", max_labels: int = 100000) -> DataFrame:
-    """Label per cluster id; 'Noise' for ids < 0, 'Other' when unmatched.
-    Labels are one row per cluster (bounded by k), broadcast behind a check."""
-    lab = broadcast_if_small(labels.select(id_col, F.col(label_col).alias("_lab")), max_labels)
+                         label_col: str = "cluster_label") -> DataFrame:
+    """Label per cluster id; 'Noise' for ids < 0, 'Other' when unmatched."""
+    lab = labels.select(id_col, F.col(label_col).alias("_lab"))
     out = df.join(lab, id_col, "left")
     return out.withColumn(label_col, F.when(F.col(id_col) < 0, F.lit("Noise"))
                           .otherwise(F.coalesce(F.col("_lab"), F.lit("Other")))).drop("_lab")
 
 
 def inject_labels(df: DataFrame, mapping: DataFrame, id_col: str = "cluster_id", out_col: str = "label",
-                  default: str = "Unclustered", max_labels: int = 100000) -> DataFrame:
+                  default: str = "Unclustered") -> DataFrame:
     """Id -> label, default 'Unclustered'."""
-    m = broadcast_if_small(mapping.select(id_col, F.col(mapping.columns[1]).alias("_lab")), max_labels)
+    m = mapping.select(id_col, F.col(mapping.columns[1]).alias("_lab"))
     return df.join(m, id_col, "left").withColumn(out_col, F.coalesce("_lab", F.lit(default))).drop("_lab")
 
 

@@ -48,9 +48,8 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, ngram=(1, 2), seeds:
         .select(F.col(id_col).alias("id"), F.explode(candidate_grams(F.col(text_col), ngram)).alias("gram")) \
         .filter(F.col("gram").isNotNull())
     if seeds is not None:
-        from linkloom.operators.joins import broadcast_if_small
         s = seeds.select(F.lower(F.col(seeds.columns[0])).alias("gram")).distinct()
-        g = g.join(broadcast_if_small(s, 100000), "gram", "left_semi")
+        g = g.join(s, "gram", "left_semi")
     return g.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -112,29 +112,21 @@ def t15_basic_clean(spark, sf):
     return d.select("doc_id", C.basic_clean(F.col("text"), 200).alias("cleaned"))
 
 
-_T16_SQL = f"""SELECT doc_id, CAST(length(c) AS DOUBLE) / length(text) < 0.05 AS overcleaned, length(c) AS n_clean
-FROM (SELECT doc_id, text, {sql_clean('text', 400)} AS c FROM documents)"""
+def _t16(budget: str, tokens: int | None):
+    sql = f"""SELECT doc_id, CAST(length(c) AS DOUBLE) / length(text) < 0.05 AS overcleaned, length(c) AS n_clean
+FROM (SELECT doc_id, text, {sql_clean('text', tokens) if tokens else sql_clean('text')} AS c FROM documents)"""
 
-
-@register("t16_overcleaned", _T16_SQL)
-def t16_overcleaned(spark, sf):
-    d = load(spark, sf, "documents")
-    c = d.select("doc_id", "text", C.clean_column(F.col("text"), 400).alias("c"))
-    return c.select("doc_id", T.overcleaned(F.col("text"), F.col("c")).alias("overcleaned"),
-                    F.length("c").alias("n_clean"))
-
-
-# over-cleaned by the whole cleaned text, as flagship and organise clean it
-_T16_WHOLE_SQL = f"""SELECT doc_id, CAST(length(c) AS DOUBLE) / length(text) < 0.05 AS overcleaned, length(c) AS n_clean
-FROM (SELECT doc_id, text, {sql_clean('text')} AS c FROM documents)"""
+    @register(f"t16_overcleaned{budget}", sql)
+    def t16(spark, sf):
+        d = load(spark, sf, "documents")
+        c = d.select("doc_id", "text", C.clean_column(F.col("text"), tokens).alias("c"))
+        return c.select("doc_id", T.overcleaned(F.col("text"), F.col("c")).alias("overcleaned"),
+                        F.length("c").alias("n_clean"))
 
 
-@register("t16_overcleaned_whole", _T16_WHOLE_SQL)
-def t16_overcleaned_whole(spark, sf):
-    d = load(spark, sf, "documents")
-    c = d.select("doc_id", "text", C.clean_column(F.col("text")).alias("c"))
-    return c.select("doc_id", T.overcleaned(F.col("text"), F.col("c")).alias("overcleaned"),
-                    F.length("c").alias("n_clean"))
+_t16("", None)             # the whole cleaned text, as flagship and organise clean it
+_t16("_whole", None)
+_t16("_limited", 400)      # a token budget (T14): long documents fall under the ratio for their length alone
 
 
 def sql_mostly_stopwords(e):
