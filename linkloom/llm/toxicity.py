@@ -35,10 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import give_back, stage
+
 N = 28  # symbols: 0 break, 1-26 a-z, 27 other letter
 BINS = 1 << 19
-#: bound on remembered tokens of a worker
-MEMO = 600_000
+#: bytes of tokens and readings that a task remembers
+MEMO_BYTES = 40 << 20
+#: rows of a batch that are held as Python objects at once
+ROWS = 512
 
 # fixed values: letters that a sign may stand for
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a",
@@ -48,6 +52,8 @@ SEPARATORS = set(".-_*~'`^|,:;/\\")
 INNER = set("*'`")
 _LONG_RUN = re.compile(r"([^\W\d_])\1{3,}")
 _REPEATS = re.compile(r"(?i)([^\W\d_])\1")
+_ALONE = re.compile(rb"\x01{3,}")
+_RUN = re.compile(r"(?i)([^\W\d_])\1\1")
 _SIGNS = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+(<#%*]|[\d@$!|+(<#%*][^\W\d_]")
 _EDGES = "\"'.,;:!?()[]{}<>“”„«»¿¡…"
 
@@ -88,55 +94,108 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3)
 
 
+def arcs_of(token: str, at: int, spaced: bool) -> list[tuple[str, float]]:
+    """Arcs of the lattice over the sign at a place of a lower-case token: (letters, channel cost)."""
+    ch, last, prev = token[at], len(token) - 1, token[at - 1] if at else ""
+    arcs = []
+    if ch.isalpha():
+        arcs.append((ch, 0.0))
+        if ch == prev:
+            # doubled letters are ordinary, longer runs are not
+            arcs.append(("", -1.0 if ch * 3 in token[max(0, at - 2):at + 3] else -4.0))
+        if spaced and prev:
+            arcs.append((" " + ch, -3.0))
+    else:
+        arcs += [(x, -1.0 if ch not in "*#%" else -2.0) for x in LOOKALIKES.get(ch, "")]
+        if spaced and prev:
+            arcs += [(" " + x, -4.0) for x in LOOKALIKES.get(ch, "")]
+        # a mask at the edge stands for a letter; Reader also reads the token without it
+        if ch in SEPARATORS and not (ch == "*" and at in (0, last)) or not arcs:
+            arcs.append(("", -1.5))
+            if not spaced and 0 < at < last and ch not in INNER:
+                # between single signs a separator rather sets letters apart
+                alone = any(not _pair(token[i:i + 2]) for i in (max(0, at - 2), at + 1)) \
+                    or at < 2 or at > last - 2
+                arcs.append((" ", -4.5 if alone else -0.5))
+    return arcs
+
+
 def restore(token: str, logp: list[float], spaced: bool = False) -> str:
     """Most likely reading of a token's lattice (lower case; may hold word breaks).
 
     logp: flat list of log p(c | a b) at (a * 28 + b) * 28 + c.  Runs of a letter
     are cut to three first; time and memory are linear in the length."""
     best = {0: (0.0, None)}  # 28 * symbol before last + last -> (score, letters as (letters before, letters))
-    token, prev = _LONG_RUN.sub(r"\1\1\1", token.lower()), ""
-    of, last = _SYMBOL_OF.get, len(token) - 1
+    token = _LONG_RUN.sub(r"\1\1\1", token.lower())
+    of = _SYMBOL_OF.get
     for at, ch in enumerate(token):
-        arcs = []  # (letters, channel cost)
-        if ch.isalpha():
-            arcs.append((ch, 0.0))
-            if ch == prev:
-                # doubled letters are ordinary, longer runs are not
-                arcs.append(("", -1.0 if ch * 3 in token[max(0, at - 2):at + 3] else -4.0))
-            if spaced and prev:
-                arcs.append((" " + ch, -3.0))
-        else:
-            arcs += [(x, -1.0 if ch not in "*#%" else -2.0) for x in LOOKALIKES.get(ch, "")]
-            if spaced and prev:
-                arcs += [(" " + x, -4.0) for x in LOOKALIKES.get(ch, "")]
-            # a mask at the edge stands for a letter; Reader also reads the token without it
-            if ch in SEPARATORS and not (ch == "*" and at in (0, last)) or not arcs:
-                arcs.append(("", -1.5))
-                if not spaced and 0 < at < last and ch not in INNER:
-                    # between single signs a separator rather sets letters apart
-                    alone = any(not _pair(token[i:i + 2]) for i in (max(0, at - 2), at + 1)) \
-                        or at < 2 or at > last - 2
-                    arcs.append((" ", -4.5 if alone else -0.5))
         nxt: dict = {}
+        if not spaced and ch.isalpha() and ch != token[at - 1:at]:
+            # the one arc of a plain letter
+            z = of(ch, 27)
+            for state, (s, text) in best.items():
+                at_z = state * N + z
+                s += logp[at_z]
+                state = at_z % (N * N)
+                if state not in nxt or nxt[state][0] < s:
+                    nxt[state] = (s, (text, ch))
+            best = nxt
+            continue
+        arcs = arcs_of(token, at, spaced)
         for letters, cost in arcs:
+            if len(letters) == 1:
+                z = of(letters, 27)
+                for state, (s, text) in best.items():
+                    at_z = state * N + z
+                    s += cost + logp[at_z]
+                    state = at_z % (N * N)
+                    if state not in nxt or nxt[state][0] < s:
+                        nxt[state] = (s, (text, letters))
+                continue
+            if not letters:  # a dropped sign saves the model nothing
+                for state, (s, text) in best.items():
+                    s += cost - 2.0
+                    if state not in nxt or nxt[state][0] < s:
+                        nxt[state] = (s, text)
+                continue
             marks = [of(c, 27) for c in letters]
-            for state, (score, text) in best.items():
-                s = score + cost
+            for state, (s, text) in best.items():
+                s += cost
                 for z in marks:
                     at_z = state * N + z
                     s += logp[at_z]
                     state = at_z % (N * N)
-                if not marks:
-                    s -= 2.0  # a dropped sign saves the model nothing
                 if state not in nxt or nxt[state][0] < s:
-                    nxt[state] = (s, (text, letters) if letters else text)
+                    nxt[state] = (s, (text, letters))
         best = nxt
-        prev = ch
     ends = [(s + logp[state * N], t) for state, (s, t) in best.items()]
     top = max(s for s, _ in ends)
     return max(_letters(t) for s, t in ends if s == top)
 
 
+def undouble(word: str, logp: list[float]) -> str:
+    """``restore`` of a word of letters without a letter three times in a row.
+
+    Its lattice has two arcs for each doubled letter and no others, and as the model
+    looks back two symbols, and a letter that stays is the same letter, each pair is
+    decided by the symbol before it and the one after it alone."""
+    word = word.lower()
+    marks = [_SYMBOL_OF.get(c, 27) for c in word]
+    marks.append(0)
+    out, gone = [], False
+    for at, ch in enumerate(word):
+        # a pair's letters may differ where their symbols do not (letters beyond a-z)
+        if at and ch == word[at - 1] and not gone:
+            x, c, z = marks[at - 2] if at > 1 else 0, marks[at], marks[at + 1]
+            both = logp[(x * N + c) * N + c] + logp[(c * N + c) * N + z]
+            if logp[(x * N + c) * N + z] - 6.0 > both:
+                gone = True
+                continue
+        gone = False
+        out.append(ch)
+    return "".join(out)
+
+
 def _pair(two: str) -> bool:
     """Whether two signs can be letters of one word."""
     return len(two) == 2 and all(c.isalpha() or c in LOOKALIKES for c in two)
@@ -155,53 +214,111 @@ class Reader:
 
     def __init__(self, logp: np.ndarray):
         self.logp = np.asarray(logp).ravel().tolist()
-        self.memo: dict = {}
+
+    def best(self, token: str) -> list[str]:
+        """Words of the best reading of one spelling."""
+        if token.isalpha() and not _RUN.search(token):
+            return [undouble(token, self.logp)]
+        return restore(token, self.logp).split()
 
     def read(self, token: str) -> tuple[str, ...]:
         bare = token.strip(_EDGES)
         if not bare:
             return ()
-        if (not bare.isalpha() or bare != token) and _SIGNS.search(token) or _REPEATS.search(bare):
+        signs = (not bare.isalpha() or bare != token) and _SIGNS.search(token)
+        if not signs and bare.isalpha():
+            if not _REPEATS.search(bare):
+                return (bare.lower(),)
+            if not _RUN.search(bare):
+                return (undouble(bare, self.logp),)
+        if signs or _REPEATS.search(bare):
             # edges may be signs as well ("$tupid", "idio!", "*diot"): read both ways, letters decide
-            return tuple(dict.fromkeys(w for t in dict.fromkeys((bare.strip("*"), bare, token)) if t for w in restore(t, self.logp).split()))
+            return tuple(dict.fromkeys(w for t in dict.fromkeys((bare.strip("*"), bare, token)) if t for w in self.best(t)))
         return (bare.lower(),)
 
     def spaced(self, tokens) -> set[str]:
         """Words of runs of three or more single signs, whatever white space stands between them."""
         out: set[str] = set()
-        if sum([len(t) == 1 for t in tokens]) >= 3:
-            for single, run in itertools.groupby(tokens, lambda t: len(t) == 1):
-                letters = "".join(run) if single else ""
-                if len(letters) >= 3:
-                    out.update(restore(letters, self.logp, spaced=True).split())
+        alone = bytes(map((1).__eq__, map(len, tokens)))
+        if alone.count(1) >= 3:
+            for run in _ALONE.finditer(alone):
+                out.update(restore("".join(tokens[run.start():run.end()]), self.logp, spaced=True).split())
         return out
 
-    def features(self, text: str | None) -> dict[str, list[int]]:
-        """Hashed features of each restored word of a text."""
-        tokens = (text or "").split()
-        every, memo = set(tokens), self.memo
-        new = every.difference(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = every
-        for t in new:
-            memo[t] = tuple((w, bins_of(w)) for w in self.read(t))
-        out = {w: b for pairs in map(memo.__getitem__, every) for w, b in pairs}
-        for w in self.spaced(tokens):
-            out[w] = bins_of(w)
-        return out
+
+class Memo:
+    """Token -> entries of its restored words; forgets all when MEMO_BYTES are held.
+
+    entries(words): an entry for each word, None for one that is of no use."""
+
+    def __init__(self, reader: Reader, entries):
+        self.reader, self.entries, self.held = reader, entries, 0
+        self.known: dict = {}  # a plain dict: set operations look its keys up
+
+    def learn(self, tokens: set) -> None:
+        if self.held > MEMO_BYTES:
+            self.known.clear()
+            self.held = 0
+        new = list(tokens.difference(self.known))
+        read = list(map(self.reader.read, new))
+        entries = iter(self.entries(list(itertools.chain.from_iterable(read))))
+        for t, words in zip(new, read):
+            # most words have no entry
+            got = self.known[t] = tuple([e for e in itertools.islice(entries, len(words)) if e is not None])
+            self.held += 2 * len(t) + 150 + 250 * len(got)
+
+    def words(self, texts: list):
+        """The entries of the restored words of each text, one text after the other."""
+        for at in range(0, len(texts), 64):
+            split = [(t or "").split() for t in texts[at:at + 64]]
+            every = list(map(set, split))
+            self.learn(set().union(*every))
+            for tokens, kinds in zip(split, every):
+                found: set = set()
+                found.update(*filter(None, map(self.known.__getitem__, kinds)))
+                spaced = self.reader.spaced(tokens)
+                if spaced:
+                    found.update(e for e in self.entries(list(spaced)) if e is not None)
+                yield found
 
 
 PREFIXES = (4, 5, 6, 7, 8)
 TOP = 8
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: letters of a word that are hashed side by side; longer words are hashed one by one
+_SIDE = 24
+
+
+def _bin(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(29))) * _MIX >> np.uint64(40)).astype(np.int64) % BINS
+
+
+def bins_of_all(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words, flat, and their number for each word: its first letters
+    (where it has more) and itself."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    width = int(min(_SIDE, size.max(initial=1)))
+    letters = np.array(words, dtype=f"U{max(width, 1)}").view(np.uint32).reshape(n, -1).astype(np.uint64)
+    out = np.full((n, len(PREFIXES) + 1), -1, dtype=np.int64)
+    h, whole = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for k in range(letters.shape[1]):
+        h = (h ^ letters[:, k]) * _MIX
+        h ^= h >> np.uint64(31)
+        whole = np.where(size == k + 1, h, whole)
+        if k + 1 in PREFIXES:
+            out[:, k + 1 - PREFIXES[0]] = np.where(size > k + 1, _bin(h + np.uint64(k + 1)), -1)
+    for i in np.flatnonzero(size > _SIDE):
+        whole[i] = xxhash.xxh64_intdigest(words[i])
+    out[:, -1] = _bin(whole)
+    used = out >= 0
+    return out[used], used.sum(axis=1)
 
 
 def bins_of(word: str) -> list[int]:
-    """Hashed features of a word: its first letters and itself."""
-    h, n = xxhash.xxh32_intdigest, len(word)
-    out = [h(word[:k], k) % BINS for k in PREFIXES if n > k]
-    out.append(h(word, 0) % BINS)
-    return out
+    return bins_of_all([word])[0].tolist()
 
 
 def evidence(weights) -> list[float]:
@@ -217,38 +334,29 @@ class Scorer:
         self.reader, self.toxic, self.clean = Reader(logp), toxic, clean
         p = n_toxic / max(1, n_toxic + n_clean)
         self.a, self.b = shrink * p, shrink * (1 - p)
-        self.table = (np.log((toxic + self.a) / self.a) - np.log((clean + self.b) / self.b)).tolist()
-        self.memo: dict = {}
-
-    def weigh(self, word: str):
-        table = self.table
-        return max([table[i] for i in bins_of(word)])
-
-    def score_inputs(self, text) -> list[float]:
-        tokens = (text or "").split()
-        every, memo = set(tokens), self.memo
-        new = every.difference(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = every
-        for t in new:
-            # (word, weight) pairs with evidence; most tokens have none
-            memo[t] = tuple((w, x) for w in self.reader.read(t) for x in (self.weigh(w),) if x > 0)
-        found = set()
-        for pairs in filter(None, map(memo.__getitem__, every)):
-            found.update(pairs)
-        for w in self.reader.spaced(tokens):
-            found.add((w, self.weigh(w)))
-        return evidence([x for _, x in found])
-
-    def left_out_inputs(self, text, own: int) -> list[float]:
-        """Inputs of a text whose label the counts hold: its own share is taken off."""
-        bins = list(self.reader.features(text).values())
-        if not bins:
+        self.table = np.log((toxic + self.a) / self.a) - np.log((clean + self.b) / self.b)
+        self.memo = Memo(self.reader, self.weigh)
+
+    def weigh(self, words: list[str]) -> list:
+        """(word, weight) of the words with evidence, None for others."""
+        bins, sizes = bins_of_all(words)
+        if not len(bins):
+            return []
+        top = np.maximum.reduceat(self.table[bins], np.cumsum(sizes) - sizes).tolist()
+        return [(w, x) if x > 0 else None for w, x in zip(words, top)]
+
+    def score_inputs(self, texts: list) -> list[list[float]]:
+        return [evidence([x for _, x in found]) for found in self.memo.words(texts)]
+
+    def batch_inputs(self, column) -> np.ndarray:
+        return np.array([x for at in range(0, len(column), ROWS) for x in self.score_inputs(column.slice(at, ROWS).to_pylist())]
+                        ).reshape(-1, 4)
+
+    def left_out_inputs(self, bins: np.ndarray, sizes: np.ndarray, own: int) -> list[float]:
+        """Inputs of a text, given as bins of its words, whose label the counts hold: its own share is taken off."""
+        if not len(bins):
             return evidence([])
-        sizes = np.fromiter(map(len, bins), dtype=np.int64, count=len(bins))
-        i = np.fromiter(itertools.chain.from_iterable(bins), dtype=np.int64, count=int(sizes.sum()))
-        w = np.log((self.toxic[i] - own + self.a) / self.a) - np.log((self.clean[i] - (1 - own) + self.b) / self.b)
+        w = np.log((self.toxic[bins] - own + self.a) / self.a) - np.log((self.clean[bins] - (1 - own) + self.b) / self.b)
         return evidence(np.maximum.reduceat(w, np.cumsum(sizes) - sizes).tolist())
 
 
@@ -280,18 +388,35 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 40_000, id_col: s
             .orderBy(F.xxhash64("i"), "i").limit(max_train))
     # at most max_train pairs of numbers
     known = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).join(F.broadcast(rows), "i")
-    known = known.select("t", "y")
     spark = docs.sparkSession
     lm = spark.sparkContext.broadcast(logp)
 
+    def read(batches):
+        """Label, bins of all words and the number of bins of each word."""
+        def entries(words):
+            bins, sizes = bins_of_all(words)
+            flat, ends = bins.astype(np.int32).tobytes(), np.cumsum(sizes).tolist()
+            return [(w, flat[4 * (e - n):4 * e]) for w, e, n in zip(words, ends, sizes.tolist())]
+
+        memo = Memo(Reader(lm.value), entries)
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                bins = [sorted(x[1] for x in found) for found in memo.words(part.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), pa.array([np.frombuffer(b"".join(x), np.int32) for x in bins], pa.list_(pa.int32())),
+                     pa.array([[len(y) // 4 for y in x] for x in bins], pa.list_(pa.int32()))], names=["y", "bins", "sizes"])
+
+    # read once: at most max_train rows, a few numbers a distinct word
+    known = stage(known.select("t", "y").mapInArrow(read, "y int, bins array<int>, sizes array<int>"), "toxicity-known")
+
     def count(batches):
-        reader = Reader(lm.value)
         total = np.zeros((2, BINS), dtype=np.int32)
         n = [0, 0]
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for y, bins in zip(b.column(0).to_pylist(), b.column(1)):
                 n[y] += 1
-                total[y, list(set().union(*reader.features(t).values()))] += 1
+                total[y, bins.values.to_numpy()] += 1
         if n[0] + n[1]:
             for at in range(0, BINS, 8192):
                 yield pa.RecordBatch.from_arrays(
@@ -318,8 +443,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 40_000, id_col: s
     def left_out(batches):
         s = Scorer(*stats.value)
         for b in batches:
-            ys = b.column(1).to_pylist()
-            x = [s.left_out_inputs(t, y) for t, y in zip(b.column(0).to_pylist(), ys)]
+            ys = b.column(0).to_pylist()
+            x = [s.left_out_inputs(i.values.to_numpy(), n.values.to_numpy(), y) for y, i, n in zip(ys, b.column(1), b.column(2))]
             cols = list(zip(*x)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([*[pa.array(c, type=pa.float64()) for c in cols], pa.array(ys, type=pa.int32())],
                                              names=["a", "b", "c", "d", "y"])
@@ -340,10 +465,12 @@ def score_toxicity(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
         *stats, w = m.value
         s = Scorer(*stats)
         for b in batches:
-            x = np.array([s.score_inputs(t) for t in b.column(1).to_pylist()]).reshape(-1, 4)
+            x = s.batch_inputs(b.column(1))
             p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])
+        del s
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"),
                        held_out(id_col).alias("h")).mapInArrow(
@@ -359,7 +486,9 @@ def drop_toxic(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
         *stats, w = m.value
         s = Scorer(*stats)
         for b in batches:
-            x = np.array([s.score_inputs(t) for t in b.column(place).to_pylist()]).reshape(-1, 4)
+            x = s.batch_inputs(b.column(place))
             yield b.filter(pa.array(w[0] + x @ w[1:] < 0))
+        del s
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

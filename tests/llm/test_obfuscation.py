@@ -1,5 +1,7 @@
 """Words hidden in long or joined tokens, and kinds of obfuscation at their edges."""
 
+import random
+
 import numpy as np
 
 from linkloom.llm import toxicity as T
@@ -36,3 +38,76 @@ def test_spaced_doubled_and_masked_words():
     assert r.read("all") == ("all",) and r.read("letters") == ("letters",) and r.read("little") == ("little",)
     assert "idiot" in r.read("*diot") and "worthless" in r.read("*worthless*")
     assert any(w.startswith("idio") and len(w) == 5 for w in r.read("idio*"))
+
+
+def readings(token, logp, spaced):
+    """Best reading of a lattice by trying every path."""
+    token = T._LONG_RUN.sub(r"\1\1\1", token.lower())
+    paths = [("", 0.0)]
+    for at in range(len(token)):
+        paths = [(text + letters, cost + c - (2.0 if not letters else 0.0)) for text, cost in paths
+                 for letters, c in T.arcs_of(token, at, spaced)]
+    best = (-np.inf, "")
+    for text, cost in paths:
+        z = [0, 0, *[T._SYMBOL_OF.get(c, 27) for c in text], 0]
+        cost += sum(logp[(a * T.N + b) * T.N + c] for a, b, c in zip(z, z[1:], z[2:]))
+        best = max(best, (round(cost, 9), text))
+    return best
+
+
+def test_viterbi_equals_every_path():
+    r, rng = reader(), random.Random(0)
+    signs = "aeiostupdé1$*.-@!30" + "abcdefghijklmnopqrstuvwxyz"
+    for i in range(300):
+        token = "".join(rng.choice(signs) for _ in range(rng.randint(1, 7)))
+        token += rng.choice(["", token[-1], token[-1] * 2])
+        spaced = i % 3 == 0
+        want = readings(token, r.logp, spaced)
+        got = T.restore(token, r.logp, spaced)
+        z = [0, 0, *[T._SYMBOL_OF.get(c, 27) for c in got], 0]
+        assert got == want[1] or abs(want[0] - readings_of(token, got, r.logp, spaced)) < 1e-6, (token, got, want, z)
+
+
+def readings_of(token, text, logp, spaced):
+    """Score of one reading, the best of its paths."""
+    token = T._LONG_RUN.sub(r"\1\1\1", token.lower())
+    costs = {"": 0.0}
+    for at in range(len(token)):
+        new = {}
+        for t, cost in costs.items():
+            for letters, c in T.arcs_of(token, at, spaced):
+                if text.startswith(t + letters):
+                    new[t + letters] = max(new.get(t + letters, -np.inf), cost + c - (2.0 if not letters else 0.0))
+        costs = new
+    z = [0, 0, *[T._SYMBOL_OF.get(c, 27) for c in text], 0]
+    return costs[text] + sum(logp[(a * T.N + b) * T.N + c] for a, b, c in zip(z, z[1:], z[2:]))
+
+
+def test_doubled_letters_equal_the_lattice():
+    r, rng = reader(), random.Random(1)
+    for _ in range(3000):
+        word = "".join(c * rng.choice([1, 1, 2]) for c in rng.choices("etaoinsrhldcumfpgwybvkxjqzé", k=rng.randint(1, 9)))
+        if not T._RUN.search(word):
+            assert T.undouble(word, r.logp) == T.restore(word, r.logp), word
+
+
+def test_memo_forgets_in_bytes(monkeypatch):
+    monkeypatch.setattr(T, "MEMO_BYTES", 10_000)
+    memo = T.Memo(reader(), lambda words: [(w, 1.0) for w in words])
+    for i in range(100):
+        texts = [f"word{i}-{k} stuupid {'x' * 500}{i}{k}" for k in range(3)]
+        assert all({("stupid", 1.0)} <= found for found in memo.words(texts))
+        assert len(memo.known) < 100
+
+
+def test_features_tell_first_letters_and_lengths_apart():
+    words = ["a", "stup", "stupid", "stupidity", "idiotic", "idiot", "é" * 9, "x" * 40 + "a", "x" * 40 + "b", "stupidity" * 2 + "abcdef"]
+    bins, sizes = T.bins_of_all(words)
+    assert sizes.tolist() == [1, 1, 3, 6, 4, 2, 6, 6, 6, 6]
+    of = {w: set(T.bins_of(w)) for w in words}
+    assert [b for w in words for b in T.bins_of(w)] == bins.tolist()
+    assert of["stupid"] & of["stupidity"] and not of["stup"] & of["idiot"] and of["idiot"] & of["idiotic"]
+    assert of["x" * 40 + "a"] != of["x" * 40 + "b"] and len(of["x" * 40 + "a"] & of["x" * 40 + "b"]) == 5
+    # a word is another feature than the same letters at the start of a longer one
+    assert T.bins_of("stup")[0] != T.bins_of("stupid")[0]
+    assert T.bins_of_all([]) [0].tolist() == []
