@@ -39,6 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import give_back
+
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 #: bytes of words that a task remembers
@@ -139,6 +141,7 @@ def _seeds(k, s):
                          np.r_[mh[single], mh[tell], mh[settled]], np.r_[doc[single], doc[tell], doc[settled]],
                          np.r_[z(single.sum(), 0), z(len(tell), 1), z(settled.sum(), 2)])
         _HASH.forget()  # the worker lives on after its task
+        give_back()
     return run, "route long, mh long, doc_id long, kind long"
 
 
@@ -210,6 +213,7 @@ def _edges(k, s):
                          np.r_[doc[~later], p[0]], np.r_[pos[~later], p[1]], np.r_[np.ones(n, np.int64), p[2]],
                          np.r_[np.full(n, -1), p[3]], np.r_[np.full(n, -1), p[4]])
         _HASH.forget()
+        give_back()
     return run, ", ".join(f"{c} long" for c in _EDGE) + ", open boolean"
 
 

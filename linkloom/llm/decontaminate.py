@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import give_back
+
 _EDGES = string.punctuation + "“”„«»‘’¿¡…–—"
 _PAD = 0  # symbol after the end of a window; 1: word that no item holds
 #: bytes of tokens that a task remembers
@@ -375,6 +377,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, type=pa.float64() if n == 5 else pa.int64()) for n, c in enumerate(cols)],
                         names=["doc_id", "item_id", "start_word", "n_words", "edits", "similarity"])
+            del items, ids
+            give_back()
 
         part = x.mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionByName(part)
@@ -391,10 +395,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
             items = shared.value
             ids = _Ids(items.vocabulary)
             for batch in batches:
-                texts = batch.column(place).to_pylist()
-                bad = {at + d for at in range(0, len(texts), 2000)
-                       for d, _, _, _ in find_items(texts[at:at + 2000], items, ids, substrings)}
-                yield batch.filter(pa.array([i not in bad for i in range(len(texts))], type=pa.bool_()))
+                n, texts = batch.num_rows, batch.column(place)
+                bad = {at + d for at in range(0, n, 2000)
+                       for d, _, _, _ in find_items(texts.slice(at, 2000).to_pylist(), items, ids, substrings)}
+                yield batch.filter(pa.array([i not in bad for i in range(n)], type=pa.bool_()))
+            del items, ids
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

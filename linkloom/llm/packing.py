@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: split of byte-level vocabularies of this kind (fixed value)
@@ -208,6 +210,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
                                                     "sequence_id", "offset", "loss_tokens"])
+        give_back()
 
     prompt = F.coalesce(F.col(prompt_col).cast("long"), F.lit(0)) if prompt_col else F.lit(0).cast("long")
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"),

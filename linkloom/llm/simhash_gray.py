@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import connected_components, stage
+from linkloom.llm.common import connected_components, give_back, stage
 
 _U = np.uint64
 
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3, id_col: str = "doc_
         for b in batches:
             fps = np.array([fingerprint(t, words_in_shingle) for t in b.column(1).to_pylist()], dtype=_U).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], names=["id", "t", "fp"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(F.col(text_col)).alias("t")).mapInArrow(run, "id long, t long, fp long")
