@@ -8,19 +8,18 @@ shifted round by k, gives coordinate k as the least image of the set.
    128-bit digest of the set and ``bands`` hashes of ``rows`` coordinates each.
    Rows of equal sets are one class from here on (one partial aggregate), however
    many copies there are.
-2. Candidates.  Classes with an equal band hash meet.  A class is compared with the
-   least class of each of its bands first, not with all of the others.
-3. Confirmation.  Only classes with a candidate are read again; their sets are
-   written once, and the exact Jaccard similarity is taken on whole sets.
-4. What is left.  A band whose classes are in one component by now holds no link
-   that could change anything.  In the others, classes of different components are
-   compared where they can be similar at all: the similarity to the least class of
-   the band is known, Jaccard distance is a metric, so two similar classes lie in
-   neighbouring slices of distance to it, and their sizes are in neighbouring
-   slices as well.  Those slices are the join key.
-
-With 5 coordinates a band and 40 bands two sets of similarity 0.8 share no band
-with a chance of 1.3e-7 (less for more similar ones); nothing else is lost.
+2. Candidates.  Classes with an equal band hash meet at the least class of the band,
+   their head.  Only classes that meet another are read again; their sets are written
+   once.
+3. Confirmation on whole sets.  The classes that met at a head go to one task, in
+   blocks of bounded size that all hold the head.  The head is compared with all of
+   its block; classes in its component by then are done, the others are compared with
+   all of the block.  Only links that join something leave the task, never pairs.
+4. In groups of more than one block, the classes that are still apart from their
+   head's component are compared with the classes of the other blocks.
+
+With 5 coordinates a band and 32 bands two sets of similarity 0.8 share no band
+with a chance of 3e-6 (less for more similar ones); nothing else is lost.
 
 Defined results: null text and text without words have an empty set, are linked
 with nothing and kept; fewer words than a shingle make one shingle of them all;
@@ -173,67 +172,141 @@ def sets_of(docs: DataFrame, keys: DataFrame, k: int, id_col: str, text_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"),
                         F.octet_length(text_col).alias("tn"), F.col(text_col).alias("text"))
     on = texts["id"].eqNullSafe(keys["id"]) & (texts["th"] == keys["th"]) & (texts["tn"] == keys["tn"])
-    sets = stage(texts.join(keys, on).select("cls", "text").mapInArrow(run, "cls long, s array<long>"), "minhash-sets")
+    # one plan at every size: the texts meet the keys by an exchange, the keys are the hashed side
+    sets = stage(texts.join(keys.hint("shuffle_hash"), on).select("cls", "text").mapInArrow(run, "cls long, s array<long>"), "minhash-sets")
     again = sets.groupBy("cls").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     # rows that repeat both id and text give a class more than one equal set
     return sets if again.isEmpty() else stage(sets.dropDuplicates(["cls"]), "minhash-sets")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb, both (size of the intersection) of the pairs (a, b), on full sets."""
-    left = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select(
-        "a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"),
-        F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
-
-
-def near_duplicates(docs: DataFrame, words_in_shingle: int = 2, percent: int = 80, bands: int = 40, rows: int = 5,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Group:
+    """Sets side by side, as places in the list of their distinct shingles."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        distinct, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(distinct), dtype=bool)
+
+    def similar(self, i: int, percent: int) -> np.ndarray:
+        """Places of the sets that are similar to the i-th, itself included."""
+        mine = self.at[self.start[i]:self.start[i] + self.size[i]]
+        self.mark[mine] = True
+        both = np.add.reduceat(self.mark[self.at].astype(np.int32), self.start)
+        self.mark[mine] = False
+        return np.flatnonzero(both * 100 >= (self.size + self.size[i] - both) * percent)
+
+
+def _sets(column) -> list[np.ndarray]:
+    """Rows of a list column as arrays."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def group_links(classes: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (a, b) of the similar pairs of a group whose first class is compared
+    with all, and after it every class that is not in its component yet."""
+    label = np.arange(len(classes))
+    group = Group(sets)
+    for i in range(len(classes)):
+        if i and label[i] == label[0]:
+            continue
+        joined = np.unique(label[group.similar(i, percent)])
+        label[np.isin(label, joined)] = joined[0]
+    away = label != np.arange(len(label))
+    return classes[away], classes[label[away]]
+
+
+LINKS = "a long, b long"
+
+
+def star_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: links inside blocks of at most about ``block`` of the classes that met at a head
+    (members: head, cls, m = their number); the head is in every block."""
+    parts = F.expr(f"(m + {block - 1}) div {block}")
+    rows = members.select("head", "cls", F.pmod(F.xxhash64("cls"), parts).alias("part")).union(
+        members.select("head", F.col("head").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).distinct())
+
+    def run(t):
+        cls, head = t.column("cls").to_numpy(), t.column("head")[0].as_py()
+        order = np.lexsort((cls, cls != head))
+        every = _sets(t.column("s"))
+        a, b = group_links(cls[order], [every[i] for i in order], percent)
+        return pa.table({"a": a, "b": b})
+
+    return rows.join(sets, "cls").groupBy("head", "part").applyInArrow(run, LINKS)
+
+
+def late_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: links of the classes of large groups that are apart from their head's component
+    with classes of other components of the group (members: head, cls, part, head_part)."""
+    late = members.where("part <> head_part")
+    n_late = late.groupBy("head").agg(F.expr(f"(count(1) + {block - 1}) div {block}").alias("late_parts"))
+    n_all = members.groupBy("head").agg(F.expr(f"(count(1) + {block - 1}) div {block}").alias("all_parts"))
+    numbers = n_late.join(n_all, "head")
+    mine = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    others = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = late.join(numbers, "head").select("head", "cls", "part", mine("late_parts").alias("x"), others("all_parts").alias("y"))
+    right = members.join(numbers, "head").select("head", "cls", "part", others("late_parts").alias("x"), mine("all_parts").alias("y"))
+
+    def run(a, b):
+        empty = np.zeros(0, np.int64)
+        out = [(empty, empty)]
+        if a.num_rows and b.num_rows:
+            n = a.num_rows
+            group = Group([*_sets(a.column("s")), *_sets(b.column("s"))])
+            cls, part = (np.r_[a.column(c).to_numpy(), b.column(c).to_numpy()] for c in ("cls", "part"))
+            for i in range(n):
+                hit = group.similar(i, percent)
+                hit = hit[part[hit] != part[i]]
+                hit = hit[np.unique(part[hit], return_index=True)[1]]  # one link a component
+                out.append((np.full(len(hit), cls[i]), cls[hit]))
+        x, y = (np.concatenate(z) for z in zip(*out))
+        return pa.table({"a": x, "b": y})
+
+    # both sides come from one table: the copy has columns of its own
+    keys, names = ["head", "x", "y"], ["cls", "head", "part", "x", "y", "s"]
+    left, right = (side.join(sets, "cls").select(*names).toDF(*names) for side in (left, right))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, LINKS)
+
+
+def near_duplicates(docs: DataFrame, words_in_shingle: int = 2, percent: int = 80, bands: int = 32, rows: int = 5,
+                    id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
     """id, n (set size), component_id of every row: the smallest id that links reach."""
     docs, k = docs.select(id_col, text_col), words_in_shingle
-    similar = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
     about = stage(describe(docs, k, bands, rows, id_col, text_col), "minhash-rows")
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "tn")).alias("rep")
     classes = stage(about.where("n > 0").groupBy("d1", "d2", "n").agg(
         F.min("row").alias("cls"), rep, F.first("bands").alias("bands")), "minhash-classes")
     banded = classes.select("cls", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = stage(banded.join(heads, "band").where("cls <> head").select(
-        F.col("cls").alias("a"), F.col("head").alias("b")).distinct(), "minhash-stars")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    met = stage(banded.join(heads, "band").where("cls <> head").select("head", "cls").distinct(), "minhash-met")
+    wanted = met.select(F.explode(F.array("head", "cls")).alias("cls")).distinct()
     keys = stage(classes.join(wanted, "cls").select("cls", "rep.id", "rep.th", "rep.tn"), "minhash-keys")
     sets = sets_of(docs, keys, k, id_col, text_col)
-    known = stage(confirm(stars, sets), "minhash-confirmed")
-    parts = stage(connected_components(known.where(similar).select("a", "b"), "a", "b"), "minhash-parts")
-
-    # classes that met at a head (equal bands have one head), with their distance to it
-    whole = known.select(F.col("b").alias("head"), F.col("a").alias("cls"), F.col("na").alias("n"),
-                         (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d")).union(
-        known.select(F.col("b").alias("head"), F.col("b").alias("cls"), F.col("nb").alias("n"), F.lit(0.0).alias("d")).distinct())
-    placed = stage(whole.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "part", F.coalesce("component", "cls")).drop("component"), "minhash-placed")
-    open_ = placed.groupBy("head").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("head")
-    reach = (100 - percent) / 100 * (1 + 1e-9)
-    left = placed.join(open_, "head").where("cls <> head").select(
-        "head", "cls", "part", "n", "d", F.floor(F.col("d") / reach).alias("ds"),
-        F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).alias("ns"))
-    near = F.expr("explode(flatten(transform(sequence(ds - 1, ds + 1), x -> transform(sequence(ns - 1, ns + 1), y -> "
-                  "struct(x AS ds, y AS ns)))))").alias("z")
-    right = left.select("head", F.col("cls").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("d").alias("db"),
-                        near).select("head", "b", "pb", "nb", "db", "z.ds", "z.ns")
-    rest = (left.join(right, ["head", "ds", "ns"]).where("cls < b and part <> pb")
-            .where((F.abs(F.col("d") - F.col("db")) <= reach) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent))
-            .select(F.col("cls").alias("a"), "b", "part", "pb").distinct())
-    rest = stage(rest, "minhash-rest")
-    more = confirm(rest, sets).where(similar).join(rest, ["a", "b"]).select("part", "pb").distinct()
-    joined = connected_components(more, "part", "pb").withColumnRenamed("node", "part").withColumnRenamed("component", "top")
-
-    placed_classes = classes.select("d1", "d2", "n", "cls", "rep.id").join(
+    members = stage(met.join(met.groupBy("head").agg(F.count(F.lit(1)).alias("m")), "head"), "minhash-members")
+    links = stage(star_links(members, sets, percent, block), "minhash-links")
+    parts = stage(connected_components(links, "a", "b"), "minhash-parts")
+
+    # groups of more than one block: classes that are still apart from their head meet all blocks
+    large = members.where(F.col("m") > block)
+    part_of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    whole = large.select("head", "cls").union(large.select("head", F.col("head").alias("cls")).distinct())
+    placed = stage(whole.join(part_of("cls"), "cls", "left").join(part_of("head"), "head", "left").select(
+        "head", "cls", F.coalesce("cls_part", "cls").alias("part"), F.coalesce("head_part", "head").alias("head_part")), "minhash-large")
+    more = stage(late_links(placed, sets, percent, block), "minhash-late")
+    named = parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), parts.select(
+        F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = more.join(named[0], "a", "left").join(named[1], "b", "left").select(
+        F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+    joined = connected_components(between, "u", "v").withColumnRenamed("node", "part").withColumnRenamed("component", "top")
+
+    tops = classes.select("d1", "d2", "n", "cls", "rep.id").join(
         parts.select(F.col("node").alias("cls"), F.col("component").alias("part")), "cls", "left").withColumn(
         "part", F.coalesce("part", "cls")).join(joined, "part", "left").withColumn("top", F.coalesce("top", "part"))
-    placed_classes = stage(placed_classes.select("d1", "d2", "n", "top", "id"), "minhash-tops")
-    names = placed_classes.groupBy("top").agg(F.min("id").alias("component_id"))
-    named = stage(placed_classes.join(names, "top").select("d1", "d2", "n", "component_id"), "minhash-classes-named")
-    return about.join(named, ["d1", "d2", "n"], "left").select(
+    tops = stage(tops.select("d1", "d2", "n", "top", "id"), "minhash-tops")
+    smallest = tops.groupBy("top").agg(F.min("id").alias("component_id"))
+    final = stage(tops.join(smallest, "top").select("d1", "d2", "n", "component_id"), "minhash-named")
+    return about.join(final, ["d1", "d2", "n"], "left").select(
         "id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
