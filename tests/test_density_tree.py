@@ -214,7 +214,7 @@ def test_new_rows_join_the_tree(spark):
     x = [list(v) for v in dict.fromkeys(map(tuple, x))]
     t = HI.DensityTree(table(spark, x), 3, 6, chunk=20, piece_edges=50)
     rng = np.random.default_rng(1)
-    q = (np.array(x)[rng.integers(0, len(x), 60)] + rng.normal(0, 0.8, (60, 3))).tolist() + [[500.0, 0, 0]]
+    q = (np.array(x)[rng.integers(0, len(x), 60)] + rng.normal(0, 0.8, (60, 3))).tolist() + [[500.0, 0.0, 0.0]]
     rows = table(spark, [*q, None, [1.0], [float("nan")] * 3], range(1000, 1064))
     got = {r["id"]: (r["cluster_id"], r["probability"]) for r in t.predict(rows).collect()}
     assert len(got) == 64 and got[1061] == got[1062] == got[1063] == got[1060][:1] + (0.0,) == (-1, 0.0)
