@@ -243,3 +243,42 @@ def test_rows_that_take_no_part(spark):
     assert empty.rows.count() == 0 and M.neighbours(M.Index(df.limit(0)), 2).count() == 0
     same = HI.DensityTree(spark.createDataFrame([(i, [1.0, 1.0]) for i in range(8)], SCHEMA), 2, 5)
     assert {r["cluster_id"] for r in same.rows.collect()} == {-1}
+
+
+def test_vectors_travel_once_to_a_block(spark, monkeypatch):
+    """Vectors without structure visit nearly all chunks; a block holds several of them."""
+    monkeypatch.setattr(M, "VISITORS", 100)
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (900, 24)).round(3)
+    index = M.Index(table(spark, x.tolist()), chunk=8)
+    assert index.chunks.count() > 60 and index.wide > 2
+    sent = []
+    real = M.written_table
+    monkeypatch.setattr(M, "written_table", lambda df, name: (sent.append((name, real(df, name))), sent[-1][1])[1])
+    got = {}
+    for r in M.neighbours(index, 3).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["other"]))
+    d = distances(x)
+    for i in range(900):
+        want = sorted((d[i, j], j) for j in range(900) if j != i)[:3]
+        assert [o for _, o in sorted(got[i])] == [j for _, j in want]
+    visits = [v for name, v in sent if name == "metric-visits"]
+    assert visits and all("v" not in v.columns for v in visits)
+    blocks = index.chunks.select("block").distinct().count()
+    assert blocks <= 2 * M.BLOCKS and visits[-1].count() <= 900 * blocks
+
+
+def test_links_of_a_block_join_the_same_rows():
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    i, j = rng.integers(0, 300, 260), rng.integers(0, 300, 260)
+    apart = i != j
+
+    def parts(pairs):
+        comp = {k: k for k in range(300)}
+        for a, b in pairs:
+            lo, hi = sorted((comp[a], comp[b]))
+            comp = {k: lo if c == hi else c for k, c in comp.items()}
+        return comp
+    few = M.spanning_links(pa.table({"i": i[apart], "j": j[apart]}))
+    assert few.num_rows < 300 and parts(zip(few["i"].to_pylist(), few["j"].to_pylist())) == parts(zip(i, j))
