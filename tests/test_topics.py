@@ -58,3 +58,21 @@ def test_density_topics_have_outliers_and_merge(spark):
     assert kept[out[0]]["topic_id"] == -1 and kept[out[0]]["topic_keywords"] == [] and kept[0]["topic_keywords"]
     with pytest.raises(ValueError):
         TP.topics(df, "pos", "text", 2, algorithm="other")
+
+
+def test_texts_are_encoded_once(spark, monkeypatch):
+    """The fit, the confidence and the result of k-means topics read kept vectors; the caller reads written rows."""
+    from linkloom.operators import vectors as V
+    made, seen = V.encode, []
+
+    def counted(df, *a):
+        out = made(df, *a)
+        counter = spark.sparkContext.accumulator(0)
+        seen.append(counter)
+        return out.rdd.map(lambda r: (counter.add(1), r)[1]).toDF(out.schema)
+
+    monkeypatch.setattr(V, "encode", counted)
+    df = spark.createDataFrame([(i, f"word{i % 3} bread{i % 3} tune{i % 3} odd{i}") for i in range(60)], "pos long, text string").repartition(3)
+    assign, words = TP.topics(df, "pos", "text", 3)
+    assert assign.count() == 60 and assign.select("topic_id").distinct().count() == 3 and words.count() > 0
+    assert [c.value for c in seen] == [60]
