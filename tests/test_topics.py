@@ -76,3 +76,14 @@ def test_texts_are_encoded_once(spark, monkeypatch):
     assign, words = TP.topics(df, "pos", "text", 3)
     assert assign.count() == 60 and assign.select("topic_id").distinct().count() == 3 and words.count() > 0
     assert [c.value for c in seen] == [60]
+
+
+def test_features_are_hashed_once(spark):
+    from linkloom.operators import vectors as V
+    df = spark.createDataFrame([(1, "Bread and bread oven"), (2, None), (3, ""), (4, "odd words, odd Words"), (4, "more")], "pos long, text string")
+    enc = V.encode(df, "pos", "text", 16, "vec")
+    assert enc._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    got = {(r["pos"], r["text"]): r["vec"] for r in enc.collect()}
+    for key in ((1, "Bread and bread oven"), (2, None), (3, "")):
+        assert np.allclose(got[key], V.py_encode(key[1], 16))
+    assert got[4, "more"] == got[4, "odd words, odd Words"] and abs(np.linalg.norm(got[4, "more"]) - 1) < 1e-12
