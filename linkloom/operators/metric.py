@@ -37,7 +37,7 @@ MAX_PIVOTS = 1024
 #: classes of a chunk, and visitors that meet it in one task (blocks of many chunks: in proportion)
 CHUNK, VISITORS = 1024, 4096
 #: blocks of an index while they are small, bytes and chunks of a block at most
-BLOCKS, BLOCK_BYTES, BLOCK_CHUNKS = 16, 32 << 20, 60
+BLOCKS, BLOCK_BYTES, BLOCK_CHUNKS = 8, 32 << 20, 60
 #: rows of an Arrow batch that meet all pivots at once
 SLICE = 1024
 
@@ -230,18 +230,21 @@ def first_rows(by: str, order: tuple, k: int = 1):
 def spanning_links(t):
     """Fold of ``meet``: links i, j that join the same rows, at most one a row."""
     ids, ends = np.unique(np.r_[_numbers(t.column("i")), _numbers(t.column("j"))], return_inverse=True)
-    i, j = np.split(ends, 2)
-    label = np.arange(len(ids))
+    label = _joined(np.arange(len(ids)), *np.split(ends, 2))
+    apart = label != np.arange(len(ids))
+    return pa.table({"i": ids[apart], "j": ids[label[apart]]})
+
+
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (places of the first of their kind) after rows i and j are joined."""
     while True:
         low, new = np.minimum(label[i], label[j]), label.copy()
         np.minimum.at(new, label[i], low)
         np.minimum.at(new, label[j], low)
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    apart = label != np.arange(len(ids))
-    return pa.table({"i": ids[apart], "j": ids[label[apart]]})
 
 
 def _nearest(k: int, d: int, slack: float, own: bool, bound: bool):
@@ -334,22 +337,18 @@ def linked(index: Index, rows: DataFrame, eps: float) -> DataFrame:
     def task(a, b):
         q, c = _numbers(a.column("q")), _numbers(b.column("cls"))
         x, y = matrix(a.column("v"), d), matrix(b.column("v"), d)
-        near = np.zeros((len(q), len(c)), dtype=bool)
+        # visitors first, then the chunk's rows; pairs in reach are joined and forgotten, 512 visitors at a time
+        ids = np.r_[q, c]
+        label = np.arange(len(ids))
         for at in range(0, len(q), 512):
             dist = about(x[at:at + 512], y)
-            near[at:at + 512] = dist <= eps - 2 * slack
-            i, j = np.nonzero(np.abs(dist - eps) <= 2 * slack)
-            near[at + i, j] = exact(x[at + i], y[j]) <= eps
-        # smallest label in reach, back and forth until nothing changes
-        left, right = q.copy(), c.copy()
-        top = np.iinfo(np.int64).max
-        while True:
-            new_right = np.minimum(right, np.where(near, left[:, None], top).min(axis=0))
-            new_left = np.minimum(left, np.where(near, new_right[None, :], top).min(axis=1))
-            if (new_left == left).all() and (new_right == right).all():
-                break
-            left, right = new_left, new_right
-        i, j = np.r_[q, c], np.r_[left, right]
+            i, j = np.nonzero(dist <= eps + 2 * slack)
+            unsure = dist[i, j] > eps - 2 * slack
+            i, j = i + at, j + len(q)
+            near = ~unsure
+            near[unsure] = exact(x[i[unsure]], y[j[unsure] - len(q)]) <= eps
+            label = _joined(label, i[near], j[near])
+        i, j = ids, ids[label]
         return pa.table({"i": i[i != j], "j": j[i != j]})
 
     home = index.classes.join(rows.select("cls"), "cls", "left_semi").select("chunk", "cls", "v")

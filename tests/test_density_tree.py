@@ -282,3 +282,25 @@ def test_links_of_a_block_join_the_same_rows():
         return comp
     few = M.spanning_links(pa.table({"i": i[apart], "j": j[apart]}))
     assert few.num_rows < 300 and parts(zip(few["i"].to_pylist(), few["j"].to_pylist())) == parts(zip(i, j))
+
+
+def test_an_index_of_many_chunks_has_few_blocks_and_links_the_same_rows(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(0, 0.05, (300, 4)), rng.normal(2, 0.4, (300, 4))]).round(4)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    index = M.Index(df, chunk=6)
+    assert index.chunks.count() >= 100
+    # each row travels to every block at most
+    assert index.chunks.select("block").distinct().count() <= 10
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    for eps in (0.02, 0.3):
+        label = np.arange(len(v))
+        while True:
+            new = np.where(d <= eps, label[None, :], len(v)).min(axis=1)
+            if (new == label).all():
+                break
+            label = new
+        links = M.linked(index, index.classes.select("cls"), eps).collect()
+        assert all(label[r["i"]] == label[r["j"]] for r in links)
+        i, j = np.array([(r["i"], r["j"]) for r in links], dtype=np.int64).reshape(-1, 2).T
+        assert (M._joined(np.arange(len(v)), i, j) == label).all()
