@@ -40,7 +40,7 @@ from linkloom.llm.common import give_back, stage
 N = 28  # symbols: 0 break, 1-26 a-z, 27 other letter
 BINS = 1 << 19
 #: bytes of tokens and readings that a task remembers
-MEMO_BYTES = 40 << 20
+MEMO_BYTES = 80 << 20
 #: rows of a batch that are held as Python objects at once
 ROWS = 512
 
@@ -55,6 +55,8 @@ _REPEATS = re.compile(r"(?i)([^\W\d_])\1")
 _ALONE = re.compile(rb"\x01{3,}")
 _RUN = re.compile(r"(?i)([^\W\d_])\1\1")
 _SIGNS = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+(<#%*]|[\d@$!|+(<#%*][^\W\d_]")
+#: tokens, one a line, that show signs or a letter twice in a row
+_ODD = re.compile(rf"(?im)^.*?(?:([^\W\d_])\1|{_SIGNS.pattern}).*$")
 _EDGES = "\"'.,;:!?()[]{}<>“”„«»¿¡…"
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -125,10 +127,21 @@ def restore(token: str, logp: list[float], spaced: bool = False) -> str:
 
     logp: flat list of log p(c | a b) at (a * 28 + b) * 28 + c.  Runs of a letter
     are cut to three first; time and memory are linear in the length."""
-    best = {0: (0.0, None)}  # 28 * symbol before last + last -> (score, letters as (letters before, letters))
     token = _LONG_RUN.sub(r"\1\1\1", token.lower())
     of = _SYMBOL_OF.get
-    for at, ch in enumerate(token):
+    # the plain letters in front are one path
+    start, state, s, text = 0, 0, 0.0, None
+    if not spaced:
+        for ch in token:
+            if not ch.isalpha() or ch == token[start - 1:start]:
+                break
+            at_z = state * N + of(ch, 27)
+            s += logp[at_z]
+            state, text = at_z % (N * N), (text, ch)
+            start += 1
+    best = {state: (s, text)}  # 28 * symbol before last + last -> (score, letters as (letters before, letters))
+    for at in range(start, len(token)):
+        ch = token[at]
         nxt: dict = {}
         if not spaced and ch.isalpha() and ch != token[at - 1:at]:
             # the one arc of a plain letter
@@ -259,13 +272,20 @@ class Memo:
         if self.held > MEMO_BYTES:
             self.known.clear()
             self.held = 0
-        new = list(tokens.difference(self.known))
+        new = tokens.difference(self.known)
+        # most tokens show nothing to restore: these are words as they are (Reader.read)
+        odd = {m.group() for m in _ODD.finditer("\n".join(new))}
+        plain = list(new.difference(odd))
+        new = list(odd)
         read = list(map(self.reader.read, new))
-        entries = iter(self.entries(list(itertools.chain.from_iterable(read))))
+        bare = [t.strip(_EDGES).lower() for t in plain]
+        every = self.entries([*filter(None, bare), *itertools.chain.from_iterable(read)])
+        entries = iter(every)
+        # most words have no entry
+        self.known.update([(t, () if not w or (e := next(entries)) is None else (e,)) for t, w in zip(plain, bare)])
         for t, words in zip(new, read):
-            # most words have no entry
-            got = self.known[t] = tuple([e for e in itertools.islice(entries, len(words)) if e is not None])
-            self.held += 2 * len(t) + 150 + 250 * len(got)
+            self.known[t] = tuple([e for e in itertools.islice(entries, len(words)) if e is not None])
+        self.held += 2 * (sum(map(len, plain)) + sum(map(len, new))) + 150 * (len(plain) + len(new)) + 250 * sum(e is not None for e in every)
 
     def words(self, texts: list):
         """The entries of the restored words of each text, one text after the other."""

@@ -111,3 +111,19 @@ def test_features_tell_first_letters_and_lengths_apart():
     # a word is another feature than the same letters at the start of a longer one
     assert T.bins_of("stup")[0] != T.bins_of("stupid")[0]
     assert T.bins_of_all([]) [0].tolist() == []
+
+
+def test_tokens_with_nothing_to_restore_are_words_without_being_read(monkeypatch):
+    reader = T.Reader(T.log_model(np.random.default_rng(0).poisson(3, T.N ** 3).astype(float)))
+    asked = []
+    read = T.Reader.read
+    monkeypatch.setattr(T.Reader, "read", lambda self, t: asked.append(t) or read(self, t))
+    signs = random.Random(3)
+    alphabet = "abcde fgéßİǅ ABC aa bb 01$@*!.,'-_\"(«»¿ñ \x1c\x85ʰ…²"
+    plain = {"river", "River,", "\"stone.", "1984", "…", "été."}
+    odd = {"st*pid", "$tupid", "stuupid", "l8r"}
+    tokens = plain | odd | set("".join(signs.choice(alphabet) for _ in range(4000)).split())
+    memo = T.Memo(reader, lambda words: [w if len(w) % 3 else None for w in words])
+    memo.learn(tokens)
+    assert not plain & set(asked) and odd <= set(asked)
+    assert memo.known == {t: tuple(w for w in read(reader, t) if len(w) % 3) for t in tokens}
