@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from linkloom.operators import html as H
@@ -55,3 +56,24 @@ def test_elements_leave_a_batch_in_bounded_frames(spark, monkeypatch):
     whole = pd.concat(frames)
     assert max(map(len, frames)) <= 50 and len(whole) >= 600
     assert set(whole["page_id"]) == {1, 3} and not whole.duplicated(["page_id", "seq"]).any()
+
+
+def test_hashed_candidates_of_a_worker_are_hashed_once(monkeypatch):
+    import hashlib
+    from linkloom.operators import vectors as V
+    made = []
+    monkeypatch.setattr(K, "md5", lambda x: made.append(x) or hashlib.md5(x))
+    monkeypatch.setattr(K, "_hashes", {})
+    grams = ["alpha", "beta", "alpha beta", "beta alpha", "alpha alpha", "alpha beta gamma", "é ß", "x" * 80]
+    for dim in (7, 384):
+        row, at, v = K._gram_vectors(grams, dim)
+        for i, g in enumerate(grams):
+            dense = np.zeros(dim)
+            dense[at[row == i]] = v[row == i]
+            norm = np.linalg.norm(dense)
+            assert np.allclose(dense / (norm or 1.0), V.py_encode(g, dim))
+    # a long feature is not kept
+    assert len(made) == len(set(made)) + 1
+    monkeypatch.setattr(K, "KNOWN_HASHES", 3)
+    monkeypatch.setattr(K, "_hashes", {})
+    assert K._codes(grams) == K._codes(grams) and len(K._hashes) <= 4
