@@ -26,6 +26,8 @@ held_out false; extra columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import itertools
 import re
 
@@ -146,6 +148,11 @@ def restore(token: str, logp: list[float], spaced: bool = False) -> str:
         if not spaced and ch.isalpha() and ch != token[at - 1:at]:
             # the one arc of a plain letter
             z = of(ch, 27)
+            if len(best) == 1:
+                (state, (s, text)), = best.items()
+                at_z = state * N + z
+                best = {at_z % (N * N): (s + logp[at_z], (text, ch))}
+                continue
             for state, (s, text) in best.items():
                 at_z = state * N + z
                 s += logp[at_z]
@@ -259,6 +266,18 @@ class Reader:
         return out
 
 
+@contextlib.contextmanager
+def _no_cycles():
+    """Reading makes many small tuples and no circles of them: nothing for the cycle collector to find."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Memo:
     """Token -> entries of its restored words; forgets all when MEMO_BYTES are held.
 
@@ -369,8 +388,9 @@ class Scorer:
         return [evidence([x for _, x in found]) for found in self.memo.words(texts)]
 
     def batch_inputs(self, column) -> np.ndarray:
-        return np.array([x for at in range(0, len(column), ROWS) for x in self.score_inputs(column.slice(at, ROWS).to_pylist())]
-                        ).reshape(-1, 4)
+        with _no_cycles():
+            return np.array([x for at in range(0, len(column), ROWS) for x in self.score_inputs(column.slice(at, ROWS).to_pylist())]
+                            ).reshape(-1, 4)
 
     def left_out_inputs(self, bins: np.ndarray, sizes: np.ndarray, own: int) -> list[float]:
         """Inputs of a text, given as bins of its words, whose label the counts hold: its own share is taken off."""
@@ -422,7 +442,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 40_000, id_col: s
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                bins = [sorted(x[1] for x in found) for found in memo.words(part.column(0).to_pylist())]
+                with _no_cycles():
+                    bins = [sorted(x[1] for x in found) for found in memo.words(part.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(1), pa.array([np.frombuffer(b"".join(x), np.int32) for x in bins], pa.list_(pa.int32())),
                      pa.array([[len(y) // 4 for y in x] for x in bins], pa.list_(pa.int32()))], names=["y", "bins", "sizes"])

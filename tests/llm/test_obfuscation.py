@@ -127,3 +127,26 @@ def test_tokens_with_nothing_to_restore_are_words_without_being_read(monkeypatch
     memo.learn(tokens)
     assert not plain & set(asked) and odd <= set(asked)
     assert memo.known == {t: tuple(w for w in read(reader, t) if len(w) % 3) for t in tokens}
+
+
+def test_reading_a_batch_leaves_the_collector_as_it_was():
+    import gc
+
+    import pyarrow as pa
+    seen = []
+
+    class Watched(T.Scorer):
+        def score_inputs(self, texts):
+            seen.append(gc.isenabled())
+            return super().score_inputs(texts)
+
+    zero = np.zeros(T.BINS, np.int32)
+    scorer = Watched(T.log_model(np.zeros(T.N ** 3)), zero, zero, 1, 1)
+    for on in (True, False):
+        (gc.enable if on else gc.disable)()
+        try:
+            assert scorer.batch_inputs(pa.array(["some st*pid words", None])).shape == (2, 4)
+            assert gc.isenabled() == on
+        finally:
+            gc.enable()
+    assert seen == [False, False]
