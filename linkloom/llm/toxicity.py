@@ -30,9 +30,11 @@ import contextlib
 import gc
 import itertools
 import re
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +45,12 @@ N = 28  # symbols: 0 break, 1-26 a-z, 27 other letter
 BINS = 1 << 19
 #: bytes of tokens and readings that a task remembers
 MEMO_BYTES = 80 << 20
+#: pieces of tokens that a reader remembers, and their most signs
+PIECES, PIECE = 30_000, 16
 #: rows of a batch that are held as Python objects at once
 ROWS = 512
+#: characters of texts, after which no other text is scored side by side
+CHARS = 2 << 20
 
 # fixed values: letters that a sign may stand for
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a",
@@ -56,9 +62,19 @@ _LONG_RUN = re.compile(r"([^\W\d_])\1{3,}")
 _REPEATS = re.compile(r"(?i)([^\W\d_])\1")
 _ALONE = re.compile(rb"\x01{3,}")
 _RUN = re.compile(r"(?i)([^\W\d_])\1\1")
+_TWICE = re.compile(r"(.)\1", re.S)
+#: two or more lower-case letters, none the same as the sign before it; letters beyond these are read with the signs
+_PLAIN = re.compile(r"(?:([a-zß-öø-ÿ])(?<!\1\1)){2,}")
 _SIGNS = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+(<#%*]|[\d@$!|+(<#%*][^\W\d_]")
 #: tokens, one a line, that show signs or a letter twice in a row
 _ODD = re.compile(rf"(?im)^.*?(?:([^\W\d_])\1|{_SIGNS.pattern}).*$")
+#: all but few of the tokens that _ODD does not find, told apart by Arrow: others are ASCII signs and letters of Latin-1
+_LATIN = "a-zA-ZÀ-ÖØ-öø-ÿ"
+_MAYBE = "|".join([rf"[^!-~¡¿«»{_LATIN}]", *(f"{c}{c}" for c in "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"),
+                   rf"[{_LATIN}][^{_LATIN}0-9_]+[{_LATIN}]|[{_LATIN}][\d_@$!|+(<#%*]|[\d@$!|+(<#%*][{_LATIN}]"])
+#: three single signs in a row, between what ``str.split`` takes for white space
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_THREE = rf"(?:\A|[{_WHITE}])[^{_WHITE}](?:[{_WHITE}]+[^{_WHITE}]){{2}}(?:[{_WHITE}]|\z)"
 _EDGES = "\"'.,;:!?()[]{}<>“”„«»¿¡…"
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -70,15 +86,26 @@ _SYMBOL[128:] = 27
 _SYMBOL_OF = {chr(c): int(_SYMBOL[c]) for c in range(128)}
 
 
+def trigrams_of(texts: list) -> np.ndarray:
+    """Counts of symbol trigrams of texts, each with a break before and after it."""
+    framed = [("\n" + (t or "") + "\n").encode() for t in texts]
+    s = _SYMBOL[np.frombuffer(b"".join(framed), dtype=np.uint8)].astype(np.uint16)
+    if len(s) < 3:
+        return np.zeros(N ** 3, dtype=np.int64)
+    g = s[:-2] * np.uint16(N * N) + s[1:-1] * np.uint16(N) + s[2:]
+    # none runs from one text into the next
+    ends = np.cumsum([len(t) for t in framed])[:-1]
+    g[ends - 1] = g[ends - 2] = N ** 3
+    return np.bincount(g, minlength=N ** 3 + 1)[:N ** 3]
+
+
 def char_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of symbol trigrams over all texts, added up on the executors."""
     def run(batches):
         total = np.zeros(N ** 3, dtype=np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = _SYMBOL[np.frombuffer(("\n" + (t or "") + "\n").encode(), dtype=np.uint8)]
-                if len(s) > 2:
-                    total += np.bincount(s[:-2] * N * N + s[1:-1] * N + s[2:], minlength=N ** 3)
+            for at in range(0, b.num_rows, ROWS):
+                total += trigrams_of(b.column(0).slice(at, ROWS).to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["g", "n"])
 
@@ -124,16 +151,54 @@ def arcs_of(token: str, at: int, spaced: bool) -> list[tuple[str, float]]:
     return arcs
 
 
-def restore(token: str, logp: list[float], spaced: bool = False) -> str:
+def restore(token: str, logp: list[float], spaced: bool = False, known: dict | None = None) -> str:
     """Most likely reading of a token's lattice (lower case; may hold word breaks).
 
     logp: flat list of log p(c | a b) at (a * 28 + b) * 28 + c.  Runs of a letter
-    are cut to three first; time and memory are linear in the length."""
+    are cut to three first; time and memory are linear in the length.
+
+    Neither the model nor the arcs of a sign look further than two signs, so what
+    stands between runs of two or more plain letters is read by itself, with two letters
+    of either run.  known: readings of such pieces, kept from token to token."""
     token = _LONG_RUN.sub(r"\1\1\1", token.lower())
+    if spaced:
+        return _reading(token, logp, True, False, False)
+    if known is None:
+        known = {}
+    elif len(known) > PIECES:
+        known.clear()
+    out, at = [], 0
+    for m in _PLAIN.finditer(token):
+        start = m.start()
+        if start > at:
+            out.append(_piece(token[max(0, at - 2):start + 2], logp, at > 0, True, known))
+        at = m.end()
+        out.append(token[start:at])
+    if at < len(token):
+        out.append(_piece(token[max(0, at - 2):], logp, at > 0, False, known))
+    return "".join(out)
+
+
+def _piece(piece: str, logp: list[float], after: bool, before: bool, known: dict) -> str:
+    key = (piece, after, before)
+    got = known.get(key)
+    if got is None:
+        got = _reading(piece, logp, False, after, before)
+        if len(piece) <= PIECE:
+            known[key] = got
+    return got
+
+
+def _reading(token: str, logp: list[float], spaced: bool, after: bool, before: bool) -> str:
+    """The best path through a token or a piece of one.
+
+    after, before: its first, last two signs are plain letters of the runs beside it, and no part of the reading."""
     of = _SYMBOL_OF.get
-    # the plain letters in front are one path
     start, state, s, text = 0, 0, 0.0, None
-    if not spaced:
+    if after:
+        start, state = 2, of(token[0], 27) * N + of(token[1], 27)
+    elif not spaced:
+        # the plain letters in front are one path
         for ch in token:
             if not ch.isalpha() or ch == token[start - 1:start]:
                 break
@@ -188,9 +253,10 @@ def restore(token: str, logp: list[float], spaced: bool = False) -> str:
                 if state not in nxt or nxt[state][0] < s:
                     nxt[state] = (s, (text, letters))
         best = nxt
-    ends = [(s + logp[state * N], t) for state, (s, t) in best.items()]
+    ends = [(s if before else s + logp[state * N], t) for state, (s, t) in best.items()]
     top = max(s for s, _ in ends)
-    return max(_letters(t) for s, t in ends if s == top)
+    letters = max(_letters(t) for s, t in ends if s == top)
+    return letters[:-2] if before else letters
 
 
 def undouble(word: str, logp: list[float]) -> str:
@@ -200,19 +266,20 @@ def undouble(word: str, logp: list[float]) -> str:
     looks back two symbols, and a letter that stays is the same letter, each pair is
     decided by the symbol before it and the one after it alone."""
     word = word.lower()
-    marks = [_SYMBOL_OF.get(c, 27) for c in word]
-    marks.append(0)
-    out, gone = [], False
-    for at, ch in enumerate(word):
+    of, out, done = _SYMBOL_OF.get, [], 0
+    for m in _TWICE.finditer(word):
         # a pair's letters may differ where their symbols do not (letters beyond a-z)
-        if at and ch == word[at - 1] and not gone:
-            x, c, z = marks[at - 2] if at > 1 else 0, marks[at], marks[at + 1]
-            both = logp[(x * N + c) * N + c] + logp[(c * N + c) * N + z]
-            if logp[(x * N + c) * N + z] - 6.0 > both:
-                gone = True
-                continue
-        gone = False
-        out.append(ch)
+        at, end = m.span()
+        x = of(word[at - 1], 27) if at else 0
+        c = of(word[at], 27)
+        z = of(word[end], 27) if end < len(word) else 0
+        both = logp[(x * N + c) * N + c] + logp[(c * N + c) * N + z]
+        if logp[(x * N + c) * N + z] - 6.0 > both:
+            out.append(word[done:at + 1])
+            done = end
+    if not done:
+        return word
+    out.append(word[done:])
     return "".join(out)
 
 
@@ -234,12 +301,13 @@ class Reader:
 
     def __init__(self, logp: np.ndarray):
         self.logp = np.asarray(logp).ravel().tolist()
+        self.pieces: dict = {}
 
     def best(self, token: str) -> list[str]:
         """Words of the best reading of one spelling."""
         if token.isalpha() and not _RUN.search(token):
             return [undouble(token, self.logp)]
-        return restore(token, self.logp).split()
+        return restore(token, self.logp, known=self.pieces).split()
 
     def read(self, token: str) -> tuple[str, ...]:
         bare = token.strip(_EDGES)
@@ -247,8 +315,6 @@ class Reader:
             return ()
         signs = (not bare.isalpha() or bare != token) and _SIGNS.search(token)
         if not signs and bare.isalpha():
-            if not _REPEATS.search(bare):
-                return (bare.lower(),)
             if not _RUN.search(bare):
                 return (undouble(bare, self.logp),)
         if signs or _REPEATS.search(bare):
@@ -266,6 +332,19 @@ class Reader:
         return out
 
 
+def _strings(tokens: pa.Array) -> list[str]:
+    """Python strings of tokens; one string that is split is much faster than one for each."""
+    if len(tokens) < 2:
+        return tokens.to_pylist()
+    line = pc.binary_join(pa.ListArray.from_arrays([0, len(tokens)], tokens), pa.scalar("\n", tokens.type))
+    return line[0].as_py().split("\n")
+
+
+def singles(texts: pa.Array) -> list[bool]:
+    """Whether a text holds three single signs in a row, for ``Reader.spaced``."""
+    return pc.match_substring_regex(texts, _THREE).to_pylist()
+
+
 @contextlib.contextmanager
 def _no_cycles():
     """Reading makes many small tuples and no circles of them: nothing for the cycle collector to find."""
@@ -293,11 +372,13 @@ class Memo:
             self.held = 0
         new = tokens.difference(self.known)
         # most tokens show nothing to restore: these are words as they are (Reader.read)
-        odd = {m.group() for m in _ODD.finditer("\n".join(new))}
-        plain = list(new.difference(odd))
+        new = list(new)
+        maybe = pc.match_substring_regex(pa.array(new, pa.large_string()), _MAYBE, ignore_case=True).to_numpy(zero_copy_only=False)
+        odd = {m.group() for m in _ODD.finditer("\n".join(itertools.compress(new, maybe)))}
+        plain = [t for t in new if t not in odd]
         new = list(odd)
         read = list(map(self.reader.read, new))
-        bare = [t.strip(_EDGES).lower() for t in plain]
+        bare = "\n".join([t.strip(_EDGES) for t in plain]).lower().split("\n") if plain else []
         every = self.entries([*filter(None, bare), *itertools.chain.from_iterable(read)])
         entries = iter(every)
         # most words have no entry
@@ -309,17 +390,20 @@ class Memo:
     def words(self, texts: list):
         """The entries of the restored words of each text, one text after the other."""
         for at in range(0, len(texts), 64):
-            split = [(t or "").split() for t in texts[at:at + 64]]
-            every = list(map(set, split))
-            self.learn(set().union(*every))
-            for tokens, kinds in zip(split, every):
-                found: set = set()
-                found.update(*filter(None, map(self.known.__getitem__, kinds)))
-                spaced = self.reader.spaced(tokens)
-                if spaced:
-                    found.update(e for e in self.entries(list(spaced)) if e is not None)
+            part = [t or "" for t in texts[at:at + 64]]
+            split = list(map(str.split, part))
+            self.learn(set().union(*split))
+            for tokens, alone in zip(split, singles(pa.array(part, pa.large_string()))):
+                found = set(itertools.chain.from_iterable(filter(None, map(self.known.__getitem__, tokens))))
+                if alone:
+                    found.update(self.spaced(tokens))
                 yield found
 
+    def spaced(self, tokens: list):
+        """The entries of words of single signs set apart."""
+        words = self.reader.spaced(tokens)
+        return [e for e in self.entries(list(words)) if e is not None] if words else []
+
 
 PREFIXES = (4, 5, 6, 7, 8)
 TOP = 8
@@ -339,17 +423,23 @@ def bins_of_all(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = np.fromiter(map(len, words), dtype=np.int64, count=n)
-    width = int(min(_SIDE, size.max(initial=1)))
-    letters = np.array(words, dtype=f"U{max(width, 1)}").view(np.uint32).reshape(n, -1).astype(np.uint64)
+    # longest first: the words that have a letter at a place are the first ones
+    order = np.argsort(-size, kind="stable")
+    width = int(min(_SIDE, max(size[order[0]], 1)))
+    letters = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(n, -1)[order]
+    letters = np.ascontiguousarray(letters.T)
+    having = np.searchsorted(-size[order], -np.arange(width + 1), side="left")  # words of more letters than that
     out = np.full((n, len(PREFIXES) + 1), -1, dtype=np.int64)
-    h, whole = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for k in range(letters.shape[1]):
-        h = (h ^ letters[:, k]) * _MIX
-        h ^= h >> np.uint64(31)
-        whole = np.where(size == k + 1, h, whole)
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        m, longer = having[k], having[k + 1]
+        g = (h[:m] ^ letters[k, :m]) * _MIX
+        h[:m] = g ^ (g >> np.uint64(31))
         if k + 1 in PREFIXES:
-            out[:, k + 1 - PREFIXES[0]] = np.where(size > k + 1, _bin(h + np.uint64(k + 1)), -1)
-    for i in np.flatnonzero(size > _SIDE):
+            out[order[:longer], k + 1 - PREFIXES[0]] = _bin(h[:longer] + np.uint64(k + 1))
+    whole = np.zeros(n, np.uint64)
+    whole[order] = h
+    for i in order[:having[width]] if width == _SIDE else ():
         whole[i] = xxhash.xxh64_intdigest(words[i])
     out[:, -1] = _bin(whole)
     used = out >= 0
@@ -366,6 +456,16 @@ def evidence(weights) -> list[float]:
     return [*top[:3], sum(top[3:]) / (TOP - 3)]
 
 
+def strongest(pairs) -> list[float]:
+    """``evidence`` of (word, weight) pairs by falling weight; a word, with its weight, may come several times."""
+    top: dict = {}
+    for pair in pairs:
+        top[pair] = pair[1]
+        if len(top) == TOP:
+            break
+    return evidence(top.values())
+
+
 class Scorer:
     """Weights of words by document counts (toxic, clean) of their features."""
 
@@ -385,7 +485,44 @@ class Scorer:
         return [(w, x) if x > 0 else None for w, x in zip(words, top)]
 
     def score_inputs(self, texts: list) -> list[list[float]]:
-        return [evidence([x for _, x in found]) for found in self.memo.words(texts)]
+        out: list = []
+        part, held = [], 0
+        for t in texts:
+            part.append(t or "")
+            held += len(part[-1])
+            if held > CHARS:
+                out += self._inputs(part)
+                part, held = [], 0
+        return out + self._inputs(part) if part else out
+
+    def _inputs(self, texts: list) -> list[list[float]]:
+        column = pa.array(texts, pa.large_string())
+        split = pc.utf8_split_whitespace(column)  # as str.split, but for empty tokens at a text's ends
+        tokens = split.flatten().dictionary_encode()
+        kinds = _strings(tokens.dictionary)
+        self.memo.learn(set(kinds))
+        known = list(map(self.memo.known.__getitem__, kinds))
+        pairs = list(itertools.chain.from_iterable(known))
+        n = len(pairs)
+        size = np.fromiter(map(len, known), np.int64, len(known))
+        by_weight = np.argsort(-np.fromiter(map(itemgetter(1), pairs), np.float64, n), kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[by_weight] = np.arange(n)
+        # each text's pairs by falling weight: the pairs of a token stand side by side
+        token = tokens.indices.to_numpy()
+        of = size[token]
+        first = (np.cumsum(size) - size)[token] - (np.cumsum(of) - of)
+        text = np.repeat(np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy()), of)
+        key = np.sort(text * n + rank[np.repeat(first, of) + np.arange(len(text))])
+        key = key[np.diff(key, prepend=-1) > 0]
+        bounds = np.searchsorted(key, np.arange(len(texts) + 1) * n)
+        out = []
+        for i, alone in enumerate(singles(column)):
+            found = (pairs[j] for j in by_weight[key[bounds[i]:bounds[i + 1]] - i * n])
+            if alone:
+                found = sorted([*found, *self.memo.spaced(texts[i].split())], key=itemgetter(1), reverse=True)
+            out.append(strongest(found))
+        return out
 
     def batch_inputs(self, column) -> np.ndarray:
         with _no_cycles():
