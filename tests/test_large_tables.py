@@ -11,3 +11,30 @@ def test_an_empty_text_is_not_overcleaned(spark, tmp_path):
     for name in ("t16_overcleaned", "t16_overcleaned_whole", "t16_overcleaned_limited"):
         got = {r["doc_id"]: (r["overcleaned"], r["n_clean"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert got[1] == (False, 0) and got[2] == (True, 0) and got[3][0] is False and got[4][0] is None
+
+
+def test_rows_climb_deep_trees_by_doubling(spark, monkeypatch):
+    import random
+
+    from linkloom.operators import hierarchy
+    written = []
+    plain = hierarchy.written_table
+    monkeypatch.setattr(hierarchy, "written_table", lambda df, name: written.append(name) or plain(df, name))
+    rng = random.Random(5)
+    # a chain of 200 clusters with some side branches; births fall on the way up, some are equal
+    tree, birth = [(0, None, 0.0, None)], {0: 0.0}
+    for i in range(1, 260):
+        up = i - 1 if i < 200 else rng.randrange(200)
+        birth[i] = birth[up] + rng.choice([0.0, 0.5, 1.0])
+        tree.append((i, up, birth[i], i if i % 3 else None))
+    rows = [(q, rng.randrange(260), rng.choice([0.0, birth[rng.randrange(260)], rng.uniform(0, 120)])) for q in range(500)]
+    known = {h: (p, b, lab) for h, p, b, lab in tree}
+    want = {}
+    for q, h, lam in rows:
+        while known[h][0] is not None and known[h][1] >= lam:
+            h = known[h][0]
+        want[q] = (lam, known[h][2])
+    got = hierarchy.climb(spark.createDataFrame(tree, "head long, parent long, birth double, label long"),
+                          spark.createDataFrame(rows, "q long, head long, lam double"))
+    assert {r["q"]: (r["lam"], r["label"]) for r in got.collect()} == want
+    assert len(written) < 15
