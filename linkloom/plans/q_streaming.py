@@ -36,9 +36,18 @@ def split_files(df: DataFrame, key: str, path: str, n: int = N_FILES):
     return df.schema
 
 
-def _stream(spark, df, key):
+def ranged_files(df: DataFrame, key: str, path: str, n: int = N_FILES):
+    """``split_files`` for streams whose result does not depend on the order in which files
+    arrive: the same ranges and bounds, all files written by one job side by side."""
+    df = df.where(F.col(key).isNotNull())
+    n = max(n, -(-df.count() // ROWS_A_FILE))
+    df.repartitionByRange(n, key).sortWithinPartitions(key).write.parquet(path)
+    return df.schema
+
+
+def _stream(spark, df, key, split=split_files):
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    schema = split_files(df, key, base + "/src")
+    schema = split(df, key, base + "/src")
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base + "/src")
     return s, base
 
@@ -69,10 +78,10 @@ def r2_stream_keywords(spark, sf):
     from linkloom.operators import keywords as K
     from linkloom.streaming.operators import stream_keywords
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text")
-    dfreq = K.term_counts(d, "pos", "text").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    n = d.select("pos").distinct().count()
-    s, base = _stream(spark, d, "pos")
-    q = stream_keywords(s, dfreq, n, base + "/out", base + "/ck")
+    # the statistics are those of the streamed entries: a term that is not among them is in one
+    dfreq, n = K.document_frequencies(d, "pos", "text")
+    s, base = _stream(spark, d, "pos", ranged_files)
+    q = stream_keywords(s, dfreq, n, base + "/out", base + "/ck", least=1)
     q.awaitTermination()
     out = spark.read.schema("pos long, keyword string, score double, rank int").parquet(base + "/out")
     return out.select(F.col("pos").alias("doc_id"), "keyword", F.round("score", 4).alias("score"), "rank")

@@ -38,3 +38,25 @@ def test_rows_climb_deep_trees_by_doubling(spark, monkeypatch):
                           spark.createDataFrame(rows, "q long, head long, lam double"))
     assert {r["q"]: (r["lam"], r["label"]) for r in got.collect()} == want
     assert len(written) < 15
+
+
+def test_streamed_keywords_ask_for_shared_terms_only(spark, tmp_path):
+    import random
+
+    from linkloom.operators import keywords as K
+    from linkloom.plans.q_streaming import ranged_files
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i % 90 if i < 100 else None, " ".join(rng.choices(words, k=30)) + f" only{i}") for i in range(110)]  # ids that repeat, null ids
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    freq, n = K.document_frequencies(d, "doc_id", "text")
+    assert n == 91 and freq.where("df < 2 or gram like 'only%'").isEmpty()
+    full = K.term_counts(d, "doc_id", "text").groupBy("gram").count()
+    assert {tuple(r) for r in freq.collect()} == {tuple(r) for r in full.where("count > 1").collect()}
+    got = {tuple(r) for r in QUERIES["r2_stream_keywords"](spark, str(tmp_path)).collect()}
+    want = K.keywords(d, "doc_id", "text", 10).selectExpr("doc_id", "keyword", "round(score, 4)", "rank")
+    assert got == {tuple(r) for r in want.collect()}
+    ranged_files(d, "doc_id", f"{tmp_path}/files", 5)
+    files = spark.read.parquet(f"{tmp_path}/files").selectExpr("doc_id", "_metadata.file_name as f")
+    assert files.count() == 100 and files.groupBy("doc_id").agg({"f": "max"}).count() == files.distinct().count() == 90
