@@ -217,13 +217,19 @@ def j5_score_labels(spark, sf):
 
 @register("m12_cluster_and_label")
 def m12_cluster_and_label(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", "source", "text")
-    kw = K.keyword_arrays(K.keywords(d, "doc_id", "text", 10), d, "doc_id") \
-        .withColumn("keywords_text", T.keywords_text(F.col("keywords")))
+    from pyspark import StorageLevel
+
     from linkloom.operators import vectors as V
-    feats = V.encode(kw, "doc_id", "text", 64, "features")
+    d = load(spark, sf, "documents").select("doc_id", "text")
+    # features are read by the fit, the confidence, both kinds of labels and the result; kept as
+    # they are, since k-means starts from their order
+    kept = V.encode(d, "doc_id", "text", 64, "features").drop("text").persist(StorageLevel.DISK_ONLY)
+    feats = K.keyword_arrays(K.keywords(d, "doc_id", "text", 10), kept, "doc_id") \
+        .withColumn("keywords_text", T.keywords_text(F.col("keywords"))).drop("keywords")
     out = CL.cluster_and_label(feats, "kmeans", "features", "doc_id", n_clusters=8, zero_shot=True)
-    return out.select("doc_id", "cluster_id", "cluster_conf", "cluster_label", "zero_shot_label")
+    out = written_table(out.select("doc_id", "cluster_id", "cluster_conf", "cluster_label", "zero_shot_label"), "cluster-labels")
+    kept.unpersist()
+    return out
 
 
 # --- seed labels, dropped labels -------------------------------------------------------------

@@ -60,3 +60,9 @@ def test_streamed_keywords_ask_for_shared_terms_only(spark, tmp_path):
     ranged_files(d, "doc_id", f"{tmp_path}/files", 5)
     files = spark.read.parquet(f"{tmp_path}/files").selectExpr("doc_id", "_metadata.file_name as f")
     assert files.count() == 100 and files.groupBy("doc_id").agg({"f": "max"}).count() == files.distinct().count() == 90
+
+
+def test_clusters_do_not_hash_texts_again_when_read(spark, sf):
+    out = QUERIES["m12_cluster_and_label"](spark, sf)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
