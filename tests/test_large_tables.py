@@ -66,3 +66,52 @@ def test_clusters_do_not_hash_texts_again_when_read(spark, sf):
     out = QUERIES["m12_cluster_and_label"](spark, sf)
     assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_patterns_that_cannot_match_are_not_searched(spark):
+    from pyspark.sql import functions as F
+
+    from linkloom.functions import patterns as PT
+    texts = ["Javascript is required", "ENABLE  JavaScrıpt now", "cooKieſ please enable", "404 Error", "access  denied", "your browser is not supported",
+             "you are being redirected", "accept all cookİes", "we use cookies", "privacy policy", "terms of service", "Copyright 2020",
+             "all riGhtſ reserved", "```code``` `x`", "a.py 0123456789abcdef0123456789abcdef", "x $a$ $$b$$ {c} [1, 2] 3 Jan 2020", "me@home.org #a1b2c3 1.2.3.4 a/b/c/d",
+             "00000000-0000-0000-0000-000000000000", "main menu Tools sIgn up hİde clicK here share this newsletter related posts", "1, 2, 3 é  [ ] ( ) { } __ ~",
+             "main`x`menu read{y}more log[1]in", "xfrom asimport nothing at all here", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").withColumn("folded", PT.caseless(F.col("text")))
+    every = PT.resolve_sequence(None)
+    for some in [every, *[[p] for p in PT.NEEDS]]:
+        both = d.select(PT.apply_patterns(F.col("text"), some).alias("a"), PT.apply_patterns(F.col("text"), some, F.col("folded")).alias("b"))
+        assert both.where("not (a <=> b)").isEmpty()
+    sought = d.where("id = 21").select(*[PT._needed(F.col("text"), p, F.col("folded")).alias(f"p{i}") for i, p in enumerate(every)]).first()
+    assert sum(p == PT.NEVER for p in sought) >= len(PT.NEEDS) - 1
+
+
+def test_near_duplicate_lines_by_a_bounded_distance(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from linkloom.operators import html as H
+    rng = random.Random(9)
+
+    def changed(line):
+        x = list(line)
+        for _ in range(rng.randrange(0, 1 + len(x) // 4)):
+            x[rng.randrange(len(x))] = rng.choice(["", "a", "é", "zz"])
+        return "".join(x)
+    rows = []
+    for i in range(60):
+        lines = ["".join(rng.choices("abé ", k=rng.randrange(0, 40))) for _ in range(6)]
+        rows.append((i, "\n".join(lines + [changed(x) for x in lines if x])))
+    d = spark.createDataFrame(rows, "id int, text string")
+    got = d.select("id", H.drop_near_duplicate_lines(F.col("text")).alias("x"))
+    assert "FLOOR" in got._jdf.queryExecution().optimizedPlan().toString().upper()
+    pairs = d.select("id", F.posexplode(F.split("text", "\n")).alias("p", "l"))
+    close = {(r[0], r[1], r[2]) for r in pairs.alias("a").join(pairs.alias("b"), "id").where("a.p < b.p").where(
+        H.near_duplicate_ratio(F.col("a.l"), F.col("b.l")) >= 85).select("id", "a.p", "b.p").collect()}
+    for i, text in got.collect():
+        lines, kept = rows[i][1].split("\n"), []
+        for k in range(len(lines)):
+            if not any((i, j, k) in close for j in kept):
+                kept.append(k)
+        assert text == "\n".join(lines[k] for k in kept)
