@@ -34,6 +34,8 @@ def test_rows_climb_deep_trees_by_doubling(spark, monkeypatch):
         while known[h][0] is not None and known[h][1] >= lam:
             h = known[h][0]
         want[q] = (lam, known[h][2])
+    rows.append((1000, None, 1.0))
+    want[1000] = (1.0, None)
     got = hierarchy.climb(spark.createDataFrame(tree, "head long, parent long, birth double, label long"),
                           spark.createDataFrame(rows, "q long, head long, lam double"))
     assert {r["q"]: (r["lam"], r["label"]) for r in got.collect()} == want
@@ -115,3 +117,13 @@ def test_near_duplicate_lines_by_a_bounded_distance(spark):
             if not any((i, j, k) in close for j in kept):
                 kept.append(k)
         assert text == "\n".join(lines[k] for k in kept)
+
+
+def test_topics_keep_vectors_without_texts(spark, monkeypatch):
+    from linkloom.operators import topics as TP
+    seen = []
+    plain = TP.CL.kmeans
+    monkeypatch.setattr(TP.CL, "kmeans", lambda df, *a, **b: seen.append(df.columns) or plain(df, *a, **b))
+    d = spark.createDataFrame([(i, f"river {i % 3} stone {i % 5}") for i in range(30)], "pos long, text string")
+    assign, _ = TP.topics(d, "pos", "text", 3, dim=16)
+    assert seen == [["pos", "vec"]] and assign.count() == 30
